@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality_rules
+from . import minhash, quality_knn, quality_rules, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_knn.score(docs, quality_knn.fit(spark, docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, on 2-word shingles."""
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), words=2, percent=80)
@@ -26,7 +38,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_minhash_dedup": op8_minhash_dedup, "op9_quality_rules": op9_quality_rules}
+    return {"op2_toxicity": op2_toxicity, "op7_quality_classifier": op7_quality_classifier, "op8_minhash_dedup": op8_minhash_dedup, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,9 @@ _LOWER_BYTE = _BYTE.copy()
 _LOWER_BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Also breaks words at ASCII punctuation.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[:128] = [not chr(i).isalnum() for i in range(128)]
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
@@ -83,11 +86,11 @@ def spans(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 class Chunk:
     """Words of a few documents, with lazily computed hashes and lines."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SPACE):
         self.data, self.offsets, self.lower = data, offsets, lower
         self.n = len(offsets) - 1
         word = np.empty(len(data) + 1, bool)
-        np.logical_not(_SPACE[data], out=word[:-1])
+        np.logical_not(breaks[data], out=word[:-1])
         word[-1] = False
         first = word[:-1].copy()
         first[1:] &= ~word[:-2]
@@ -157,11 +160,11 @@ class Chunk:
         return start[full], end[full], doc[full]
 
 
-def chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Chunk]]:
+def chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES, breaks: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Chunk]]:
     """(first row, last row + 1, chunk) over one Arrow string column."""
     data, offsets = buffers(column)
     for a, b in spans(offsets, limit):
-        yield a, b, Chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        yield a, b, Chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, breaks)
 
 
 def shingle_sets(chunk: Chunk, k: int) -> Iterator[np.ndarray]:
