@@ -6,19 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality_knn, quality_rules, toxicity
+from . import line_dedup, minhash, mixing, oracles, quality_knn, quality_rules, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later repeats of long line runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeats(spark, docs, counts=True)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the weighted mix takes."""
+    return mixing.assess(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -38,8 +49,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op7_quality_classifier": op7_quality_classifier, "op8_minhash_dedup": op8_minhash_dedup, "op9_quality_rules": op9_quality_rules}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op6_source_mixing, op7_quality_classifier, op8_minhash_dedup, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": oracles.LINE_DEDUP, "op6_source_mixing": oracles.MIXING, "op9_quality_rules": oracles.QUALITY_RULES}
