@@ -3,19 +3,18 @@
 1. Documents with the same shingle set form one class; only a class's smallest
    id goes on.
 2. Each class posts itself under its coordinate-value pairs.  A pair of sets
-   with similarity s agrees on a share s of the ``COORDINATES`` in the mean; two
-   classes are compared if they agree on ``MATCHES`` or more.  By the pigeonhole
+   with similarity s agrees on a share s of the ``COORDINATES`` in the mean; a
+   pair counts as a match from ``MATCHES`` collisions on.  By the pigeonhole
    principle such a pair meets in the ``COORDINATES - MATCHES + 1`` rarest
    postings of each (the prefix), so long postings are skipped.
-3. Postings are merged in rounds.  First every posting is compared with its
-   smallest class alone; then only pairs between different components are left,
-   and of these first the best match for each class and other component, at last
-   all.  Rounds end as soon as every posting lies in one component.
-4. A compared pair is a link only if the full shingle sets confirm it.
+3. Postings that share a class are merged into families: no matching pair lies
+   across two of them.
+4. A family is dealt into blocks.  For each pair of blocks the exact
+   intersections of all full sets come from one blocked matrix product, and what
+   leaves the task is a spanning forest of the links found, at most a row for
+   each member, never the pairs.
 
-A group of g near copies thus costs about g comparisons, not g * g, and yet no
-link that would join two components stays untested.  Tests hold it against
-brute force.
+Tests hold the result against brute force.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is
 linked with nothing.  Fewer words than a shingle make one shingle.  A row
@@ -29,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +41,8 @@ COORDINATES = 32
 MATCHES = 16
 #: Rows of one side of a comparison block.
 BLOCK = 256
+#: Shingles of one step of the matrix product.
+COLUMNS = 4096
 
 _rng = np.random.Generator(np.random.PCG64(8))
 _A = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,90 +97,72 @@ def prefix_postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
     return materialize(spark, kept, "postings")
 
 
-def _confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    pairs = materialize(spark, pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = full_sets(docs.join(wanted, "id", "left_semi"), words)
-    sets = materialize(spark, sets, "sets")
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(root, member) over the graph of links between some full sets."""
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, column, many = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = many[column] > 1
+    place = np.cumsum(many > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        s, e = np.searchsorted(column, [a, a + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[s:e], column[s:e] - a] = 1
+        both += part @ part.T
+    link = 100.0 * both >= percent * (size[:, None] + size[None, :] - both.astype(np.float64))
+    free, out = np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        if free[root]:
+            free[root], front = False, [root]
+            while front:
+                near = np.flatnonzero(link[front.pop()] & free)
+                free[near] = False
+                front += near.tolist()
+                out += [(root, x) for x in near.tolist()]
+    return out
+
+
+def _compare(percent: int):
+    """Links within each (family, i, j); the rows of a partition come sorted."""
+
+    def links(c: list[int], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(c) > 1 and (found := _linked([np.frombuffer(x, np.uint64) for x in packed], percent)):
+            yield pa.RecordBatch.from_pydict({"a": [c[x] for x, _ in found], "b": [c[y] for _, y in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, c, packed = None, [], []
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * inter >= percent * (len(s) + len(t) - inter) > 0
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    found = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
-    return materialize(spark, found.distinct(), "links")
-
-
-def _matching(best_only: bool):
-    """Compares the members of each (token, i, j) block; rows come sorted."""
-
-    def compare(c: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, i: int, j: int) -> list[pd.DataFrame]:
-        one = np.flatnonzero(side == i)
-        two = np.flatnonzero(side == j)
-        count = np.zeros((len(one), len(two)), np.int16)
-        for k in range(COORDINATES):
-            count += sig[one, k][:, None] == sig[two, k][None, :]
-        count[comp[one][:, None] == comp[two][None, :]] = 0
-        x, y = np.nonzero(count >= MATCHES)
-        out = pd.DataFrame({"a": c[one[x]], "b": c[two[y]], "ca": comp[one[x]], "cb": comp[two[y]], "m": count[x, y]})
-        out = out[out["a"] < out["b"]] if i == j else out
-        if best_only and len(out):
-            # the pair that is likeliest to join two components speaks for them
-            out = out.sort_values(["m", "a", "b"], ascending=[False, True, True])
-            low, high = out[["ca", "cb"]].min(axis=1), out[["ca", "cb"]].max(axis=1)
-            out = out[~pd.DataFrame({"l": low, "h": high}).duplicated()]
-        return [pd.DataFrame({"a": out[["a", "b"]].min(axis=1), "b": out[["a", "b"]].max(axis=1)}).astype("int64")] if len(out) else []
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def groups(frame: pd.DataFrame) -> list[pd.DataFrame]:
-            key = frame[["token", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            c, comp, side = frame["c"].to_numpy(), frame["comp"].to_numpy(), frame["side"].to_numpy()
-            sig = np.stack(frame["sig"].to_list()) if len(frame) else np.zeros((0, COORDINATES))
-            out: list[pd.DataFrame] = []
-            for s, e in zip([0, *cut], [*cut, len(frame)]):
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            ids = batch.column(3).to_pylist()
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for s, e in zip(cut, cut[1:]):
                 if e > s:
-                    out += compare(c[s:e], comp[s:e], side[s:e], sig[s:e], int(key[s, 1]), int(key[s, 2]))
-            return out
-
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            last = (frame[["token", "i", "j"]] == frame[["token", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
-            held, ready = frame[last], frame[~last]
-            if out := groups(ready):
-                yield pd.concat(out)
-        if held is not None and (out := groups(held)):
-            yield pd.concat(out)
+                    if now != (at := tuple(key[s].tolist())):
+                        yield from links(c, packed)
+                        now, c, packed = at, [], []
+                    c += ids[s:e]
+                    packed += batch.column(4).slice(s, e - s).to_pylist()
+        yield from links(c, packed)
 
     return run
 
 
-def _across(postings: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs of one posting that lie in different components and match enough.
-
-    A long posting is dealt into blocks by a hash of the class, and each pair of
-    blocks is one unit of work.
-    """
-    many = postings.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = postings.join(many, "token").join(classes.select(F.col("id").alias("c"), "sig"), "c")
-    rows = rows.withColumn("side", F.expr("cast(pmod(xxhash64(c, token), blocks) as int)"))
+def _family_links(spark: SparkSession, docs: DataFrame, postings: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the full sets connect."""
+    pivots = postings.groupBy("token").agg(F.min("c").alias("a"), F.count("*").alias("many")).filter("many > 1")
+    merged = components(spark, postings.join(pivots, "token").filter("a <> c").select("a", F.col("c").alias("b")))
+    family = materialize(spark, merged.select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
+    sets = materialize(spark, full_sets(docs.join(family.select("id"), "id", "left_semi"), words), "sets")
+    many = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = family.join(many, "family").withColumn("side", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "c", "comp", "sig")
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInPandas(_matching(best_only), "a long, b long").distinct()
+    rows = rows.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id").join(sets, "id")
+    dealt = rows.select("family", "i", "j", "id", "shingles").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return materialize(spark, dealt.mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -194,26 +176,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     twice = ids.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("top"), F.collect_set("c").alias("all")).filter("a <> top")
     links = materialize(spark, twice.select("a", F.explode("all").alias("b")).filter("a <> b").distinct(), "links")
     # of equal ids and sets one row is enough
-    classes = usable.join(by_set.select("hi", "lo", "n", F.col("c").alias("id")), ["hi", "lo", "n", "id"], "left_semi").dropDuplicates(["hi", "lo", "n", "id"]).select("id", "sig")
+    # a set so small that one shingle more or less ends the likeness has no other links
+    classes = usable.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).join(by_set.select("hi", "lo", "n", F.col("c").alias("id")), ["hi", "lo", "n", "id"], "left_semi").dropDuplicates(["hi", "lo", "n", "id"]).select("id", "sig")
     classes = materialize(spark, classes, "classes")
     postings = prefix_postings(spark, classes)
 
-    pivots = postings.groupBy("token").agg(F.min("c").alias("a"), F.count("*").alias("many")).filter("many > 1")
-    pairs = postings.join(pivots, "token").filter("a <> c").select("a", F.col("c").alias("b")).distinct()
-    sig = classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    pairs = pairs.join(sig[1], "b").join(sig[0], "a").filter(agree >= MATCHES).select("a", "b")
-
-    for step in ("pivot", "best", "best", "all"):
-        if step != "pivot":
-            label = postings.join(comp.select(F.col("node").alias("c"), F.col("component").alias("comp")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-            open_ = label.groupBy("token").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).filter("l <> h").select("token")
-            rest = materialize(spark, label.join(open_, "token", "left_semi"), "open")
-            if rest.isEmpty():
-                break
-            pairs = _across(rest, classes, step == "best")
-        links = links.union(_confirmed(spark, pairs, docs, words, percent))
-        comp = materialize(spark, components(spark, links), "components")
+    links = links.union(_family_links(spark, docs, postings, words, percent))
+    comp = materialize(spark, components(spark, links), "components")
 
     label = by_set.join(comp.withColumnRenamed("node", "c"), "c", "left").select("hi", "lo", "n", F.coalesce("component", "c").alias("label"))
     rows = found.drop("sig").join(label, ["hi", "lo", "n"], "left")
