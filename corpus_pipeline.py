@@ -2,7 +2,7 @@
 
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir)
 and returns the documents it keeps, which are written as Parquet and read again
-as the next one's input.
+as the next one's input.  All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -11,18 +11,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import quality_rules
+from paperloom.llm import line_dedup, minhash, mixing, quality_rules, sentencepiece
 from paperloom.llm.store import shared_dir
 
+#: A public 32k vocabulary; any unigram or BPE model file does.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every quality rule lets pass."""
     return quality_rules.keep_good(docs, quality_rules.plan_cascade(docs))
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the later repeats of long line runs."""
+    return line_dedup.drop_repeats(spark, docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five words, similarity 0.8."""
+    found = minhash.near_duplicates(spark, docs, words=5, percent=80)
+    gone = found.filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return mixing.mix(spark, docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    """All documents with the ids of their texts."""
+    return sentencepiece.encode(docs, sentencepiece.Model.load(model))
+
+
+STAGES = [("quality rules", quality_stage), ("line dedup", line_stage), ("near dedup", near_dedup_stage), ("mixing", mixing_stage), ("encoding", encoding_stage)]
 
-#: The near-duplicate and encoding stages have no SQL form.
+#: The near-duplicate and encoding stages have no SQL form; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
