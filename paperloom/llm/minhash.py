@@ -74,18 +74,6 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, hi long, lo long, sig array<long>")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the sorted distinct shingle hashes as packed bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, chunk in chunks(batch.column(1), lower=True):
-                packed = pa.array([s.tobytes() for s in shingle_sets(chunk, words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), packed], names=["id", "shingles"])
-
-    return docs.mapInArrow(run, "id long, shingles binary")
-
-
 def prefix_postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
     """(token, c): each class under the rarest of its coordinate-value pairs."""
     tokens = classes.select(F.col("id").alias("c"), F.posexplode("sig")).select("c", F.xxhash64("pos", "col").alias("token"))
@@ -126,27 +114,29 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(percent: int):
+def _compare(words: int, percent: int):
     """Links within each (family, i, j); the rows of a partition come sorted."""
 
-    def links(c: list[int], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if len(c) > 1 and (found := _linked([np.frombuffer(x, np.uint64) for x in packed], percent)):
+    def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, sets = [x for part in held for x in part.column(3).to_pylist()], []
+        for part in held:
+            for _, _, chunk in chunks(part.column(4), lower=True):
+                sets += list(shingle_sets(chunk, words))
+        if len(c) > 1 and (found := _linked(sets, percent)):
             yield pa.RecordBatch.from_pydict({"a": [c[x] for x, _ in found], "b": [c[y] for _, y in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, c, packed = None, [], []
+        now, held = None, []
         for batch in batches:
             key = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            ids = batch.column(3).to_pylist()
             cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for s, e in zip(cut, cut[1:]):
                 if e > s:
                     if now != (at := tuple(key[s].tolist())):
-                        yield from links(c, packed)
-                        now, c, packed = at, [], []
-                    c += ids[s:e]
-                    packed += batch.column(4).slice(s, e - s).to_pylist()
-        yield from links(c, packed)
+                        yield from links(held)
+                        now, held = at, []
+                    held.append(batch.slice(s, e - s))
+        yield from links(held)
 
     return run
 
@@ -156,13 +146,13 @@ def _family_links(spark: SparkSession, docs: DataFrame, postings: DataFrame, wor
     pivots = postings.groupBy("token").agg(F.min("c").alias("a"), F.count("*").alias("many")).filter("many > 1")
     merged = components(spark, postings.join(pivots, "token").filter("a <> c").select("a", F.col("c").alias("b")))
     family = materialize(spark, merged.select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
-    sets = materialize(spark, full_sets(docs.join(family.select("id"), "id", "left_semi"), words), "sets")
     many = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = family.join(many, "family").withColumn("side", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id").join(sets, "id")
-    dealt = rows.select("family", "i", "j", "id", "shingles").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return materialize(spark, dealt.mapInArrow(_compare(percent), "a long, b long"), "links")
+    plan = materialize(spark, family.join(many, "family").withColumn("side", F.expr("cast(pmod(xxhash64(id), blocks) as int)")), "blocks")
+    # texts travel, not their shingles: they are smaller, and hashed where they are compared
+    rows = docs.join(plan, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "text")
+    dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return materialize(spark, dealt.mapInArrow(_compare(words, percent), "a long, b long"), "links")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
