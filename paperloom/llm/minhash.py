@@ -114,13 +114,25 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(id, packed, size): compressed texts, which halves what the shuffles carry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(x.as_py() or "").encode() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], names=["id", "packed", "size"])
+
+    return docs.mapInArrow(run, "id long, packed binary, size long")
+
+
 def _compare(words: int, percent: int):
     """Links within each (family, i, j); the rows of a partition come sorted."""
 
     def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sets = [x for part in held for x in part.column(3).to_pylist()], []
         for part in held:
-            for _, _, chunk in chunks(part.column(4), lower=True):
+            texts = pa.array([pa.decompress(x.as_buffer(), n.as_py(), codec="zstd", asbytes=True).decode() for x, n in zip(part.column(4), part.column(5))], pa.string())
+            for _, _, chunk in chunks(texts, lower=True):
                 sets += list(shingle_sets(chunk, words))
         if len(c) > 1 and (found := _linked(sets, percent)):
             yield pa.RecordBatch.from_pydict({"a": [c[x] for x, _ in found], "b": [c[y] for _, y in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -149,8 +161,8 @@ def _family_links(spark: SparkSession, docs: DataFrame, postings: DataFrame, wor
     many = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     plan = materialize(spark, family.join(many, "family").withColumn("side", F.expr("cast(pmod(xxhash64(id), blocks) as int)")), "blocks")
     # texts travel, not their shingles: they are smaller, and hashed where they are compared
-    rows = docs.join(plan, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "text")
+    rows = _packed(docs).join(plan, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "packed", "size")
     dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return materialize(spark, dealt.mapInArrow(_compare(words, percent), "a long, b long"), "links")
 
