@@ -105,7 +105,7 @@ def nearest_centroids(v: Column, centres: list[list[float]], many: int) -> Colum
     """Indexes of the centroids of largest dot product, best first."""
     zero = F.lit(0.0)
     table = F.array(*(F.array(*map(F.lit, c)) for c in centres))
-    dots = F.transform(table, lambda c, i: F.struct((-F.aggregate(F.zip_with(c, v, lambda x, y: x * y.cast("double")), zero, lambda s, x: s + x)).alias("d"), i.alias("i")))
+    dots = F.transform(table, lambda c, i: F.named_struct(F.lit("d"), -F.aggregate(F.zip_with(c, v, lambda x, y: x * y.cast("double")), zero, lambda s, x: s + x), F.lit("i"), i))
     return F.transform(F.slice(F.array_sort(dots), 1, many), lambda s: s["i"])
 
 
