@@ -14,8 +14,7 @@ closed form is a water level over the sources ordered by bound per weight.
 Edge cases: a null or empty text has size 0 and is taken 0 words; a null source
 is a source of its own, last in order; a null id is placed by its text; rows
 with the same id share a position, so they are taken alike.  The result depends
-on the rows alone.  Extra columns are ignored here and kept by ``mix``, which
-uses its own reserved names.  An empty table gives an empty result.
+on the rows alone.  Extra columns, whatever their names, are kept by ``mix``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +32,10 @@ DIGIT = 12
 
 
 def _placed(docs: DataFrame, id_col: str, source: str, text: str) -> DataFrame:
-    """docs with _size and _place added."""
+    """_row (the whole row), _source, _size and _place of each document."""
     name = F.coalesce(F.col(id_col).cast("string"), F.col(text), F.lit(""))
     place = F.conv(F.substring(F.md5(name), 1, 3 * DIGIT // 4), 16, 10).cast("long")
-    return docs.withColumns({"_size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "_place": place, "_source": F.col(source)})
+    return docs.select(F.struct("*").alias("_row"), F.col(source).alias("_source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), place.alias("_place"))
 
 
 def _targets(totals: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -81,7 +80,7 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WE
     taken ``_copies`` times, and once more if its place is under ``_below``.
     """
     placed = _placed(docs, id_col, source, text)
-    placed = materialize(spark, placed.select(F.col(id_col), "_source", "_size", "_place"), "placed")
+    placed = materialize(spark, placed.select(F.col("_row").getField(id_col).alias(id_col), "_source", "_size", "_place"), "placed")
     digit = lambda k: F.shiftright("_place", DIGIT * (2 - k)).bitwiseAND((1 << DIGIT) - 1)
     same = lambda a, b: a["_source"].eqNullSafe(b["_source"])
 
@@ -130,4 +129,4 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source: st
     """The mixed documents: each row as often as it is taken, columns unchanged."""
     _, thresholds = plan_mix(spark, docs, id_col=id_col, source=source, text=text)
     taken = _taken(_placed(docs, id_col, source, text), thresholds)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).filter("_times > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).filter("_times > 0").select("_row.*")

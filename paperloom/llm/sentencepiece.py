@@ -239,7 +239,7 @@ class Model:
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             piece.append(np.where(self.keys[at] == h, self.ids[at], -1))
         lost = float(self.scores[self.kinds == 0].min()) - 10.0
-        best, back = np.zeros((rows, n + 1)), np.zeros((rows, n + 1), np.int32)
+        best, back = np.zeros((rows, n + 1), np.float32), np.zeros((rows, n + 1), np.int32)  # single precision, as such models are scored
         last = np.full((rows, n + 1), -1, np.int64)  # -1: a character without a piece
         for j in range(1, n + 1):
             live = int(np.searchsorted(-size, -j, "right"))
@@ -257,9 +257,9 @@ class Model:
                 back[todo, j] = 1
                 continue
             best[:live, j] = -np.inf
-            for k in range(1, min(most, j) + 1):
+            for k in range(min(most, j), 0, -1):  # of equal sums the longest last piece stays
                 cand = piece[k - 1][:live, j - k]
-                value = best[:live, j - k] + np.where(cand >= 0, self.scores[cand], lost if k == 1 else -np.inf)
+                value = best[:live, j - k] + np.where(cand >= 0, self.scores[cand], lost if k == 1 else -np.inf).astype(np.float32)
                 better = np.flatnonzero(value > best[:live, j])
                 best[better, j], back[better, j], last[better, j] = value[better], k, cand[better]
         at, ids = size.copy(), np.full((rows, n), -9, np.int64)
