@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def _laid_out(spark: SparkSession, turns: DataFrame, conv: str, turn: str, role:
             if not batch.num_rows:
                 continue
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            conv_of = pa.compute.fill_null(batch.column(0), 0).to_numpy()
+            conv_of = pc.fill_null(batch.column(0), 0).to_numpy()
             tokens = batch.column(4).to_numpy()
             fresh = np.ones(len(tokens), bool)
             fresh[1:] = (conv_of[1:] != conv_of[:-1]) | (null[1:] != null[:-1])

@@ -16,7 +16,7 @@ join and without any pair leaving its task.  Dimensions are split into
 
 Components are floor(scale * x).  Products are exact integers: a unit computes
 in float32 or float64 while its largest possible sum fits the mantissa, else in
-whole numbers, and a score beyond 64 bits is set to the nearest 64-bit number.
+whole numbers, and a score beyond 64 bits counts as the nearest 64-bit number.
 
 Edge cases: a vector that is null or holds a null, NaN or infinite component
 takes no part, nor does a row without an id.  Rows with one id are one vector
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +65,6 @@ def _partial(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     return [q[:, a:b] @ c[:, a:b].T if b > a else np.zeros((len(q), len(c)), q.dtype) for a, b in zip(cut, cut[1:])]
 
 
-def _longs(scores: np.ndarray) -> np.ndarray:
-    return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores], np.int64)
-
-
 def _best(query: np.ndarray, cand: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best rows of each query, smaller ids first among equals."""
     order = np.lexsort((cand, -score.astype(np.float64) if score.dtype != object else np.array([-x for x in score], object), query)) if len(score) else np.zeros(0, np.int64)
@@ -92,14 +89,17 @@ def _unit(q_ids, q, cutoff, c_ids, c, k, phase):
         row, at = np.nonzero(fresh)
         col = near[row, at]
     else:
-        limit = np.where(np.isfinite(cutoff), cutoff / PARTS, -np.inf)[:, None]
+        cutoff = cutoff.astype(object) if parts[0].dtype == object else cutoff
+        limit = (cutoff // PARTS)[:, None]  # rounded down, so nothing sufficient is lost
         row, col = np.nonzero(np.logical_or.reduce([p >= limit for p in parts]) & ~own)
     score = sum(p[row, col] for p in parts)
+    if score.dtype == object:
+        score = np.clip(score, -(2**63), 2**63 - 1)
     if phase == 2:
         reach = score >= cutoff[row]
         row, col, score = row[reach], col[reach], score[reach]
     keep = _best(row, c_ids[col], score, k)
-    return q_ids[row[keep]], c_ids[col[keep]], _longs(score[keep])
+    return q_ids[row[keep]], c_ids[col[keep]], score[keep].astype(np.int64)
 
 
 def _search(units: DataFrame, dims: int, scale: float, k: int, phase: int) -> DataFrame:
@@ -107,10 +107,9 @@ def _search(units: DataFrame, dims: int, scale: float, k: int, phase: int) -> Da
 
     def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
-        n = int(pa.compute.sum(t["is_query"]).as_py() or 0)
+        n = int(pc.sum(t["is_query"]).as_py() or 0)
         ids, m = t["id"].to_numpy(), _matrix(t["v"].chunk(0), dims, scale)
-        cutoff = t["cutoff"].to_numpy()[:n].astype(np.float64)
-        cutoff = np.where(np.isnan(cutoff), -np.inf, cutoff)
+        cutoff = pc.fill_null(t["cutoff"], -(2**63)).to_numpy()[:n]  # none: fewer than k candidates
         if 0 < n < len(ids):
             for a in range(0, n, SLICE):
                 z = slice(a, min(n, a + SLICE))
