@@ -634,3 +634,52 @@ def import_receipts(spark, d):
     rows = docs.withColumn("key", F.when(F.col("doc_id") % 11 > 0, F.col("key")))
     library = docs.join(t(spark, d, "labels"), "doc_id", "left_semi")
     return mutation.receipts(rows, library, "key", "doc_id").select("doc_id", "status")
+
+
+# ---- identifiers and item scores
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pmid' WHEN 3 THEN 'url' ELSE 'title' END AS kind,
+CASE o_orderkey % 5 WHEN 0 THEN '10.1234/ab' || o_orderkey WHEN 1 THEN '2101.' || lpad((o_orderkey % 10000)::VARCHAR, 5, '0') END AS whole,
+'us-' || (1000000 + o_orderkey) || '-b2' AS patent FROM orders""")
+def identifiers(spark, d):
+    """F20, F21, 1.5: identifier kinds, whole-text identifiers, patent numbers."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit("10.1234/AB"), k)).when(k % 5 == 1, F.concat(F.lit("2101."), F.lpad((k % 10000).cast("string"), 5, "0"))).when(k % 5 == 2, (k % 10**8).cast("string")).when(k % 5 == 3, F.concat(F.lit("https://x.org/"), k)).otherwise(F.concat(F.lit("A title "), k))
+    return t(spark, d, "orders").select("o_orderkey", X.identifier_type(text).alias("kind"), X.identifier_query(text)["value"].alias("whole"), N.patent(F.concat(F.lit("Patent No. US "), (1_000_000 + k).cast("string"), F.lit(" B2"))).alias("patent"))
+
+
+@query("""WITH x AS (SELECT event_id, floor(value)::BIGINT AS c, user_id % 15 AS age, CASE event_type WHEN 'click' THEN 'journalArticle' WHEN 'view' THEN 'preprint' ELSE 'book' END AS kind, length(props) AS n, event_type = 'view' AS oa, user_id % 20 AS jif, event_type = 'error' AS veto FROM events WHERE value IS NOT NULL),
+s AS (SELECT *, CASE kind WHEN 'journalArticle' THEN 80 WHEN 'preprint' THEN 40 ELSE 85 END AS v FROM x)
+SELECT event_id, floor((CASE WHEN c > 0 THEN least(100, log10(c + 1.0::DOUBLE) * 25) ELSE 0 END) * 0.2::DOUBLE + greatest(0, least(100, 100 - 10 * age)) * 0.15::DOUBLE + v * 0.15::DOUBLE + least(100, n / 3) * 0.1::DOUBLE + (CASE WHEN oa THEN 100 ELSE 0 END) * 0.1::DOUBLE + (CASE WHEN veto THEN 0 WHEN jif > 0 THEN least(100, log10(jif + 1.0::DOUBLE) * 25) ELSE v END) * 0.3::DOUBLE + 0.5)::BIGINT AS score FROM s""")
+def item_quality(spark, d):
+    """Quality of a library item."""
+    e = t(spark, d, "events").filter("value is not null")
+    kind = F.when(F.col("event_type") == "click", "journalArticle").when(F.col("event_type") == "view", "preprint").otherwise("book")
+    s = C.item_quality(F.floor("value"), F.col("user_id") % 15, kind, F.col("props"), F.col("event_type") == "view", F.col("user_id") % 20, F.lit(0), F.col("event_type") == "error")
+    return e.select("event_id", s.alias("score"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate-limited' WHEN 2 THEN 'http' ELSE 'network' END AS source, CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate-limited' WHEN 2 THEN 'auth' ELSE 'network' END AS domain FROM events")
+def failure_reasons(spark, d):
+    """Reason classes of both kinds of source."""
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, "request timed out").when(k == 1, "HTTP 429 from host").when(k == 2, "HTTP 403").otherwise("ECONNRESET")
+    return t(spark, d, "events").select("event_id", X.source_error(said).alias("source"), X.domain_error(said).alias("domain"))
+
+
+@query("""WITH x AS (SELECT doc_id, regexp_replace(lower(left(text, 30)), '[^a-z0-9]+', '', 'g') AS k, n_chars FROM documents)
+SELECT min(doc_id) AS ord, count(*) AS n_merged, max(n_chars) AS n_chars FROM x WHERE length(k) >= 10 GROUP BY k""")
+def dedup_titles(spark, d):
+    """Merge by title key; short titles go."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.left("text", F.lit(30)).alias("title"), "n_chars")
+    key = N.title_key("title")
+    return dedup.merge_articles(docs.filter(key.isNotNull()), key, long=[], most=["n_chars"], least=[], unions=[])
+
+
+@query("SELECT n, count(*) AS queries FROM (SELECT doc_id, CASE WHEN len(regexp_extract_all(lower(left(text, 40)), '[a-z0-9]+')) = 0 THEN 0 ELSE len(regexp_extract_all(lower(left(text, 40)), '[a-z0-9]+')) END::INTEGER AS n FROM documents) GROUP BY n")
+def query_tokens(spark, d):
+    """Tokens of an OR query."""
+    q = X.any_token_query(F.left("text", F.lit(40)))
+    n = F.when(q.isNull(), 0).otherwise(F.size(F.split(q, " OR ")))
+    return t(spark, d, "documents").groupBy(n.alias("n")).agg(F.count("*").alias("queries"))
