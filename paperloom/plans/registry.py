@@ -683,3 +683,12 @@ def query_tokens(spark, d):
     q = X.any_token_query(F.left("text", F.lit(40)))
     n = F.when(q.isNull(), 0).otherwise(F.size(F.split(q, " OR ")))
     return t(spark, d, "documents").groupBy(n.alias("n")).agg(F.count("*").alias("queries"))
+
+
+@query("""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)
+SELECT page_id, length(t) < 100 OR len(regexp_extract_all(t, '[{}();:@#.%<>\\[\\]]')) > 0.3 * length(t) AS garbage FROM x""")
+def page_garbage(spark, d):
+    """Pages whose text is no prose."""
+    from ..sources.markup import is_page_garbage
+
+    return t(spark, d, "pages").select("page_id", is_page_garbage(X.strip_markup("html")).alias("garbage"))
