@@ -37,11 +37,13 @@ from .textkernel import Chunk, buffers, mix, spans
 
 SPACE = "▁"
 #: Bytes of text that share one search.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 #: Cells of one word matrix.
-CELLS = 1 << 21
+CELLS = 1 << 17
+#: Ids that are decoded at a time.
+DECODED = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(_BASE)
@@ -307,14 +309,13 @@ class Model:
 
     def encode(self, column: pa.Array) -> pa.Array:
         """list<int32> of ids; null stays null."""
-        plain = pc.replace_substring(pc.fill_null(column.cast(pa.string()), ""), SPACE, " ")
-        data, offsets = buffers(plain)
+        _, rows = buffers(column.cast(pa.string()))
         flat, counts = [], np.zeros(len(column), np.int64)
-        for a, b in spans(offsets, BATCH_BYTES):
-            ids, many = self._encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            flat.append(ids)
-            counts[a:b] = many
-        values = pa.array(np.concatenate(flat) if flat else np.zeros(0), pa.int32())
+        for a, b in spans(rows, BATCH_BYTES):
+            part = pc.fill_null(column.slice(a, b - a).cast(pa.string()), "")
+            ids, counts[a:b] = self._encode(*buffers(pc.replace_substring(part, SPACE, " ")))
+            flat.append(ids.astype(np.int32))
+        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
         return pc.if_else(pc.is_valid(column), lists, pa.scalar(None, lists.type)) if column.null_count else lists
 
@@ -380,18 +381,22 @@ class Model:
             spelled = [bytes([int(p[3:5], 16)]) if k == 3 else b"" if k == 2 else b" \xe2\x81\x87 " if k == 1 else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds)]
             self._bytes = np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
         flat, at = self._bytes
-        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = column.flatten().to_numpy(zero_copy_only=False)
         if len(values) and (values.min() < 0 or values.max() >= len(self.pieces)):
             raise ValueError("an id is not in the vocabulary")
-        size = at[values + 1] - at[values]
-        total = np.concatenate([[0], np.cumsum(size)])
-        raw = flat[np.repeat(at[values] - total[:-1], size) + np.arange(total[-1])].tobytes()
-        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(counts)])
+        many = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        valid = pc.is_valid(column).to_pylist()
         texts: list[str | None] = []
-        for i, ok in enumerate(pc.is_valid(column).to_pylist()):
-            piece = raw[total[ends[i]] : total[ends[i + 1]]]
-            texts.append((piece[1:] if piece[:1] == b" " else piece).decode("utf-8", "replace") if ok else None)
+        for a, b in spans(ends, DECODED):
+            ids = values[ends[a] : ends[b]].astype(np.int64)
+            size = at[ids + 1] - at[ids]
+            total = np.concatenate([[0], np.cumsum(size)])
+            raw = flat[np.repeat(at[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
+            cut = total[ends[a : b + 1] - ends[a]]
+            for i in range(b - a):
+                piece = raw[cut[i] : cut[i + 1]]
+                texts.append((piece[1:] if piece[:1] == b" " else piece).decode("utf-8", "replace") if valid[a + i] else None)
         return pa.array(texts, pa.string())
 
 
