@@ -5,10 +5,14 @@
 2. Each class posts itself under its coordinate-value pairs.  A pair of sets
    with similarity s agrees on a share s of the ``COORDINATES`` in the mean; a
    pair counts as a match from ``MATCHES`` collisions on.  By the pigeonhole
-   principle such a pair meets in the ``COORDINATES - MATCHES + 1`` rarest
-   postings of each (the prefix), so long postings are skipped.
-3. Postings that share a class are merged into families: no matching pair lies
-   across two of them.
+   principle such a pair meets ``SHARED`` times or more in the ``COORDINATES -
+   MATCHES + SHARED`` rarest postings of each (the prefix), so long postings are
+   skipped, and so is a class with fewer postings that others are in.
+3. Matching pairs are merged into families.  First each class is
+   compared with one other alone, the end of a posting that it collides with
+   most often in postings across families; what then still lies across families
+   is compared posting by posting, in blocks.  No matching pair stays apart, and
+   sharing a posting without matching joins nothing.
 4. A family is dealt into blocks.  For each pair of blocks the exact
    intersections of all full sets come from one blocked matrix product, and what
    leaves the task is a spanning forest of the links found, at most a row for
@@ -39,8 +43,12 @@ from .textkernel import chunks, mix, shingle_sets
 COORDINATES = 32
 #: P(fewer matches | similarity 0.8) is about 2e-5.
 MATCHES = 16
+#: Postings of the prefix that a matching pair shares at least.
+SHARED = 5
+#: Rounds of one comparison for each class before postings are compared in blocks.
+ROUNDS = 1
 #: Rows of one side of a comparison block.
-BLOCK = 256
+BLOCK = 1024
 #: Shingles of one step of the matrix product.
 COLUMNS = 4096
 
@@ -81,7 +89,7 @@ def prefix_postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
     mine = Window.partitionBy("c")
     kept = tokens.join(shared, "token").withColumn("rank", F.row_number().over(mine.orderBy("many", "token"))).withColumn("own", F.count("*").over(mine))
     # what is posted by one class alone comes first in the order and meets nobody
-    kept = kept.filter(F.expr(f"rank + ({COORDINATES} - own) <= {COORDINATES - MATCHES + 1}")).select("token", "c")
+    kept = kept.filter(F.expr(f"own >= {MATCHES} and rank + ({COORDINATES} - own) <= {COORDINATES - MATCHES + SHARED}")).select("token", "c")
     return materialize(spark, kept, "postings")
 
 
@@ -101,9 +109,13 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[row[s:e], column[s:e] - a] = 1
         both += part @ part.T
-    link = 100.0 * both >= percent * (size[:, None] + size[None, :] - both.astype(np.float64))
-    free, out = np.ones(len(sets), bool), []
-    for root in range(len(sets)):
+    return _forest(100.0 * both >= percent * (size[:, None] + size[None, :] - both.astype(np.float64)))
+
+
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """(root, member) for each component of a small graph."""
+    free, out = np.ones(len(link), bool), []
+    for root in range(len(link)):
         if free[root]:
             free[root], front = False, [root]
             while front:
@@ -114,6 +126,89 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _by_unit(solve):
+    """Runs ``solve`` on the batches of each unit; rows come sorted by the first three columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for s, e in zip(cut, cut[1:]):
+                if e > s:
+                    if now != (at := tuple(key[s].tolist())):
+                        if held:
+                            yield from solve(held)
+                        now, held = at, []
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield from solve(held)
+
+    return run
+
+
+def _matching(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join the families of one block of a posting."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    c, comp = t["c"].to_numpy(), t["comp"].to_numpy()
+    sig = t["sig"].chunk(0).flatten().to_numpy().reshape(len(c), COORDINATES)
+    count = np.zeros((len(c), len(c)), np.int16)
+    for k in range(COORDINATES):
+        count += sig[:, k][:, None] == sig[:, k][None, :]
+    met, out = set(), []
+    for x, y in _forest((count >= MATCHES) | (comp[:, None] == comp[None, :])):
+        if comp[x] != comp[y] and comp[y] not in met:
+            met.add(comp[y])
+            out.append((int(c[x]), int(c[y])))
+    if out:
+        yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out]}, _PAIR)
+
+
+def _blocks(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """``rows`` with i and j: each group is dealt into blocks, each pair of blocks is a unit."""
+    many = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(many, group).withColumn("side", F.expr(f"cast(pmod(xxhash64({key}), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("blocks", "side", "other")
+
+
+def _open(spark: SparkSession, label: DataFrame) -> DataFrame:
+    """Postings across families, with their ends, of classes that have enough of them."""
+    ends = label.groupBy("token").agg(F.min("comp").alias("pc"), F.max("comp").alias("qc"), F.min_by("c", "comp").alias("p"), F.max_by("c", "comp").alias("q")).filter("pc <> qc")
+    enough = label.select("token", "c", "comp").join(ends, "token").withColumn("n", F.count("*").over(Window.partitionBy("c"))).filter(F.col("n") >= SHARED)
+    return materialize(spark, enough.drop("n"), "open")
+
+
+def _families(spark: SparkSession, postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) over the pairs that collide often enough."""
+    sig = classes.select("id", "sig").hint("merge")
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    links, comp = None, None
+    for step in range(ROUNDS + 1):
+        label = postings.withColumn("comp", F.col("c"))
+        if comp is not None:
+            label = postings.join(comp.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("component", "c").alias("comp"))
+        rest = _open(spark, _open(spark, label))
+        if rest.isEmpty():
+            break
+        if step < ROUNDS:
+            met = rest.select(F.col("c").alias("a"), F.when(F.col("comp") == F.col("pc"), F.col("q")).otherwise(F.col("p")).alias("b"))
+            best = met.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+            pairs = best.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+            found = pairs.filter(agree >= MATCHES).select("a", "b")
+        else:
+            rows = _blocks(rest.select("token", "c", "comp"), "token", "c").join(sig.withColumnRenamed("id", "c"), "c")
+            dealt = rows.select("token", "i", "j", "c", "comp", "sig").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+            found = dealt.mapInArrow(_by_unit(_matching), "a long, b long")
+        found = materialize(spark, found, "matches")
+        links = found if links is None else links.union(found)
+        comp = materialize(spark, components(spark, links), "families")
+    return comp if comp is not None else spark.createDataFrame([], "node long, component long")
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """(id, packed, size): compressed texts, which halves what the shuffles carry."""
 
@@ -126,43 +221,27 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _compare(words: int, percent: int):
-    """Links within each (family, i, j); the rows of a partition come sorted."""
+    """Links within each (family, i, j)."""
 
-    def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sets = [x for part in held for x in part.column(3).to_pylist()], []
         for part in held:
             texts = pa.array([pa.decompress(x.as_buffer(), n.as_py(), codec="zstd", asbytes=True).decode() for x, n in zip(part.column(4), part.column(5))], pa.string())
             for _, _, chunk in chunks(texts, lower=True):
                 sets += list(shingle_sets(chunk, words))
         if len(c) > 1 and (found := _linked(sets, percent)):
-            yield pa.RecordBatch.from_pydict({"a": [c[x] for x, _ in found], "b": [c[y] for _, y in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            key = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            for s, e in zip(cut, cut[1:]):
-                if e > s:
-                    if now != (at := tuple(key[s].tolist())):
-                        yield from links(held)
-                        now, held = at, []
-                    held.append(batch.slice(s, e - s))
-        yield from links(held)
+            yield pa.RecordBatch.from_pydict({"a": [c[x] for x, _ in found], "b": [c[y] for _, y in found]}, _PAIR)
 
-    return run
+    return _by_unit(solve)
 
 
-def _family_links(spark: SparkSession, docs: DataFrame, postings: DataFrame, words: int, percent: int) -> DataFrame:
+def _family_links(spark: SparkSession, docs: DataFrame, postings: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what the full sets connect."""
-    pivots = postings.groupBy("token").agg(F.min("c").alias("a"), F.count("*").alias("many")).filter("many > 1")
-    merged = components(spark, postings.join(pivots, "token").filter("a <> c").select("a", F.col("c").alias("b")))
-    family = materialize(spark, merged.select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
-    many = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    plan = materialize(spark, family.join(many, "family").withColumn("side", F.expr("cast(pmod(xxhash64(id), blocks) as int)")), "blocks")
+    family = _families(spark, postings, classes).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    plan = materialize(spark, _blocks(family, "family", "id"), "blocks")
+    # both sides grow with the corpus, so they meet by a shuffle at any size;
     # texts travel, not their shingles: they are smaller, and hashed where they are compared
-    rows = _packed(docs).join(plan, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "packed", "size")
+    rows = _packed(docs).join(plan.hint("merge"), "id").select("family", "i", "j", "id", "packed", "size")
     dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return materialize(spark, dealt.mapInArrow(_compare(words, percent), "a long, b long"), "links")
 
@@ -183,7 +262,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     classes = materialize(spark, classes, "classes")
     postings = prefix_postings(spark, classes)
 
-    links = links.union(_family_links(spark, docs, postings, words, percent))
+    links = links.union(_family_links(spark, docs, postings, classes, words, percent))
     comp = materialize(spark, components(spark, links), "components")
 
     label = by_set.join(comp.withColumnRenamed("node", "c"), "c", "left").select("hi", "lo", "n", F.coalesce("component", "c").alias("label"))
