@@ -61,11 +61,15 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORD
     With ``counts``, n_lines and n_removed follow the columns of ``docs``.
     """
     gone = repeated_lines(spark, docs, min_words, id_col, text)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    cut = joined.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_lines")[i]), "\n")))
-    out = [F.col("_new").alias(c) if c == text else x for c, x in zip(docs.columns, own)]
+    # the row travels as one struct, so no column of it can clash with a name used here
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_own"), F.xxhash64(text).alias("_key"))
+    # both sides grow with the corpus, so they meet by a shuffle at any size
+    joined = rows.join(gone.hint("merge"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
+    old = F.col("_row").getField(text)
+    lines = F.split(old, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    new = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
+    out = [(new if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns]
     if counts:
-        out += [F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
-    return cut.select(*out)
+        out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*out)
