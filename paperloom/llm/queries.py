@@ -38,8 +38,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
     """Every document encoded and decoded again: counts and digests of both."""
     own = sentencepiece.Model.load(model)
-    ids = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), own)
-    back = sentencepiece.decode(ids, own)
+    back = sentencepiece.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), own)
     same = F.translate("text", sentencepiece.SPACE, " ").eqNullSafe(F.col("decoded"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").cast("long").alias("n_chars"), same.alias("round_trip"))
 

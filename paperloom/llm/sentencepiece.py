@@ -38,8 +38,10 @@ from .textkernel import Chunk, buffers, mix, spans
 SPACE = "▁"
 #: Bytes of text that share one search.
 BATCH_BYTES = 1 << 20
+#: Bytes of a batch whose results are sent on together.
+SLICE_BYTES = 1 << 22
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: Cells of one word matrix.
 CELLS = 1 << 17
 #: Ids that are decoded at a time.
@@ -408,24 +410,46 @@ def _shared(model: Model) -> Model:
     return _MODELS.setdefault(model.mark, model)
 
 
-def _with(df: DataFrame, column: str, out: str, kind: str, work: str, model: Model) -> DataFrame:
-    """``df`` with ``out`` computed from ``column``; an ``out`` it had is replaced."""
-    source = df.select(*[f"`{c}`" for c in df.columns if c != out or c == column])
-    keep = [c for c in source.columns if c != out]
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each text or list of ids."""
+    size = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
+    return pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _with(df: DataFrame, steps: list[tuple[str, str, str, str]], model: Model) -> DataFrame:
+    """``df`` with a column ``out`` computed from ``column`` by each step (column, out, type, work).
+
+    An ``out`` that it had is replaced.  All steps run in one pass, in slices of
+    a batch, so a worker never holds the results of a whole batch.
+    """
+    made = {out: kind for _, out, kind, _ in steps}
+    first = steps[0][0]
+    source = df.select(*[f"`{c}`" for c in df.columns if c not in made or c == first])
+    keep = [c for c in source.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _shared(model)
         for batch in batches:
-            made = getattr(own, work)(batch.column(batch.schema.get_field_index(column)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), made], names=[*keep, out])
+            whole = dict(zip(batch.schema.names, batch.columns))
+            for a, b in spans(np.concatenate([[0], np.cumsum(_sizes(whole[first]))]), SLICE_BYTES):
+                columns = {c: values.slice(a, b - a) for c, values in whole.items()}
+                for column, out, _, work in steps:
+                    columns[out] = getattr(own, work)(columns[column])
+                names = [*keep, *made]
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep]
-    return source.mapInArrow(run, ", ".join([*fields, f"`{out}` {kind}"]))
+    return source.mapInArrow(run, ", ".join([*fields, *(f"`{out}` {kind}" for out, kind in made.items())]))
 
 
 def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids") -> DataFrame:
-    return _with(df, text, ids, "array<int>", "encode", model)
+    return _with(df, [(text, ids, "array<int>", "encode")], model)
 
 
 def decode(df: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    return _with(df, ids, text, "string", "decode", model)
+    return _with(df, [(ids, text, "string", "decode")], model)
+
+
+def round_trip(df: DataFrame, model: Model, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The ids of every text and the text that these give back, in one pass."""
+    return _with(df, [(text, ids, "array<int>", "encode"), (ids, decoded, "string", "decode")], model)
