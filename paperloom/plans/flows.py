@@ -108,3 +108,12 @@ def stream_deletes(spark, d):
     step = feeds.cascade_deletes(table, index, "vec_id")
     feeds.run(feeds.files(spark, f"{root}/in", "vec_id long"), f"{root}/ckpt", lambda b, n: (step(b, n), last.append(n)))
     return table.read(max(last)).select("vec_id", "label")
+
+
+@query(r"""WITH s AS (SELECT doc_id AS ord, unnest(list_concat(list_filter(list_concat(coalesce(string_split(text, ' ')[1:5], []), [lang]), lambda x: length(x) BETWEEN 2 AND 60),
+  coalesce(regexp_extract_all(text, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1), []))) AS signal FROM documents)
+SELECT signal, min(ord) AS ord FROM s GROUP BY signal""")
+def review_signals(spark, d):
+    """What reviews name, for follow-up queries."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("title"), F.split("text", " ").alias("tags"), F.col("lang").alias("domain"))
+    return literature.review_signals(docs).select("signal", "ord")

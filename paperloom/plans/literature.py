@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dialects as D
 from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
@@ -75,3 +76,32 @@ def deep_search(spark: SparkSession, first: Sequence[str], fetch: Callable[[Data
         queries = [" ".join(r["title"].split()[:4]) for r in best if r["title"]]
     papers = kept.orderBy(F.desc("score"), "key").limit(most)
     return papers, usage.score_buckets(papers, "score")
+
+
+# ---- fixed values: what counts as a technical term in a title, and how many signals a seed set may have
+TECHNICAL_TERM = r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:[A-Z][a-z]+)+)(?![A-Za-z0-9_])"
+MOST_SIGNALS = 10_000
+
+
+def review_signals(reviews: DataFrame) -> DataFrame:
+    """Distinct (signal, ord) of reviews (ord, title, tags, domain), ord that of the first one.
+
+    Signals are the first five tags and the domain, of 2 to 60 characters each,
+    and technical terms in the title.  Null columns give none.
+    """
+    none = F.array().cast("array<string>")
+    named = F.filter(F.concat(F.coalesce(F.slice("tags", 1, 5), none), F.array("domain")), lambda x: F.length(x).between(2, 60))
+    terms = F.coalesce(F.regexp_extract_all("title", F.lit(TECHNICAL_TERM), F.lit(1)), none)
+    found = reviews.select("ord", F.posexplode(F.concat(named, terms)).alias("k", "signal"))
+    return found.groupBy("signal").agg(F.min(F.struct("ord", "k")).alias("at")).select("signal", "at.ord", "at.k")
+
+
+def review_queries(reviews: DataFrame, query: str, most: int = 5) -> list[str]:
+    """Queries that follow up what a search's reviews name, alike ones once.
+
+    The reviews are one search's results; more than MOST_SIGNALS signals are an error.
+    """
+    signals = [row.signal for row in review_signals(reviews).orderBy("ord", "k").limit(MOST_SIGNALS + 1).collect()]
+    if len(signals) > MOST_SIGNALS:
+        raise ValueError(f"more than {MOST_SIGNALS} signals: these are not the reviews of one search")
+    return D.distinct_queries([f"{s} {query}" for s in signals])[:most]

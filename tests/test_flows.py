@@ -94,3 +94,13 @@ def test_watermarked_usage_is_a_stream(spark, tmp_path):
     spark.sql("select timestamp'2024-01-01 10:00:00' ts, 'a' event_type, 1.0D value").write.parquet(f"{tmp_path}/in")
     stream = feeds.daily_usage(feeds.files(spark, f"{tmp_path}/in", "ts timestamp, event_type string, value double"))
     assert stream.isStreaming and stream.columns == ["day", "event_type", "n", "total"]
+
+
+def test_review_queries(spark):
+    rows = [(2, "Uses of DeepLearning and X", ["a", "graph networks"], None), (1, None, None, "protein folding"), (3, "DeepLearning AlphaFold2 AlphaFold", ["t1", "t2", "t3", "t4", "t5", "t6"], "y" * 61)]
+    reviews = spark.createDataFrame(rows, "ord int, title string, tags array<string>, domain string")
+    got = [tuple(r) for r in literature.review_signals(reviews).orderBy("ord", "k").select("signal", "ord").collect()]
+    assert got == [("protein folding", 1), ("graph networks", 2), ("DeepLearning", 2), *((f"t{i}", 3) for i in range(1, 6)), ("AlphaFold", 3)]
+    out = literature.review_queries(reviews.filter("ord < 3"), "review")
+    assert out == ["protein folding review", "graph networks review", "DeepLearning review"]
+    assert literature.review_queries(reviews.limit(0), "review") == []
