@@ -291,3 +291,13 @@ def test_whole_long_page():
 def test_digest_is_stable(bpe):
     ids = bpe.encode(pa.array(["The quick brown fox\n jumps"])).to_pylist()[0]
     assert hashlib.sha256(str(ids).encode()).hexdigest() == hashlib.sha256(str(bpe.encode(pa.array(["x", "The quick brown fox\n jumps"])).to_pylist()[1]).encode()).hexdigest()
+
+
+def test_round_trip_in_one_pass_equals_both_steps(spark, bpe):
+    text = F.when(F.col("doc_id") == 4, F.repeat(F.lit("long \u2581words\n"), 400_000)).otherwise(F.col("text"))  # over one slice
+    rows = [(1, "a few words", "x", [7]), (2, None, None, None), (3, "", "y", []), (4, "", "z", None), (1, "a few words", "x", [7])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, decoded string, ids array<int>").coalesce(1).withColumn("text", text)
+    both, steps = sentencepiece.round_trip(docs, bpe), sentencepiece.decode(sentencepiece.encode(docs, bpe), bpe)
+    seen = [sorted(map(tuple, df.select("doc_id", F.md5("text"), F.size("ids"), F.xxhash64("ids"), F.md5("decoded"), F.translate("text", sentencepiece.SPACE, " ").eqNullSafe(F.col("decoded"))).collect()), key=str) for df in (both, steps)]
+    assert seen[0] == seen[1] and len(seen[0]) == 5 and all(r[-1] for r in seen[0])
+    assert sentencepiece.round_trip(docs.limit(0), bpe).collect() == []
