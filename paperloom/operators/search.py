@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from ..functions.text import tokens as index_tokens
 K1, B = 1.2, 0.75
 #: Inverse document frequency of a term in half of all documents or more.
 LEAST_IDF = 1e-6
+#: Vectors of one side of a unit of comparisons, and those compared at once.
+CHUNK_ROWS = 4096
+SLICE = 256
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector: str = "embedding", threshold: float | None = None) -> DataFrame:
@@ -52,16 +57,89 @@ def bm25(docs: DataFrame, query: Sequence[str], k: int, id_col: str = "doc_id",
     return scored.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, group: Column, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, similarity) with a < b of one group at or over the threshold.
+def similar_pairs(vectors: DataFrame, threshold: float, group: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, similarity) with a < b at or over the threshold; with ``group``, inside a group only.
 
-    The group keeps the comparison an equality join; it must be chosen so that
-    a group is small, such as a label, a cluster or an LSH bucket.
+    Vectors of a group are dealt into chunks of ``CHUNK_ROWS`` and each pair of
+    chunks is one unit of work, so a group of any size is spread over tasks and
+    only pairs over the threshold leave them.  A vector without an id or group,
+    or with a null, NaN or infinite component, has no pair; so have vectors of
+    different lengths unless 0 reaches the threshold.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), group.alias("g"))
-    a, b = (rows.select("g", F.col("id").alias(n), F.col("v").alias(f"v_{n}")) for n in "ab")
-    pairs = a.join(b, "g").filter("a < b").select("a", "b", cosine(F.col("v_a"), F.col("v_b")).alias("similarity"))
-    return pairs.filter(F.col("similarity") >= threshold)
+    v = F.col(vector).cast("array<double>")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), (F.lit("") if group is None else group.cast("string")).alias("g"))
+    rows = rows.filter("id is not null and v is not null and g is not null").filter(~bad).withColumn("d", F.size("v"))
+    many = rows.groupBy("g", "d").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("n")).filter("n > 1")  # at most a row for each chunk
+    rows = rows.join(F.broadcast(many), ["g", "d"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    units = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    units = units.select("g", "d", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "v")
+
+    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        d, i, j = (t[c][0].as_py() for c in ("d", "i", "j"))
+        ids, m = t["id"].to_numpy(), t["v"].chunk(0).flatten().to_numpy().reshape(len(t), d)
+        norm = np.zeros(len(t))
+        for k in range(d):  # summed in the order of ``cosine``
+            norm += m[:, k] * m[:, k]
+        norm = np.sqrt(norm)
+        unit = m / np.where(norm > 0, norm, 1)[:, None]
+        cut = int((t["own"].to_numpy() == i).sum())
+        left, right = np.arange(cut), np.arange(cut if i != j else 0, len(t))
+        for s in range(0, len(left), SLICE):
+            x, y = np.nonzero(unit[left[s : s + SLICE]] @ unit[right].T >= threshold - 1e-9)
+            x, y = left[s : s + SLICE][x], right[y]
+            keep = (ids[x] < ids[y]) if i == j else (ids[x] != ids[y])
+            x, y = x[keep], y[keep]
+            x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+            dot = np.zeros(len(x))
+            for k in range(d):
+                dot += m[x, k] * m[y, k]
+            both = norm[x] * norm[y]
+            cos = np.divide(dot, both, out=np.zeros(len(x)), where=both > 0)
+            x, y, cos = (z[cos >= threshold] for z in (x, y, cos))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(cos)], names=["a", "b", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in by_unit(batches, 4):
+            yield from solve(parts)
+
+    dealt = units.repartition("g", "d", "i", "j").sortWithinPartitions("g", "d", "i", "j", "own", "id")
+    return dealt.mapInArrow(run, "a long, b long, similarity double")
+
+
+def by_unit(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of each unit of a sorted partition; the first ``keys`` columns name the unit."""
+    now, held = None, []
+    for batch in batches:
+        key = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
+        cut = [0, *(x for x in range(1, len(key)) if key[x] != key[x - 1]), len(key)]
+        for s, e in zip(cut, cut[1:]):
+            if e > s:
+                if held and key[s] != now:
+                    yield held
+                    held = []
+                now = key[s]
+                held.append(batch.slice(s, e - s))
+    if held:
+        yield held
+
+
+def duplicate_groups(spark: SparkSession, vectors: DataFrame, threshold: float, checkpoint, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(leader, member, similarity): ``leader_groups`` over all pairs of all vectors.
+
+    Identical vectors have the same neighbours, so the smallest id stands for
+    all of them: the others join its leader, or itself if it leads.  Pairs are
+    formed between different vectors only.
+    """
+    v = F.col(vector)
+    classes = checkpoint(vectors.filter(F.col(id_col).isNotNull() & v.isNotNull()).groupBy(v.alias("v")).agg(F.min(id_col).alias("id"), F.count("*").alias("n")))
+    led = checkpoint(leader_groups(spark, similar_pairs(classes, threshold, None, "id", "v"), checkpoint))
+    copies = vectors.join(classes.filter("n > 1").select(F.col("v").alias("_v"), F.col("id").alias("first")), v == F.col("_v")).filter(F.col(id_col) != F.col("first"))
+    copies = copies.select(F.col(id_col).alias("copy"), "first", cosine(v, v).alias("self")).filter(F.col("self") >= threshold)
+    joined = copies.join(led, F.col("first") == F.col("member"), "left")
+    return led.union(joined.select(F.coalesce("leader", "first"), "copy", F.coalesce("similarity", "self")))
 
 
 def leader_groups(spark: SparkSession, pairs: DataFrame, checkpoint) -> DataFrame:

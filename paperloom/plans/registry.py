@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +33,14 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share, and read back: rounds do not pile up in its plan."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    path = f"{base.rstrip('/')}/paperloom/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def r(c, n: int = 4):
     return F.round(c, n)
 
@@ -74,11 +83,18 @@ def duplicate_pairs(spark, d):
     return pairs.select("a", "b", r("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH v AS ({_VEC}) SELECT a.vec_id AS a, b.vec_id AS b, round({_COS.replace('v,', 'a.v,').replace(', v)', ', a.v)').replace('q)', 'b.v)').replace('(q,', '(b.v,')}, 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE {_COS.replace('v,', 'a.v,').replace(', v)', ', a.v)').replace('q)', 'b.v)').replace('(q,', '(b.v,')} >= 0.4")
+def duplicate_pairs_all(spark, d):
+    """All pairs at or over a similarity, whatever their labels."""
+    pairs = search.similar_pairs(t(spark, d, "embeddings"), 0.4)
+    return pairs.select("a", "b", r("similarity", 6).alias("similarity"))
+
+
 @query()
 def duplicate_groups(spark, d):
-    """Greedy leaders over the pairs."""
-    pairs = search.similar_pairs(t(spark, d, "embeddings"), 0.4, F.col("label"))
-    return search.leader_groups(spark, pairs, lambda x: x.persist()).select("leader", "member", r("similarity", 6).alias("similarity"))
+    """Greedy leaders over all pairs."""
+    groups = search.duplicate_groups(spark, t(spark, d, "embeddings"), 0.4, lambda x: stored(spark, x))
+    return groups.select("leader", "member", r("similarity", 6).alias("similarity"))
 
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"

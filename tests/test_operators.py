@@ -1,5 +1,6 @@
 """Operators on small tables."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import normalize as N
 from paperloom.operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search
+from paperloom.plans import registry
 
 
 def test_conditions_refuse_what_they_do_not_know(spark):
@@ -128,3 +130,33 @@ def test_ivf_recall(spark):
     centres = search.ivf_centroids(df, 10, rounds=2)
     exact = {r.vec_id for r in search.nearest(df, rows[0][1], 10).collect()}
     assert len(exact & {r.vec_id for r in search.ivf_search(df, centres, rows[0][1], 10, probes=5).collect()}) >= 9
+
+
+def test_duplicates_are_found_across_labels_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK_ROWS", 16)
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], i % 3) for i in range(80)] + [(i, [1.0, 0.5, 0.0, 0.0, 0.0, 0.0], i % 3) for i in range(80, 120)] + [(120, [0.0] * 6, 0), (121, [0.0] * 6, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    v = [[float(x) for x in r.embedding] for r in df.orderBy("vec_id").collect()]
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    want = {(a, b) for a in range(122) for b in range(a + 1, 122) if (n := (dot(v[a], v[a]) * dot(v[b], v[b])) ** 0.5) and dot(v[a], v[b]) / n >= 0.6}
+    got = [(r.a, r.b) for r in search.similar_pairs(df, 0.6).collect()]
+    assert len(got) == len(want) and set(got) == want
+    within = [(r.a, r.b) for r in search.similar_pairs(df, 0.6, F.col("label")).collect()]
+    assert sorted(within) == sorted((a, b) for a, b in want if a % 3 == b % 3)
+    leaders, member = [], {}
+    for b in range(122):
+        if own := [a for a in leaders if (a, b) in want]:
+            member[b] = own[0]
+        else:
+            leaders.append(b)
+    groups = search.duplicate_groups(spark, df, 0.6, lambda x: registry.stored(spark, x)).collect()
+    assert len(groups) == len(member) and {r.member: r.leader for r in groups} == member
+
+
+def test_duplicate_queries_lose_no_label(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the tables are not here")
+    assert registry.duplicate_pairs_all(spark, "/root/testdata/sf0.001").count() > registry.duplicate_pairs(spark, "/root/testdata/sf0.001").count()
+    label = {r.vec_id: r.label for r in registry.t(spark, "/root/testdata/sf0.001", "embeddings").collect()}
+    assert any(label[r.leader] != label[r.member] for r in registry.duplicate_groups(spark, "/root/testdata/sf0.001").collect())
