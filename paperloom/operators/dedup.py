@@ -24,10 +24,16 @@ def longest(column: str, order: str) -> Column:
     return F.max_by(F.col(column), F.struct(F.length(column), -F.col(order)))
 
 
-def ordered_union(column: str, order: str) -> Column:
-    """Distinct values of a list column, by arrival."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("v"))))
-    return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.coalesce(r["v"], F.array().cast("array<string>")))))
+def ordered_union(keyed: DataFrame, column: str, order: str) -> DataFrame:
+    """(_u, column): distinct values of a list column for each ``_key``, by arrival.
+
+    The first place of each value is found before values meet in a list, so a
+    list holds as many entries as there are values, not rows.
+    """
+    values = keyed.select("_key", F.col(order).alias("o"), F.col(column).alias("v"), F.posexplode(column).alias("p", "x"))
+    firsts = values.groupBy("_key", "x").agg(F.min(F.struct("o", "v", "p")).alias("at")).select("_key", F.struct("at", "x").alias("s"))
+    listed = firsts.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list("s")), lambda r: r["x"]).alias(column))
+    return listed.withColumnRenamed("_key", "_u")
 
 
 def merge_articles(df: DataFrame, key: Column, order: str = "ord", fill: Sequence[str] = (), long: Sequence[str] = ("title", "abstract"), most: Sequence[str] = ("citations",), least: Sequence[str] = ("year",), unions: Sequence[str] = ("sources",)) -> DataFrame:
@@ -38,8 +44,11 @@ def merge_articles(df: DataFrame, key: Column, order: str = "ord", fill: Sequenc
     """
     keyed = df.withColumn("_key", F.coalesce(F.concat(F.lit("k:"), key), F.concat(F.lit("r:"), F.col(order).cast("string"))))
     made = [longest(c, order).alias(c) for c in long] + [first_filled(c, order).alias(c) for c in fill] + [F.max(c).alias(c) for c in most]
-    made += [F.min(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in least] + [ordered_union(c, order).alias(c) for c in unions]
-    return keyed.groupBy("_key").agg(F.min(order).alias(order), F.count("*").alias("n_merged"), *made).drop("_key")
+    made += [F.min(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in least]
+    out = keyed.groupBy("_key").agg(F.min(order).alias(order), F.count("*").alias("n_merged"), *made)
+    for c in unions:
+        out = out.join(ordered_union(keyed, c, order), F.col("_key") == F.col("_u"), "left").withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType))).drop("_u")
+    return out.drop("_key")
 
 
 def first_whole(df: DataFrame, key: Column, order: str = "ord", sources: str = "source") -> DataFrame:

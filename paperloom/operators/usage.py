@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_GROUPS = 100
@@ -76,5 +76,7 @@ def score_buckets(df: DataFrame, score: str) -> DataFrame:
 def learnt_queries(df: DataFrame, query: str, score: str, host: str, top: int = 5) -> DataFrame:
     """Mean score and count of each query, with the hosts it found most."""
     hosts = df.groupBy(query, host).agg(F.count("*").alias("_n"), F.sum(score).alias("_s"))
-    ranked = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col(host).alias("h")))), 1, top), lambda x: x["h"])
-    return hosts.groupBy(query).agg((F.sum("_s") / F.sum("_n")).alias("mean_score"), F.sum("_n").alias("n"), ranked.alias("hosts"))
+    best = hosts.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("_n"), host))).filter(F.col("_r") <= top)  # few rows leave each task
+    best = best.groupBy(F.col(query).alias("_q")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col(host).alias("h")))), lambda x: x["h"]).alias("hosts"))
+    totals = hosts.groupBy(query).agg((F.sum("_s") / F.sum("_n")).alias("mean_score"), F.sum("_n").alias("n"))
+    return totals.join(best, F.col(query).eqNullSafe(F.col("_q"))).drop("_q")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import normalize as N
-from paperloom.operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search
+from paperloom.operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, usage
 from paperloom.plans import registry
 
 
@@ -160,3 +160,14 @@ def test_duplicate_queries_lose_no_label(spark):
     assert registry.duplicate_pairs_all(spark, "/root/testdata/sf0.001").count() > registry.duplicate_pairs(spark, "/root/testdata/sf0.001").count()
     label = {r.vec_id: r.label for r in registry.t(spark, "/root/testdata/sf0.001", "embeddings").collect()}
     assert any(label[r.leader] != label[r.member] for r in registry.duplicate_groups(spark, "/root/testdata/sf0.001").collect())
+
+
+def test_lists_hold_values_not_rows(spark):
+    rows = spark.range(2000).select(F.col("id").alias("ord"), F.lit("k").alias("k"), F.array(F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("sources"))
+    merged = dedup.merge_articles(rows, F.col("k"), long=[], most=[], least=[])
+    assert [(r.ord, r.n_merged, r.sources) for r in merged.collect()] == [(0, 2000, ["s0", "s1", "s2"])]
+    events = spark.range(2000).select(F.when(F.col("id") >= 0, "q").alias("query"), F.lit(1.0).alias("score"), F.col("id").alias("host"))
+    learnt = usage.learnt_queries(events, "query", "score", "host")
+    assert [(r.mean_score, r.n, r.hosts) for r in learnt.collect()] == [(1.0, 2000, [0, 1, 2, 3, 4])]
+    plan = learnt._jdf.queryExecution().executedPlan().toString() + merged._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "collect_list(struct(o, ord" not in plan
