@@ -701,6 +701,32 @@ def query_tokens(spark, d):
     return t(spark, d, "documents").groupBy(n.alias("n")).agg(F.count("*").alias("queries"))
 
 
+@query("""WITH k AS (SELECT *, md5(text) AS key FROM documents)
+SELECT min(doc_id) AS ord, count(*) AS n_merged, array_to_string(list_distinct_in_order, ',') AS sources FROM (
+SELECT coalesce(key, doc_id::VARCHAR) AS g, key IS NULL AS own, doc_id, list(source ORDER BY doc_id) OVER (PARTITION BY coalesce(key, doc_id::VARCHAR), key IS NULL) AS l FROM k) x,
+LATERAL (SELECT list(s ORDER BY p) AS list_distinct_in_order FROM (SELECT s, min(p) AS p FROM (SELECT unnest(l) AS s, generate_subscripts(l, 1) AS p) GROUP BY s)) y GROUP BY g, own, list_distinct_in_order""")
+def dedup_sources_whole(spark, d):
+    """As dedup_sources, by the whole text; only a null text has no key."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text", F.array("source").alias("sources"))
+    out = dedup.merge_articles(docs, F.md5("text"), long=[], most=[], least=[], unions=["sources"])
+    return out.select("ord", "n_merged", F.array_join("sources", ",").alias("sources"))
+
+
+@query("SELECT arg_min(doc_id, doc_id) AS ord, arg_min(lang, doc_id) AS lang, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM documents WHERE text IS NOT NULL GROUP BY md5(text)")
+def dedup_first_whole(spark, d):
+    """As dedup_first, by the whole text; only a null text has no key."""
+    out = dedup.first_whole(t(spark, d, "documents").withColumnRenamed("doc_id", "ord"), F.md5("text"))
+    return out.select("ord", "lang", F.array_join("sources", ",").alias("sources"))
+
+
+@query("SELECT n, count(*) AS queries FROM (SELECT doc_id, CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) = 0 THEN 0 ELSE len(regexp_extract_all(lower(text), '[a-z0-9]+')) END::INTEGER AS n FROM documents) GROUP BY n")
+def query_tokens_whole(spark, d):
+    """Tokens of an OR query of the whole text."""
+    q = X.any_token_query("text", 2**31 - 1)
+    n = F.when(q.isNull(), 0).otherwise(F.size(F.split(q, " OR ")))
+    return t(spark, d, "documents").groupBy(n.alias("n")).agg(F.count("*").alias("queries"))
+
+
 @query("""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)
 SELECT page_id, length(t) < 100 OR len(regexp_extract_all(t, '[{}();:@#.%<>\\[\\]]')) > 0.3 * length(t) AS garbage FROM x""")
 def page_garbage(spark, d):

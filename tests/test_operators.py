@@ -171,3 +171,12 @@ def test_lists_hold_values_not_rows(spark):
     assert [(r.mean_score, r.n, r.hosts) for r in learnt.collect()] == [(1.0, 2000, [0, 1, 2, 3, 4])]
     plan = learnt._jdf.queryExecution().executedPlan().toString() + merged._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "collect_list(struct(o, ord" not in plan
+
+
+def test_whole_texts_are_keys(spark, tmp_path):
+    rows = [(1, "a" * 250 + " x", "en", "s1"), (2, "a" * 250 + " y", "en", "s2"), (3, "short", "en", "s3"), (4, "short", "en", "s4"), (5, None, "en", "s5")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.ord, r.n_merged, r.sources) for r in run("dedup_sources_whole")) == [(1, 1, "s1"), (2, 1, "s2"), (3, 2, "s3,s4"), (5, 1, "s5")]
+    assert sorted((r.ord, r.sources) for r in run("dedup_first_whole")) == [(1, "s1"), (2, "s2"), (3, "s3,s4")]
+    assert sorted((r.n, r.queries) for r in run("query_tokens_whole")) == [(0, 1), (1, 2), (2, 2)]
