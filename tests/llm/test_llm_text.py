@@ -94,6 +94,14 @@ def test_line_dedup_against_sql(spark, duck):
     assert any(r[3] for r in got)
 
 
+def test_line_dedup_of_many_lines_and_repeated_rows(spark):
+    lines = [f"line {i} of a long text" for i in range(20_000)]
+    text = "\n".join(lines + lines[:5000])
+    docs = spark.createDataFrame([(1, text)] + [(2, "w " * 60)] * 500 + [(3, "w " * 60)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeats(spark, docs).dropDuplicates().collect()}
+    assert got == {1: "\n".join(lines), 2: "w " * 60, 3: ""}
+
+
 def test_line_dedup_edges(spark):
     passage = "p " * 60
     data = [(None, passage), (5, passage), (5, passage), (3, "head\n" + passage + "\ntail"), (4, passage + "\n" + passage)]
