@@ -5,9 +5,17 @@ linear classifier turns tags, class names, link share and length into each
 block's cost of being content or boilerplate.  These costs are capacities to the
 two terminals; neighbouring blocks, and blocks next to each other under one
 parent, are joined by edges that weigh more the nearer they lie in the tree.
-The minimum cut, found by maximum flow, is the labelling of least total cost, so
-a short paragraph inside an article stays with it and a long one inside a
-notice goes.
+The minimum cut, found by maximum flow, is the labelling of least total cost.
+A linked sentence between paragraphs is cheaper to keep with them than to cut
+out, while in a list of links each link adds to the cost of keeping it.  What
+names itself page furniture has a cost that its few edges cannot outweigh.
+
+There are no labels for pages, so the weights are fixed parameters.  A class or
+id speaks against its element only where the name as a whole says so: its last
+part is a furniture word, or its first is one and the rest is a plain container
+word (``site-nav``, ``comment-list``, but not ``ad-free`` or ``related-work``).
+The name of an element that holds half of the page with its article or main
+part says nothing, and inside an article a header is the article's own.
 
 What a browser never shows as text (scripts, styles, templates, form controls,
 comments, hidden elements) is no block at all.  Character references are
@@ -24,7 +32,7 @@ rows and an empty table pass through untouched.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -34,31 +42,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # ---- fixed tag and word lists of HTML and of common page furniture
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select option optgroup datalist button textarea label input fieldset legend".split())
+SILENT = frozenset("script style noscript template head title iframe object canvas audio video select option optgroup datalist button textarea label input fieldset legend annotation".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: An open element that ends when one of these begins.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
-TAG_COST = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -6.0, "article": 4.0, "main": 3.0}
-ROLE_COST = {"navigation": -9.0, "banner": -7.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "dialog": -9.0, "alertdialog": -9.0, "alert": -7.0, "menu": -9.0, "menubar": -9.0, "article": 3.0, "main": 3.0}
-BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond consent cookie cookies copyright credits footer footnav gdpr header masthead login signup signin register menu menubar modal popup overlay nav navbar navigation newsletter subscribe subscription notice notification alert pager pagination promo promoted promotion related recommended recommendations share sharing social sidebar side sponsor sponsored sponsors tags toolbar topbar widget widgets".split())
+FURNITURE_TAGS = frozenset("nav footer aside form menu dialog header".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
+MAIN = frozenset("article main".split())
+BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond consent cookie cookies copyright footer footnav gdpr header masthead login signup signin register menu menubar modal popup overlay nav navbar navigation newsletter notice notices subscribe subscription notice notification alert pager pagination promo promoted promotion related recommended recommendations share sharing social sidebar sponsor sponsored sponsors toolbar topbar widget widgets".split())
+OWN_HEADERS = frozenset("header masthead".split())
+CONTAINER_WORDS = frozenset("area articles bar block body bottom box button buttons col column container content form group inner item items left link links list main outer panel placeholder posts right row section slot text top unit wrap wrapper".split())
+STATE_WORDS = frozenset("has is js no with without".split())
 GOOD_WORDS = frozenset("article content contents entry main post story body text copy page prose".split())
 
+# ---- weights of the classifier
+TAG_COST, NAME_COST, MAIN_GAIN, GOOD_GAIN = -6.5, -5.5, 4.0, 2.0
+#: What an article's tag says for the furniture inside it.
+INSIDE = 0.2
+#: A block outside the marked main part of a page, where that part holds half of the words.
+OUTSIDE = -2.0
+LINKED, LENGTH, MOST_LENGTH, SENTENCE = -4.0, 0.8, 2.5, 0.5
+NEIGHBOUR, SIBLING = 4.5, 0.5
+#: Steps in the tree, and elements around a block, beyond which nothing is weighed.
+FAR = 32
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'=<>`]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACES = re.compile(r"\s+")
 
 
+@dataclass
+class Mark:
+    """An element that looks like page furniture."""
+
+    cost: float
+    by_name: bool
+    outer: Mark | None
+    words: int = 0
+    holds_main: bool = False
+
+
 @dataclass
 class Element:
     tag: str
     parent: Element | None
     depth: int
-    cost: float  # of all elements from the root on
+    gain: float  # of the best element from the root on
+    main: bool
+    mark: Mark | None
     silent: bool
     in_link: bool
+    block: Element | None = None  # the nearest block-level element, itself included
 
 
 @dataclass
@@ -67,34 +104,70 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    words: int = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in _ATTR.finditer(raw)}
 
 
-def _open(tag: str, raw: str, parent: Element | None) -> Element:
-    cost, silent = TAG_COST.get(tag, 0.0), tag in SILENT
+def name_says(names: str, in_main: bool) -> int:
+    """-1 if a class or id names furniture, 1 if it names content, else 0."""
+    bad = good = False
+    for name in names.lower().split():
+        parts = [p for p in (re.sub(r"\d+", "", x) for x in re.split(r"[_\-:]+", name)) if p]
+        if not parts or parts[0] in STATE_WORDS:
+            continue
+        word = parts[-1] if parts[-1] in BAD_WORDS else parts[0] if parts[0] in BAD_WORDS and all(p in CONTAINER_WORDS or p in BAD_WORDS for p in parts[1:]) else ""
+        if word and not (in_main and word in OWN_HEADERS):
+            bad = True
+        elif parts[-1] in GOOD_WORDS or parts[0] in GOOD_WORDS:
+            good = True
+    return good - bad
+
+
+def _open(tag: str, raw: str, parent: Element) -> Element:
+    role, says, hidden = "", 0, False
     if raw and not raw.isspace():
         a = _attributes(raw)
-        cost = min(cost, ROLE_COST.get(a.get("role", "").lower(), 0.0)) if cost <= 0 or ROLE_COST.get(a.get("role", "").lower(), 0) < 0 else cost
-        if cost == 0:
-            cost = ROLE_COST.get(a.get("role", "").lower(), 0.0)
+        role = a.get("role", "").lower()
         if tag not in ("html", "body"):
-            names = set(re.split(r"[\s_\-:]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
-            bad, good = bool(names & BAD_WORDS), bool(names & GOOD_WORDS)
-            # a name that holds both, such as content-with-sidebar, says nothing against it
-            cost += -7.0 * (bad and not good) + 2.0 * (good and not bad)
-        silent |= "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
-    up = parent
-    return Element(tag, up, up.depth + 1 if up else 0, cost + (up.cost if up else 0.0), silent or bool(up and up.silent), tag == "a" or bool(up and up.in_link))
+            says = name_says(f"{a.get('class', '')} {a.get('id', '')}", parent.main)
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
+    main = tag in MAIN or role in MAIN
+    own = parent.main and (tag == "header" or role == "banner")
+    mark = parent.mark
+    if role in FURNITURE_ROLES and not own:
+        mark = Mark(TAG_COST, False, mark)
+    elif tag in FURNITURE_TAGS and not own and not main:
+        mark = Mark(TAG_COST, tag == "form", mark)
+    elif says < 0:
+        mark = Mark(NAME_COST, True, mark)
+    if main:
+        for m in _around(mark):
+            m.holds_main = True
+    gain = max(parent.gain, MAIN_GAIN if main else GOOD_GAIN if says > 0 else 0.0)
+    e = Element(tag, parent, parent.depth + 1, gain, main or parent.main, mark, hidden or tag in SILENT or parent.silent, tag == "a" or parent.in_link)
+    e.block = e if tag in BLOCKS else parent.block
+    return e
+
+
+def _around(mark: Mark | None) -> Iterator[Mark]:
+    """A mark and those around it, as far as they are weighed."""
+    for _ in range(FAR):
+        if mark is None:
+            return
+        yield mark
+        mark = mark.outer
 
 
 def read_blocks(html: str) -> list[Block]:
     """Text blocks in page order, with the element that each lies in."""
-    at = root = Element("", None, 0, 0.0, False, False)
+    at = root = Element("", None, 0, 0.0, False, None, False, False)
+    root.block = root
     out: list[Block] = []
     now: Block | None = None
+    opened: Counter[str] = Counter()
 
     def add(raw: str) -> None:
         nonlocal now
@@ -104,14 +177,18 @@ def read_blocks(html: str) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            holder = at
-            while holder.tag and holder.tag not in BLOCKS:
-                holder = holder.parent
-            now = Block(holder)
+            now = Block(at.block)
             out.append(now)
         now.parts.append(text)
         now.linked += len(text.split()) if at.in_link else 0
 
+    def leave(last: Element) -> None:
+        """Ends all open elements up to ``last``."""
+        nonlocal at
+        while at is not last.parent:
+            opened[at.tag] -= 1
+            at = at.parent
+
     pos, n = 0, len(html)
     while pos < n:
         lt = html.find("<", pos)
@@ -133,45 +210,52 @@ def read_blocks(html: str) -> list[Block]:
         elif tag == "br":
             add(" ")
         if m[1]:
-            e = at
-            while e.tag and e.tag != tag:
-                e = e.parent
-            if e.tag:
-                at = e.parent
+            if opened[tag]:  # an end without a beginning ends nothing
+                e = at
+                while e.tag != tag:
+                    e = e.parent
+                leave(e)
             continue
         if tag in VOID:
             continue
         while at.tag in CLOSES and tag in CLOSES[at.tag]:
-            at = at.parent
-        if tag in BLOCKS:  # inline elements left open inside a paragraph end with it
-            e = at
-            while e.tag and e.tag not in BLOCKS:
-                e = e.parent
-            if e.tag in CLOSES and tag in CLOSES[e.tag]:
-                at = e.parent
-        e = _open(tag, m[3], at)
+            leave(at)
+        if tag in BLOCKS and at.block.tag in CLOSES and tag in CLOSES[at.block.tag]:
+            leave(at.block)  # inline elements left open inside a paragraph end with it
         if m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, pos)
             pos = end.end() if end else n
             continue
-        at = e
+        at = _open(tag, m[3], at)
+        opened[tag] += 1
     for b in out:
         b.text = _SPACES.sub(" ", "".join(b.parts)).strip()
-    assert root.tag == ""
+        b.words = len(b.text.split())
+        for mark in _around(b.element.mark):
+            mark.words += b.words
     return [b for b in out if b.text]
 
 
-def content_cost(b: Block) -> float:
-    """Log odds that a block is content; the weights are fixed parameters."""
-    words = len(b.text.split())
-    return b.element.cost - 4.0 * (b.linked / max(words, 1)) + 0.8 * (log1p(words) - 0.6) + 0.5 * (b.text[-1:] in ".!?:;\"'”»)")
+def content_costs(blocks: list[Block]) -> list[float]:
+    """Log odds that each block is content."""
+    total = sum(b.words for b in blocks)
+    marked = 2 * sum(b.words for b in blocks if b.element.main and b.element.mark is None) >= total
+    out = []
+    for b in blocks:
+        e = b.element
+        against = min((m.cost for m in _around(e.mark) if not (m.by_name and m.holds_main and 2 * m.words >= total)), default=0.0)
+        place = against + INSIDE * e.gain if against else e.gain if e.main or not marked else e.gain + OUTSIDE
+        text = min(MOST_LENGTH, LENGTH * (log1p(b.words) - 0.6)) + SENTENCE * (b.text[-1:] in ".!?:;\"'”»)")
+        out.append(place + LINKED * (b.linked / b.words) + text)
+    return out
 
 
 def _distance(a: Element, b: Element) -> int:
+    """Steps between two elements; all that are ``FAR`` or more count as that."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -184,10 +268,10 @@ def _edges(blocks: list[Block]) -> Iterator[tuple[int, int, float]]:
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            yield i - 1, i, 2.0 / (1 + _distance(blocks[i - 1].element, b.element))
+            yield i - 1, i, NEIGHBOUR / (1 + _distance(blocks[i - 1].element, b.element))
         up = id(b.element.parent)
         if up in last and last[up] < i - 1:
-            yield last[up], i, 0.5
+            yield last[up], i, SIBLING
         last[up] = i
 
 
@@ -264,7 +348,7 @@ def main_text(html: str | None) -> str:
     blocks = read_blocks(html or "")
     if not blocks:
         return ""
-    keep = minimum_cut([content_cost(b) for b in blocks], list(_edges(blocks)))
+    keep = minimum_cut(content_costs(blocks), list(_edges(blocks)))
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 

@@ -1,10 +1,12 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are the shapes of its words (runs of capitals, letters,
-digits and each punctuation mark), word lengths, and marks of repetition:
-words that repeat one of the two before them, words in repeated three-word
-windows, and repeated lines.  Log term shares, weighted by rarity, are projected
-on the leading singular vectors of a bounded sample of labelled documents.  The
+A document's terms are its words and their beginnings, the shapes of its words
+(runs of capitals, letters, digits and each punctuation mark), word lengths, and
+marks of repetition: words that repeat one of the two before them, words in
+repeated three-word windows, and repeated lines.  Log term shares, weighted by
+rarity, are projected on the leading singular vectors of a bounded sample of
+labelled documents.  A chunk's terms are held as sparse triples, so short texts
+cost no more than long ones.  The
 sample's vectors are broadcast (at most ``SAMPLE_ROWS`` times ``RANK`` floats);
 every document's cosine with all of them is computed exactly in blocks, and its
 nearest neighbours vote with their label, weighted by similarity.
@@ -28,11 +30,15 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, training_sample
 from .quality_rules import View
-from .textkernel import Chunk, chunks
+from .textkernel import Chunk, chunks, mix
 
 SAMPLE_ROWS = 4_000
-TERMS = 1024
-RANK = 32
+#: Buckets of word shapes, and of words and their beginnings.
+SHAPES, LEXICAL = 992, 3072
+#: Bytes of a word's beginning.
+BEGINNING = 4
+LEXICAL_WEIGHT = 0.25
+RANK = 48
 NEIGHBOURS = 15
 #: Similarities count to this power.
 SHARPNESS = 8
@@ -45,48 +51,68 @@ _CLASS[97:123] = ord("a")
 _CLASS[128:] = ord("a")
 _CLASS[48:58] = ord("0")
 _LENGTHS, _MARKS = 24, 8
+SURFACE = SHAPES + _LENGTHS + _MARKS
+TERMS = SURFACE + LEXICAL
 
 
-def term_counts(chunk: Chunk) -> np.ndarray:
-    """(documents, TERMS) counts of surface terms."""
+def terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of all terms, by document; one entry for each pair."""
     kind = _CLASS[chunk.data]
     fresh = np.ones(len(kind), bool)
     fresh[1:] = kind[1:] != kind[:-1]
     fresh[chunk.start] = True
     at = np.concatenate([[0], np.cumsum(fresh)])
     shapes = Chunk(kind[fresh], np.array([0, int(at[-1])]))
-    shape = shapes.hash_spans(at[chunk.start], at[chunk.end]) % np.uint64(TERMS - _LENGTHS - _MARKS)
+    shape = shapes.hash_spans(at[chunk.start], at[chunk.end]) % np.uint64(SHAPES)
     size = np.minimum(chunk.end - chunk.start, _LENGTHS) - 1
-    doc = chunk.word_doc
-    h = chunk.word_hash()
+    doc, h = chunk.word_doc, chunk.word_hash()
+    begin = chunk.hash_spans(chunk.start, np.minimum(chunk.start + BEGINNING, chunk.end))
     again = np.zeros(len(h), bool)
     for back in (1, 2):
         again[back:] |= (h[back:] == h[:-back]) & (doc[back:] == doc[:-back])
     view = View(chunk)
-    marks = np.stack([np.bincount(doc[again], minlength=chunk.n), view["n_repeat_words"], view["n_dup_lines"] * 8, view["n_lines"]], axis=1)
-    out = np.bincount(doc * TERMS + shape.astype(np.int64), minlength=chunk.n * TERMS)
-    out += np.bincount(doc * TERMS + TERMS - _LENGTHS - _MARKS + size, minlength=chunk.n * TERMS)
-    out = out.reshape(chunk.n, TERMS)
-    out[:, TERMS - _MARKS : TERMS - _MARKS + marks.shape[1]] = marks
-    return out
+    marks = [np.bincount(doc[again], minlength=chunk.n), view["n_repeat_words"], view["n_dup_lines"] * 8, view["n_lines"]]
+    words = [shape, SHAPES + size, SURFACE + h % np.uint64(LEXICAL), SURFACE + mix(begin) % np.uint64(LEXICAL)]
+    key = np.concatenate([doc * TERMS + w.astype(np.int64) for w in words])
+    key, many = np.unique(key, return_counts=True)
+    every = np.arange(chunk.n)
+    key = np.concatenate([key, *(every * TERMS + SHAPES + _LENGTHS + k for k in range(len(marks)))])
+    many = np.concatenate([many, *marks])
+    key, many = key[many > 0], many[many > 0]
+    order = np.argsort(key, kind="stable")
+    return key[order] // TERMS, key[order] % TERMS, many[order]
 
 
-def weighted(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """Log of each term's count in a hundred words."""
-    return np.log1p(100.0 * counts / np.maximum(n_words, 1)[:, None])
+def weighted(term: np.ndarray, many: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Log of a term's count in a hundred words; what the words say counts less than how they look."""
+    return np.log1p(100.0 * many / np.maximum(n_words, 1)) * np.where(term < SURFACE, 1.0, LEXICAL_WEIGHT)
+
+
+def leading_axes(x: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors of ``x``, by subspace iteration."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    base = np.linalg.qr(rng.standard_normal((x.shape[1], min(rank + 16, *x.shape))))[0]
+    for _ in range(8):
+        base = np.linalg.qr(x.T @ (x @ base))[0]
+    _, _, turn = np.linalg.svd(x @ base, full_matrices=False)
+    return np.ascontiguousarray((base @ turn.T)[:, :rank])
 
 
 @dataclass(frozen=True)
 class Model:
-    base: np.ndarray  # mean weights of the sample
+    base: np.ndarray  # what a text of mean weights projects to
     rare: np.ndarray  # weight of each term
     axes: np.ndarray  # TERMS x RANK
     vectors: np.ndarray  # labelled rows, unit length
     labels: np.ndarray
     share: float
 
-    def project(self, counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        x = ((weighted(counts, n_words) - self.base) * self.rare) @ self.axes
+    def project(self, doc: np.ndarray, term: np.ndarray, many: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(n_words), self.axes.shape[1]))
+        if len(doc):
+            at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            x[doc[at]] = np.add.reduceat((weighted(term, many, n_words[doc]) * self.rare[term])[:, None] * self.axes[term], at, axis=0)
+        x -= self.base
         x[n_words == 0] = 0
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
@@ -94,7 +120,7 @@ class Model:
         out = np.full(chunk.n, self.share)
         if not len(self.labels):
             return out
-        unit = self.project(term_counts(chunk), chunk.n_words)
+        unit = self.project(*terms(chunk), chunk.n_words)
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, chunk.n, BLOCK):
             cosine = unit[a : a + BLOCK] @ self.vectors.T
@@ -112,28 +138,26 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "q
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, chunk in chunks(batch.column(0)):
-                counts = term_counts(chunk).astype(np.int32)
-                rows, cols = np.nonzero(counts)
-                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(chunk.n + 1)).astype(np.int32)), pa.array(x, kind))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([lists(cols, pa.int32()), lists(counts[rows, cols], pa.int32()), pa.array(chunk.n_words.astype(np.int64)), batch.column(1).slice(a, b - a)], names=["term", "many", "n_words", "y"])
+                doc, term, many = terms(chunk)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(chunk.n + 1)).astype(np.int32)), pa.array(x.astype(np.int32)))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([lists(term), lists(many), pa.array(chunk.n_words.astype(np.int64)), batch.column(1).slice(a, b - a)], names=["term", "many", "n_words", "y"])
 
     rows = sample.mapInArrow(run, "term array<int>, many array<int>, n_words long, y int").toPandas()  # max_rows sparse rows
     n = len(rows)
     if not n:
         return Model(*(np.zeros(0),) * 5, 0.0)
-    counts = np.zeros((n, TERMS))
-    for i, (term, many) in enumerate(zip(rows["term"], rows["many"])):
-        counts[i, term] = many
-    n_words, y = rows["n_words"].to_numpy(), (rows["y"].to_numpy() == 1).astype(np.float64)
-    order = np.lexsort([*counts.T[-_LENGTHS - _MARKS :], n_words, y])
-    counts, n_words, y = counts[order], n_words[order], y[order]
-    x = weighted(counts, n_words)
-    base = x.mean(axis=0)
-    rare = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1
-    spread = (x - base) * rare
-    _, axes = np.linalg.eigh(spread.T @ spread)
-    model = Model(base, rare, np.ascontiguousarray(axes[:, ::-1][:, :RANK]), np.zeros(0), y, float(y.mean()))
-    return Model(base, rare, model.axes, model.project(counts, n_words), y, model.share)
+    y = (rows["y"].to_numpy() == 1).astype(np.float64)
+    order = np.array(sorted(range(n), key=lambda i: (y[i], list(rows["term"][i]), list(rows["many"][i]))))
+    n_words, y = rows["n_words"].to_numpy()[order], y[order]
+    doc = np.repeat(np.arange(n), [len(rows["term"][i]) for i in order])
+    term, many = (np.concatenate([np.asarray(rows[c][i], np.int64) for i in order]) for c in ("term", "many"))
+    x = np.zeros((n, TERMS), np.float32)
+    x[doc, term] = weighted(term, many, n_words[doc])
+    mean = x.mean(axis=0)
+    rare = np.log((1 + n) / (1 + np.bincount(term, minlength=TERMS))) + 1
+    axes = leading_axes((x - mean) * rare.astype(np.float32), RANK)
+    model = Model((mean * rare) @ axes, rare, axes, np.zeros(0), y, float(y.mean()))
+    return Model(model.base, rare, axes, model.project(doc, term, many, n_words), y, model.share)
 
 
 def score(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,14 +5,20 @@ is one unit of work, so a fixed set of queries meets all rows without a cross
 join and without any pair leaving its task.  Dimensions are split into
 ``PARTS``; a part's inner products are the local score list of its dimensions.
 
-1. Every unit takes the best of each local list, adds up their scores and sends
-   its ``k`` best sums for each query.  The k-th best over all units is a safe
-   cutoff: at least k candidates reach it.
+1. A unit computes the list of one part alone, units taking turns.  For each
+   query the ``DEPTH`` times k best entries of that list are resolved to full
+   scores.  The k-th best of all units' resolved scores is a safe cutoff: at least k
+   candidates reach it.
 2. The cutoff goes back to all units with its query.  A candidate whose every
-   part scores under cutoff / PARTS cannot reach the cutoff, so the entries at
-   or over that uniform threshold are sufficient.
-3. Of these the full scores are resolved exactly, those under the cutoff drop
-   out, and the k best by (score, smaller id) remain.
+   part scores under cutoff / PARTS cannot reach the cutoff, so the entries of
+   all lists at or over that uniform threshold are sufficient.  A list none of
+   whose entries can get there, by the lengths of its vectors, is not computed.
+3. Only these entries are resolved: the parts that miss are computed pair by
+   pair, or read where their list is at hand.  Those under the cutoff drop out,
+   and the k best by (score, smaller id) remain.
+
+Lists are computed twice and never stored: that is a product of small matrices,
+while their entries are as many as pairs.
 
 Components are floor(scale * x).  Products are exact integers: a unit computes
 in float32 or float64 while its largest possible sum fits the mantissa, else in
@@ -42,6 +48,10 @@ QUERY_ROWS = 2048
 PARTS = 2
 #: Queries whose score matrix is held at once.
 SLICE = 256
+#: Entries of a local list that are resolved for the cutoff, as a multiple of k.
+DEPTH = 8
+#: Pairs that are resolved at a time.
+PAIRS = 1 << 15
 
 
 def _matrix(column: pa.Array, dims: int, scale: float) -> np.ndarray:
@@ -53,16 +63,32 @@ def _matrix(column: pa.Array, dims: int, scale: float) -> np.ndarray:
     return out
 
 
-def _partial(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Inner products of each part of the dimensions, exact."""
-    dims = q.shape[1]
-    top = max(float(np.abs(q).max(initial=0)), 1.0) * max(float(np.abs(c).max(initial=0)), 1.0) * max(dims, 1)
+def _exact(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides as numbers in which all sums of their products are exact."""
+    top = max(float(np.abs(q).max(initial=0)), 1.0) * max(float(np.abs(c).max(initial=0)), 1.0) * max(q.shape[1], 1)
     if top < 2**24:
-        q, c = q.astype(np.float32), c.astype(np.float32)
-    elif top >= 2**53:
-        q, c = (np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (q, c))
-    cut = [dims * p // PARTS for p in range(PARTS + 1)]
-    return [q[:, a:b] @ c[:, a:b].T if b > a else np.zeros((len(q), len(c)), q.dtype) for a, b in zip(cut, cut[1:])]
+        return q.astype(np.float32), c.astype(np.float32)
+    if top < 2**53:
+        return q, c
+    return tuple(np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (q, c))
+
+
+def _parts(dims: int) -> list[slice]:
+    return [slice(dims * p // PARTS, dims * (p + 1) // PARTS) for p in range(PARTS)]
+
+
+def _list(q: np.ndarray, c: np.ndarray, part: slice) -> np.ndarray:
+    """The local scores of one part of the dimensions."""
+    return q[:, part] @ c[:, part].T if part.stop > part.start else np.zeros((len(q), len(c)), q.dtype)
+
+
+def _resolve(q: np.ndarray, c: np.ndarray, part: slice, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The scores of one part for some pairs, in steps of bounded size."""
+    out = np.zeros(len(row), q.dtype)
+    for a in range(0, len(row), PAIRS):
+        z = slice(a, a + PAIRS)
+        out[z] = (q[row[z], part] * c[col[z], part]).sum(axis=1) if part.stop > part.start else 0
+    return out
 
 
 def _best(query: np.ndarray, cand: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -76,28 +102,42 @@ def _best(query: np.ndarray, cand: np.ndarray, score: np.ndarray, k: int) -> np.
     return order[place < k]
 
 
-def _unit(q_ids, q, cutoff, c_ids, c, k, phase):
-    parts = _partial(q, c)
+def _first(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1: the best entries of one list, resolved."""
+    parts = _parts(q.shape[1])
+    local = _list(q, c, parts[turn % PARTS])
+    n = min(DEPTH * k + 1, len(c))  # one may be the query itself
+    near = np.argpartition(-local, n - 1, axis=1)[:, :n]
+    row, at = np.nonzero(~np.take_along_axis(own, near, axis=1))
+    col = near[row, at]
+    return row, col, local[row, col] + sum(_resolve(q, c, p, row, col) for i, p in enumerate(parts) if i != turn % PARTS)
+
+
+def _sufficient(q: np.ndarray, c: np.ndarray, own: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3: the pairs that reach the cutoff, from the entries over the uniform threshold."""
+    parts = _parts(q.shape[1])
+    cutoff = cutoff.astype(object) if q.dtype == object else cutoff
+    limit = (cutoff // PARTS)[:, None]  # rounded down, so nothing sufficient is lost
+    lists: dict[int, np.ndarray] = {}
+    hit = np.zeros((len(q), len(c)), bool)
+    for i, p in enumerate(parts):
+        length = lambda m: np.sqrt((m[:, p].astype(np.float64) ** 2).sum(axis=1)).max(initial=0)  # noqa: E731, B023
+        if length(q) * length(c) * (1 + 1e-9) >= float(limit.min()):
+            lists[i] = _list(q, c, p)
+            hit |= lists[i] >= limit
+    row, col = np.nonzero(hit & ~own)
+    score = sum(lists[i][row, col] if i in lists else _resolve(q, c, p, row, col) for i, p in enumerate(parts))
+    score = np.clip(score, -(2**63), 2**63 - 1) if q.dtype == object else score
+    reach = score >= cutoff[row]
+    return row[reach], col[reach], score[reach]
+
+
+def _unit(q_ids, q, cutoff, c_ids, c, k, phase, turn):
+    q, c = _exact(q, c)
     own = q_ids[:, None] == c_ids[None, :]
-    if phase == 1:
-        n = min(k + 1, len(c_ids))
-        near = np.concatenate([np.argpartition(-p, n - 1, axis=1)[:, :n] for p in parts], axis=1)
-        near.sort(axis=1)
-        fresh = np.ones(near.shape, bool)
-        fresh[:, 1:] = near[:, 1:] != near[:, :-1]
-        fresh &= ~np.take_along_axis(own, near, axis=1)
-        row, at = np.nonzero(fresh)
-        col = near[row, at]
-    else:
-        cutoff = cutoff.astype(object) if parts[0].dtype == object else cutoff
-        limit = (cutoff // PARTS)[:, None]  # rounded down, so nothing sufficient is lost
-        row, col = np.nonzero(np.logical_or.reduce([p >= limit for p in parts]) & ~own)
-    score = sum(p[row, col] for p in parts)
+    row, col, score = _first(q, c, own, k, turn) if phase == 1 else _sufficient(q, c, own, cutoff)
     if score.dtype == object:
         score = np.clip(score, -(2**63), 2**63 - 1)
-    if phase == 2:
-        reach = score >= cutoff[row]
-        row, col, score = row[reach], col[reach], score[reach]
     keep = _best(row, c_ids[col], score, k)
     return q_ids[row[keep]], c_ids[col[keep]], score[keep].astype(np.int64)
 
@@ -108,12 +148,13 @@ def _search(units: DataFrame, dims: int, scale: float, k: int, phase: int) -> Da
     def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
         n = int(pc.sum(t["is_query"]).as_py() or 0)
+        turn = t["chunk"][0].as_py() + t["block"][0].as_py()
         ids, m = t["id"].to_numpy(), _matrix(t["v"].chunk(0), dims, scale)
         cutoff = pc.fill_null(t["cutoff"], -(2**63)).to_numpy()[:n]  # none: fewer than k candidates
         if 0 < n < len(ids):
             for a in range(0, n, SLICE):
                 z = slice(a, min(n, a + SLICE))
-                query, cand, score = _unit(ids[z], m[z], cutoff[z], ids[n:], m[n:], k, phase)
+                query, cand, score = _unit(ids[z], m[z], cutoff[z], ids[n:], m[n:], k, phase, turn)
                 yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(cand), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,6 +43,20 @@ def test_training_never_sees_the_held_out_fold(spark):
     assert not seen & {t for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 4 == 2} and len(seen) > 100
 
 
+def test_sample_is_bounded_and_repeatable(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    first = rows.filter("doc_id = 1").select("doc_id", F.explode(F.array_repeat("text", 20_000)).alias("text"))
+    more = spark.createDataFrame([(1, None), (1, "a"), (4, "b")], "doc_id long, text string")
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    seen = []
+    for parts in (3, 11):
+        docs = rows.union(first).union(more).repartition(parts)
+        seen.append(sorted(r.text for r in labelled.training_sample(spark, docs, labels.repartition(parts), "toxic", max_rows=100).collect()))
+    assert len(seen[0]) == 100 and seen[0] == seen[1] and len(set(seen[0])) == 100
+    few = labelled.training_sample(spark, rows.union(first).union(more).filter("doc_id < 20"), labels, "toxic").collect()
+    assert len(few) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(20))
+
+
 @pytest.mark.parametrize("module,label,threshold", [(toxicity, "toxic", 0.3), (quality_knn, "quality", 0.7)])
 def test_held_out_accuracy(spark, module, label, threshold):
     docs, labels = corpus()
@@ -94,6 +108,29 @@ def test_top_k_is_exact(spark, monkeypatch, scale):
     assert got == want
 
 
+def test_later_phases_resolve_few_pairs():
+    rng = np.random.Generator(np.random.PCG64(3))
+    c = np.floor(64 * rng.standard_normal((4000, 32)) / 5)
+    q, own = c[:50], np.arange(50)[:, None] == np.arange(4000)[None, :]
+    full = np.where(own, -(10**9), q @ c.T)
+    row, col, score = topk._first(*topk._exact(q, c), own, 20, 1)
+    assert len(row) <= 50 * 161 and (score == full[row, col]).all()
+    cutoff = np.array([np.sort(score[row == i])[-20:][0] for i in range(50)]).astype(np.int64)
+    seen = []
+    topk_resolve = topk._resolve
+    try:
+        topk._resolve = lambda q, c, part, row, col: seen.append(len(row)) or topk_resolve(q, c, part, row, col)
+        row, col, score = topk._sufficient(*topk._exact(q, c), own, cutoff)
+        flat = c.copy()
+        flat[:, 16:] = 0  # the second list cannot reach the threshold
+        r, k, s = topk._sufficient(*topk._exact(flat[:50], flat), own, cutoff)
+    finally:
+        topk._resolve = topk_resolve
+    assert set(zip(row, col)) == set(zip(*np.nonzero(full >= cutoff[:, None]))) and len(row) < 0.02 * full.size
+    assert (score == full[row, col]).all() and len(seen) == 1 and seen[0] < 0.2 * full.size
+    assert set(zip(r, k)) == set(zip(*np.nonzero(np.where(own, -(10**9), flat[:50] @ flat.T) >= cutoff[:, None])))
+
+
 def test_top_k_of_little(spark):
     df = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(spark, df, F.col("vec_id") == 0).collect()] == [(0, 1, 5, 64 * 128)]

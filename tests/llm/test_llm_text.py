@@ -1,8 +1,10 @@
 """Text operators against brute force, with their edge cases."""
 
 import hashlib
+import os
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -266,6 +268,21 @@ def test_encoding_on_spark_keeps_other_columns(spark, bpe):
         ("<article><p>Body text of some length here.</p><div class='comments'><p>I liked this post a lot, really.</p></div></article>", "Body text of some length here."),
         ("<script>var a='<p>x</p>'</script><style>p{}</style><!-- <p>no</p> --><p>a &lt;b&gt; &#233;&nbsp;c</p><div id=cookie-notice>We use cookies here.</div>", "a <b> é c"),
         ("<div class='content with-sidebar'><p>Kept, though a name says sidebar.</p></div><div class=sidebar><p>Dropped words</p></div>", "Kept, though a name says sidebar."),
+        ("<article class='ad-free'><p>A normal paragraph of some words.</p></article>", "A normal paragraph of some words."),
+        ("<div id='register-guide'><p>How to register, in some steps.</p></div>", "How to register, in some steps."),
+        ("<body><div class='side-by-side'><p>Two columns of text here.</p></div></body>", "Two columns of text here."),
+        ("<div class='blog-comments-enabled'><p>The post itself is here.</p></div>", "The post itself is here."),
+        ("<article><p>First words of it.</p><div class='related-work'><p>Others did this before.</p></div></article>", "First words of it.\nOthers did this before."),
+        ("<div><p>Before it, some words are said.</p><p>Read <a href=x>this linked sentence of ours</a></p><p>After it, some words are said.</p></div>", "Before it, some words are said.\nRead this linked sentence of ours\nAfter it, some words are said."),
+        ("<article><p>Text of it.</p><ul class='tags-list'><li>one</li><li>two</li></ul></article>", "Text of it.\none\ntwo"),
+        ("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> here in the text.</p>", "Energy is E=mc here in the text."),
+        ("<header><p>The site's own words, which lead.</p></header><article><header><h1>Title</h1></header><p>Text of it.</p></article>", "Title\nText of it."),
+        ("<div class='site-nav'><ul><li>Home<li>About</ul></div><p>Text of it is here.</p><section class='comment-list'><p>I liked it all a lot, thank you so much, really.</p></section>", "Text of it is here."),
+        ("<article><p>Text of it.</p><div id='comments'><div class='comment-body'><p>" + "I liked it all a lot, thank you so much. " * 20 + "</p></div></div></article>", "Text of it."),
+        ("<div class='modal-content'><main><p>All of the page is in here.</p><p>And more of it too.</p></main></div>", "All of the page is in here.\nAnd more of it too."),
+        ("<div class=top><a href=1>Home</a> <a href=2>About us</a></div><article><p>Text of it is here, and more.</p></article><div>Our motto</div>", "Text of it is here, and more."),
+        ("<div><a>Home</a></div><div><a>News</a></div><div><a>Shop</a></div><p>Words of the page, as they are.</p>", "Words of the page, as they are."),
+        ("</div></p></b><p>a</i> b</p></article>", "a b"),
         ("<p hidden>no</p><div style='display: none'><p>no</p></div><p>yes, this one.", "yes, this one."),
     ],
 )
@@ -296,6 +313,36 @@ def test_whole_long_page():
     assert html_extract.main_text(html).count("\n") == 2999
 
 
+@pytest.mark.parametrize("html", ["<div>" * 8000 + "</b></i></p>" * 4000, "<b>" * 8000 + "<p>x" * 8000, "<div class=ad>" * 6000 + "<p>x</p>" * 6000, ("<div>" * 50 + "x" + "</div>" * 49 + "y") * 200])
+def test_deep_pages_take_linear_time(html):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(html)
+    assert time.perf_counter() - began < 4
+
+
+def test_precision_and_recall_over_the_pages():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    html = pq.read_table(path, columns=["html"])["html"].to_pylist() if os.path.exists(path) else []
+    kept = wanted = right = 0
+    for h in html:  # in these pages the article is the one article element
+        inside = re.search(r"<article>(.*?)</article>", h, re.S)[1]
+        want = [w for w in html_extract.unescape(re.sub(r"<[^>]*>", " ", inside)).split()]
+        got = html_extract.main_text(h).split()
+        both = sum((Counter(want) & Counter(got)).values())
+        kept, wanted, right = kept + len(got), wanted + len(want), right + both
+    assert not html or (right >= 0.999 * wanted and right >= 0.999 * kept)
+
+
+def test_edges_overturn_costs():
+    blocks = html_extract.read_blocks("<div><p>Some words of a page.</p><p>See <a>some more of these linked words</a></p><p>Some words of a page.</p></div>")
+    cost = html_extract.content_costs(blocks)
+    assert cost[1] < 0 and html_extract.minimum_cut(cost, list(html_extract._edges(blocks))) == [True] * 3
+
+
 def test_digest_is_stable(bpe):
     ids = bpe.encode(pa.array(["The quick brown fox\n jumps"])).to_pylist()[0]
     assert hashlib.sha256(str(ids).encode()).hexdigest() == hashlib.sha256(str(bpe.encode(pa.array(["x", "The quick brown fox\n jumps"])).to_pylist()[1]).encode()).hexdigest()
