@@ -65,6 +65,8 @@ INSIDE = 0.2
 OUTSIDE = -2.0
 LINKED, LENGTH, MOST_LENGTH, SENTENCE = -4.0, 0.8, 2.5, 0.5
 NEIGHBOUR, SIBLING = 4.5, 0.5
+#: What is left of an edge that crosses the border of page furniture.
+BORDER = 0.2
 #: Steps in the tree, and elements around a block, beyond which nothing is weighed.
 FAR = 32
 
@@ -268,7 +270,8 @@ def _edges(blocks: list[Block]) -> Iterator[tuple[int, int, float]]:
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            yield i - 1, i, NEIGHBOUR / (1 + _distance(blocks[i - 1].element, b.element))
+            border = blocks[i - 1].element.mark is not b.element.mark
+            yield i - 1, i, NEIGHBOUR / (1 + _distance(blocks[i - 1].element, b.element)) * (BORDER if border else 1.0)
         up = id(b.element.parent)
         if up in last and last[up] < i - 1:
             yield last[up], i, SIBLING
