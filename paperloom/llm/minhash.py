@@ -6,17 +6,23 @@
    with similarity s agrees on a share s of the ``COORDINATES`` in the mean; a
    pair counts as a match from ``MATCHES`` collisions on.  By the pigeonhole
    principle such a pair meets ``SHARED`` times or more in the ``COORDINATES -
-   MATCHES + SHARED`` rarest postings of each (the prefix), so long postings are
-   skipped, and so is a class with fewer postings that others are in.
-3. Matching pairs are merged into families.  First each class is
-   compared with one other alone, the end of a posting that it collides with
-   most often in postings across families; what then still lies across families
-   is compared posting by posting, in blocks.  No matching pair stays apart, and
-   sharing a posting without matching joins nothing.
-4. A family is dealt into blocks.  For each pair of blocks the exact
-   intersections of all full sets come from one blocked matrix product, and what
-   leaves the task is a spanning forest of the links found, at most a row for
-   each member, never the pairs.
+   MATCHES + SHARED`` rarest postings of each (the prefix), so a class with
+   fewer postings that others are in is skipped.
+3. Collisions are counted: the postings of the prefix are joined with
+   themselves, every member with the ``STEPS`` members before it and with the
+   posting's first, and pairs are summed over all postings in partial
+   aggregates.  That is linear in a posting's length, however long it is.  Pairs
+   that met ``SHARED`` times are confirmed on whole signatures; those above the
+   match threshold are merged into families.
+4. What this left apart is merged posting by posting, in blocks: of a pair that
+   shares ``SHARED`` postings the rarest is among the ``COORDINATES - MATCHES +
+   1`` rarest of both, so each class skips its longest postings, and postings
+   that lie within one family are skipped as well.  No matching pair stays
+   apart, and sharing a posting without matching joins nothing.
+5. A family is dealt into blocks of bounded rows and shingles.  For each pair of
+   blocks the exact intersections of all full sets come from one blocked matrix
+   product, and what leaves the task is a spanning forest of the links found, at
+   most a row for each member, never the pairs.
 
 Tests hold the result against brute force.
 
@@ -37,18 +43,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialize
+from .skew import join_counted
+from .store import Scratch, materialize
 from .textkernel import chunks, mix, shingle_sets
 
 COORDINATES = 32
-#: P(fewer matches | similarity 0.8) is about 2e-5.
+#: P(fewer matches | similarity 0.8) is about 3e-5; lower similarities would be lost more often.
 MATCHES = 16
+LEAST_PERCENT = 80
 #: Postings of the prefix that a matching pair shares at least.
 SHARED = 5
-#: Rounds of one comparison for each class before postings are compared in blocks.
-ROUNDS = 1
-#: Rows of one side of a comparison block.
+#: Members of a posting that each member is counted with, besides the first.
+STEPS = 2
+#: Members of a posting that one task orders.
+PIECE = 1024
+#: Rows and shingles of one side of a comparison block.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 21
 #: Shingles of one step of the matrix product.
 COLUMNS = 4096
 
@@ -82,15 +93,21 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, hi long, lo long, sig array<long>")
 
 
-def prefix_postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """(token, c): each class under the rarest of its coordinate-value pairs."""
+def prefix_postings(spark: SparkSession, own: Scratch, classes: DataFrame) -> DataFrame:
+    """(token, c, many, near): each class under the rarest of its coordinate-value pairs.
+
+    ``many`` is the posting's length, ``near`` whether the pair is among the rarest
+    that one shared posting of a match must be in.
+    """
     tokens = classes.select(F.col("id").alias("c"), F.posexplode("sig")).select("c", F.xxhash64("pos", "col").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1")
+    shared = own.write(tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"), "tokens")
+    found = join_counted(tokens, shared.withColumn("length", F.col("many")), ["token"], COORDINATES * classes.count())
     mine = Window.partitionBy("c")
-    kept = tokens.join(shared, "token").withColumn("rank", F.row_number().over(mine.orderBy("many", "token"))).withColumn("own", F.count("*").over(mine))
+    kept = found.withColumn("rank", F.row_number().over(mine.orderBy("length", "token"))).withColumn("own", F.count("*").over(mine))
     # what is posted by one class alone comes first in the order and meets nobody
-    kept = kept.filter(F.expr(f"own >= {MATCHES} and rank + ({COORDINATES} - own) <= {COORDINATES - MATCHES + SHARED}")).select("token", "c")
-    return materialize(spark, kept, "postings")
+    at = F.col("rank") + (COORDINATES - F.col("own"))
+    kept = kept.filter((F.col("own") >= MATCHES) & (at <= COORDINATES - MATCHES + SHARED))
+    return own.write(kept.select("token", "c", F.col("length").alias("many"), (at <= COORDINATES - MATCHES + 1).alias("near")), "postings")
 
 
 def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -109,7 +126,8 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[row[s:e], column[s:e] - a] = 1
         both += part @ part.T
-    return _forest(100.0 * both >= percent * (size[:, None] + size[None, :] - both.astype(np.float64)))
+    both = both.astype(np.float64)  # float32 counts are exact, a hundred times them may not be
+    return _forest(100.0 * both >= percent * (size[:, None] + size[None, :] - both))
 
 
 def _forest(link: np.ndarray) -> list[tuple[int, int]]:
@@ -167,46 +185,51 @@ def _matching(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out]}, _PAIR)
 
 
-def _blocks(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """``rows`` with i and j: each group is dealt into blocks, each pair of blocks is a unit."""
-    many = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(many, group).withColumn("side", F.expr(f"cast(pmod(xxhash64({key}), blocks) as int)"))
+def _blocks(own: Scratch, rows: DataFrame, group: str, key: str) -> DataFrame:
+    """``rows`` (with n, a row's shingles) with i and j: each pair of a group's blocks is a unit."""
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    many = own.write(rows.groupBy(group).agg(size.alias("blocks"), F.count("*").alias("many")), "many")
+    dealt = join_counted(rows, many, [group], rows.count()).withColumn("side", F.expr(f"cast(pmod(xxhash64({key}), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("blocks", "side", "other")
 
 
-def _open(spark: SparkSession, label: DataFrame) -> DataFrame:
-    """Postings across families, with their ends, of classes that have enough of them."""
-    ends = label.groupBy("token").agg(F.min("comp").alias("pc"), F.max("comp").alias("qc"), F.min_by("c", "comp").alias("p"), F.max_by("c", "comp").alias("q")).filter("pc <> qc")
-    enough = label.select("token", "c", "comp").join(ends, "token").withColumn("n", F.count("*").over(Window.partitionBy("c"))).filter(F.col("n") >= SHARED)
-    return materialize(spark, enough.drop("n"), "open")
+def collisions(postings: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that meet in enough postings of the prefix, as far as they are counted."""
+    piece = Window.partitionBy("token", "piece").orderBy("c")
+    rows = postings.withColumn("piece", F.expr(f"cast(pmod(xxhash64(c), ceil(many / {PIECE})) as int)"))
+    # the first of each piece stands for it; where a posting is one piece, it is the first of all
+    head = F.when(F.row_number().over(piece) > STEPS + 1, F.first("c").over(piece))
+    met = rows.select(F.array(*(F.lag("c", k).over(piece) for k in range(1, STEPS + 1)), head).alias("met"), F.col("c").alias("b"))
+    near = met.select(F.explode("met").alias("a"), "b").filter("a is not null")
+    return near.groupBy("a", "b").agg(F.count("*").alias("met")).filter(F.col("met") >= SHARED).select("a", "b")
+
 
+def _open(own: Scratch, label: DataFrame) -> DataFrame:
+    """Postings across families, of classes that have enough of them."""
+    ends = label.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("many")).filter("p <> q").select("token", "many")
+    ends = own.write(ends, "ends")
+    rows = join_counted(label.drop("many"), ends, ["token"], label.count())
+    return own.last(rows.withColumn("open", F.count("*").over(Window.partitionBy("c"))).filter(F.col("open") >= SHARED).drop("open"), "open")
 
-def _families(spark: SparkSession, postings: DataFrame, classes: DataFrame) -> DataFrame:
+
+def _families(spark: SparkSession, own: Scratch, postings: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) over the pairs that collide often enough."""
     sig = classes.select("id", "sig").hint("merge")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    links, comp = None, None
-    for step in range(ROUNDS + 1):
-        label = postings.withColumn("comp", F.col("c"))
-        if comp is not None:
-            label = postings.join(comp.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("component", "c").alias("comp"))
-        rest = _open(spark, _open(spark, label))
-        if rest.isEmpty():
-            break
-        if step < ROUNDS:
-            met = rest.select(F.col("c").alias("a"), F.when(F.col("comp") == F.col("pc"), F.col("q")).otherwise(F.col("p")).alias("b"))
-            best = met.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-            pairs = best.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-            found = pairs.filter(agree >= MATCHES).select("a", "b")
-        else:
-            rows = _blocks(rest.select("token", "c", "comp"), "token", "c").join(sig.withColumnRenamed("id", "c"), "c")
-            dealt = rows.select("token", "i", "j", "c", "comp", "sig").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-            found = dealt.mapInArrow(_by_unit(_matching), "a long, b long")
-        found = materialize(spark, found, "matches")
-        links = found if links is None else links.union(found)
-        comp = materialize(spark, components(spark, links), "families")
-    return comp if comp is not None else spark.createDataFrame([], "node long, component long")
+    pairs = own.write(collisions(postings), "collisions")
+    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    links = own.write(pairs.filter(agree >= MATCHES).select("a", "b"), "matches")
+    comp = components(spark, links, "families")
+
+    label = postings.join(comp.withColumnRenamed("node", "c").hint("merge"), "c", "left").select("token", "c", "near", F.coalesce("component", "c").alias("comp"))
+    rest = _open(own, _open(own, own.write(label, "label")))
+    if rest.isEmpty():
+        return comp
+    rows = _blocks(own, rest.filter("near").select("token", "c", "comp", F.lit(0).alias("n")), "token", "c").join(sig.withColumnRenamed("id", "c"), "c")
+    dealt = rows.select("token", "i", "j", "c", "comp", "sig").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    found = own.write(dealt.mapInArrow(_by_unit(_matching), "a long, b long"), "matches")
+    return comp if found.isEmpty() else components(spark, links.union(found), "families")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -235,37 +258,44 @@ def _compare(words: int, percent: int):
     return _by_unit(solve)
 
 
-def _family_links(spark: SparkSession, docs: DataFrame, postings: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _family_links(spark: SparkSession, own: Scratch, docs: DataFrame, postings: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what the full sets connect."""
-    family = _families(spark, postings, classes).select(F.col("node").alias("id"), F.col("component").alias("family"))
-    plan = materialize(spark, _blocks(family, "family", "id"), "blocks")
+    family = _families(spark, own, postings, classes).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    family = own.write(family.join(classes.select("id", "n").hint("merge"), "id"), "family")
+    plan = own.write(_blocks(own, family, "family", "id"), "blocks")
     # both sides grow with the corpus, so they meet by a shuffle at any size;
     # texts travel, not their shingles: they are smaller, and hashed where they are compared
     rows = _packed(docs).join(plan.hint("merge"), "id").select("family", "i", "j", "id", "packed", "size")
     dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return materialize(spark, dealt.mapInArrow(_compare(words, percent), "a long, b long"), "links")
+    return own.write(dealt.mapInArrow(_compare(words, percent), "a long, b long"), "links")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each row of ``docs``."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the coordinates find pairs of {LEAST_PERCENT} percent or more")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     found = materialize(spark, signatures(docs, words), "signatures")
     usable = found.filter("n > 0 and id is not null")
-    by_set = materialize(spark, usable.groupBy("hi", "lo", "n").agg(F.min("id").alias("c")), "classes")
-    ids = usable.join(by_set, ["hi", "lo", "n"]).select("id", "c")
-    # rows of one id with different sets: their classes are the same document
-    twice = ids.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("top"), F.collect_set("c").alias("all")).filter("a <> top")
-    links = materialize(spark, twice.select("a", F.explode("all").alias("b")).filter("a <> b").distinct(), "links")
-    # of equal ids and sets one row is enough
-    # a set so small that one shingle more or less ends the likeness has no other links
-    classes = usable.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).join(by_set.select("hi", "lo", "n", F.col("c").alias("id")), ["hi", "lo", "n", "id"], "left_semi").dropDuplicates(["hi", "lo", "n", "id"]).select("id", "sig")
-    classes = materialize(spark, classes, "classes")
-    postings = prefix_postings(spark, classes)
-
-    links = links.union(_family_links(spark, docs, postings, classes, words, percent))
-    comp = materialize(spark, components(spark, links), "components")
-
-    label = by_set.join(comp.withColumnRenamed("node", "c"), "c", "left").select("hi", "lo", "n", F.coalesce("component", "c").alias("label"))
-    rows = found.drop("sig").join(label, ["hi", "lo", "n"], "left")
-    whole = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    total, keys = usable.count(), ["hi", "lo", "n"]
+    by_set = materialize(spark, usable.groupBy(*keys).agg(F.min("id").alias("c"), F.count("*").alias("many")), "classes")
+    with Scratch(spark) as own:
+        # rows of one id with different sets: their classes are the same document
+        ids = own.write(join_counted(usable.select("id", *keys), by_set, keys, total).select("id", "c"), "ids")
+        twice = own.write(ids.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("top"), F.count("*").alias("many")).filter("a <> top").drop("top"), "twice")
+        links = own.write(join_counted(ids, twice, ["id"], total).filter("a <> c").select("a", F.col("c").alias("b")).distinct(), "links")
+        # of equal ids and sets one row is enough
+        # a set so small that one shingle more or less ends the likeness has no other links
+        some = usable.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
+        some = some.join(by_set.select(*keys, F.col("c").alias("id")), [*keys, "id"], "left_semi").dropDuplicates([*keys, "id"])
+        classes = own.write(some.select("id", "n", "sig"), "classes")
+        # a document with several sets has one row here for each: any of them may bring it into a family
+        postings = prefix_postings(spark, own, classes)
+        links = links.union(_family_links(spark, own, docs, postings, classes, words, percent))
+        comp = components(spark, links)
+
+    label = by_set.join(comp.withColumnRenamed("node", "c").hint("merge"), "c", "left").select(*keys, "many", F.coalesce("component", "c").alias("label"))
+    label = materialize(spark, label, "labels")
+    known = join_counted(found.drop("sig").filter("n > 0 and id is not null"), label, keys, total).select("id", "n", F.col("label").alias("component_id"))
+    rows = known.unionByName(found.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ NEIGHBOURS = 15
 #: Similarities count to this power.
 SHARPNESS = 8
 BLOCK = 512
+#: Texts that are projected at a time.
+ROWS = 64
 
 # classes of bytes: every ASCII mark is its own, letters and digits are three
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -91,7 +94,7 @@ def weighted(term: np.ndarray, many: np.ndarray, n_words: np.ndarray) -> np.ndar
 def leading_axes(x: np.ndarray, rank: int) -> np.ndarray:
     """The leading right singular vectors of ``x``, by subspace iteration."""
     rng = np.random.Generator(np.random.PCG64(7))
-    base = np.linalg.qr(rng.standard_normal((x.shape[1], min(rank + 16, *x.shape))))[0]
+    base = np.linalg.qr(rng.standard_normal((x.shape[1], min(rank + 16, *x.shape))))[0].astype(x.dtype)
     for _ in range(8):
         base = np.linalg.qr(x.T @ (x @ base))[0]
     _, _, turn = np.linalg.svd(x @ base, full_matrices=False)
@@ -111,7 +114,11 @@ class Model:
         x = np.zeros((len(n_words), self.axes.shape[1]))
         if len(doc):
             at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            x[doc[at]] = np.add.reduceat((weighted(term, many, n_words[doc]) * self.rare[term])[:, None] * self.axes[term], at, axis=0)
+            weight = weighted(term, many, n_words[doc]) * self.rare[term]
+            for a in range(0, len(at), ROWS):  # a bounded number of texts at a time
+                own = at[a : a + ROWS]
+                z = slice(own[0], at[a + ROWS] if a + ROWS < len(at) else len(doc))
+                x[doc[own]] = np.add.reduceat(weight[z, None] * self.axes[term[z]], own - own[0], axis=0)
         x -= self.base
         x[n_words == 0] = 0
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
@@ -142,20 +149,27 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "q
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(chunk.n + 1)).astype(np.int32)), pa.array(x.astype(np.int32)))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([lists(term), lists(many), pa.array(chunk.n_words.astype(np.int64)), batch.column(1).slice(a, b - a)], names=["term", "many", "n_words", "y"])
 
-    rows = sample.mapInArrow(run, "term array<int>, many array<int>, n_words long, y int").toPandas()  # max_rows sparse rows
+    rows = sample.mapInArrow(run, "term array<int>, many array<int>, n_words long, y int").toArrow().combine_chunks()  # max_rows sparse rows
     n = len(rows)
     if not n:
         return Model(*(np.zeros(0),) * 5, 0.0)
-    y = (rows["y"].to_numpy() == 1).astype(np.float64)
-    order = np.array(sorted(range(n), key=lambda i: (y[i], list(rows["term"][i]), list(rows["many"][i]))))
-    n_words, y = rows["n_words"].to_numpy()[order], y[order]
-    doc = np.repeat(np.arange(n), [len(rows["term"][i]) for i in order])
-    term, many = (np.concatenate([np.asarray(rows[c][i], np.int64) for i in order]) for c in ("term", "many"))
+    size = pc.list_value_length(rows["term"]).to_numpy()
+    start = np.cumsum(size) - size
+    term, many = (pc.list_flatten(rows[c]).to_numpy() for c in ("term", "many"))
+    n_words, y = rows["n_words"].to_numpy(), (rows["y"].to_numpy() == 1).astype(np.float64)
+    row = lambda i: (y[i], term[start[i] : start[i] + size[i]].tobytes(), many[start[i] : start[i] + size[i]].tobytes())
+    order = np.array(sorted(range(n), key=row))  # the same rows whatever order they came in
+    place = np.argsort(order)
+    doc = np.repeat(place, size)
+    by = np.argsort(doc, kind="stable")
+    doc, term, many, n_words, y = doc[by], term[by], many[by], n_words[order], y[order]
     x = np.zeros((n, TERMS), np.float32)
     x[doc, term] = weighted(term, many, n_words[doc])
-    mean = x.mean(axis=0)
     rare = np.log((1 + n) / (1 + np.bincount(term, minlength=TERMS))) + 1
-    axes = leading_axes((x - mean) * rare.astype(np.float32), RANK)
+    mean = x.mean(axis=0)
+    x -= mean
+    x *= rare.astype(np.float32)
+    axes = leading_axes(x, RANK)
     model = Model((mean * rare) @ axes, rare, axes, np.zeros(0), y, float(y.mean()))
     return Model(model.base, rare, axes, model.project(doc, term, many, n_words), y, model.share)
 

@@ -6,11 +6,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import html_extract, line_dedup, minhash, mixing, oracles, quality_rules, sentencepiece
+from paperloom.llm import html_extract, line_dedup, minhash, mixing, oracles, quality_rules, sentencepiece, skew
 from paperloom.llm.textkernel import chunks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,10 +167,16 @@ def edited(rng, words, text, share):
     return " ".join(rng.choice(words) if rng.random() < share else w for w in text.split(" "))
 
 
-@pytest.mark.parametrize("rounds", [minhash.ROUNDS, 0])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+@pytest.mark.parametrize("counted", [True, False])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, counted):
+    if not counted:  # the blocks alone must find all
+        whole = minhash.collisions
+        monkeypatch.setattr(minhash, "collisions", lambda postings: whole(postings).filter("false"))
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(minhash, "PIECE", 8)
+    monkeypatch.setattr(skew, "LEAST_HOT", 4)
+    monkeypatch.setattr(skew, "HOT_SHARE", 1 / 50)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     texts = list(EDGE)
@@ -183,7 +190,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, rounds):
     rng.shuffle(texts)
     data = list(enumerate(texts))
     docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("c", F.lit(None).cast("int"))
-    for k, percent in ((2, 80), (5, 80)):
+    for k, percent in ((2, 80), (5, 80)) if counted else ((2, 80),):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, docs, words=k, percent=percent).collect()}
         assert got == near_reference(data, k, percent)
 
@@ -195,6 +202,17 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(spark, docs.filter("false")).count() == 0
 
 
+def test_recall_of_candidates_at_the_threshold():
+    """Pairs at similarity 0.8 that agree on enough coordinates, over many random pairs."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    met = []
+    for _ in range(2000):
+        both, one, two = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (80, 10, 10))
+        least = lambda x: np.array([((f := x * a + b) ^ (f >> np.uint64(32))).min() for a, b in zip(minhash._A, minhash._B)])
+        met.append((least(np.append(both, one)) == least(np.append(both, two))).sum())
+    assert np.mean(np.array(met) >= minhash.MATCHES) > 0.998 and 0.78 < np.mean(met) / minhash.COORDINATES < 0.82
+
+
 # ---- SentencePiece
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
