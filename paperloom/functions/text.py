@@ -12,7 +12,10 @@ _CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}"
 # ---- fixed values: words that say nothing about a journal
 JOURNAL_STOP_WORDS = "THE OF AND FOR IN ON A AN TO DE LA LE LES DES DU ET EN UN UNE JOURNAL INTERNATIONAL ADVANCES RESEARCH SCIENCE STUDIES REVIEW REVIEWS ANNALS".split()
 
-# ---- fixed values: section headings, first match wins
+# ---- fixed values: forms of heading numbers
+HEADING_NUMBERS = (r"^(?:\d+\.)+\d*\.?\s*", r"^\d+[、)]\s*", r"^[一二三四五六七八九十百]+、\s*", r"^[IVXLCM]{2,}\.?\s+", r"^[A-Z]\.\s+")
+
+# ---- fixed values: section headings, first match wins; one pattern for each class
 SECTION_HEADINGS = [
     ("abstract", r"^(?:abstract\b|摘\s*要|内容提要)"),
     ("intro", r"^(?:(?:introduction(?:\s+and\s+background)?|background(?:\s+and\s+introduction)?|related\s+works?|prior\s+works?|literature\s+review|related\s+research)\b|引言|前言|背景|研究背景|相关工作|文献综述|研究现状)"),
@@ -31,6 +34,31 @@ def tokens(c: Column | str) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{_CJK}]"), bigrams(r)).otherwise(F.array(r))))
 
 
+def token_count(c: Column | str) -> Column:
+    """How many index tokens a text has, counted without making them.
+
+    A run of n CJK characters has n - 1 bigrams, and a run of one is a token.
+    """
+    low = F.lower(F.coalesce(_col(c), F.lit("")))
+    times = lambda p: F.regexp_count(low, F.lit(p))
+    cjk = times(f"[{_CJK}]") - times(f"[{_CJK}]+") + times(f"(?<![{_CJK}])[{_CJK}](?![{_CJK}])")
+    return times("[a-z0-9]+") + F.when(low.rlike(f"[{_CJK}]"), cjk).otherwise(0)
+
+
+def token_times(c: Column | str, token: str) -> Column:
+    """How often one index token occurs in a text."""
+    import re
+
+    low = F.lower(F.coalesce(_col(c), F.lit("")))
+    if re.fullmatch("[a-z0-9]+", token):
+        pattern = f"(?<![a-z0-9]){token}(?![a-z0-9])"
+    elif len(token) == 1:
+        pattern = f"(?<![{_CJK}]){re.escape(token)}(?![{_CJK}])"
+    else:
+        pattern = f"(?={re.escape(token)})"  # bigrams overlap
+    return F.regexp_count(low, F.lit(pattern))
+
+
 def any_token_query(c: Column | str, most: int = 64) -> Column:
     """Quoted tokens joined by OR, or null without any."""
     found = F.slice(tokens(c), 1, most)
@@ -104,7 +132,7 @@ def is_garbage(c: Column | str) -> Column:
 def section(c: Column | str, longest: int = 60) -> Column:
     """Section class of a heading line, or null for running text."""
     bare = F.trim(_col(c))
-    for numbering in (r"^(?:\d+\.)+\d*\.?\s*", r"^\d+[、)]\s*", r"^[一二三四五六七八九十百]+、\s*", r"^[IVXLCM]{2,}\.?\s+", r"^[A-Z]\.\s+"):
+    for numbering in HEADING_NUMBERS:
         bare = F.regexp_replace(bare, numbering, "")
     bare = F.trim(bare)
     out = F.lit(None).cast("string")
@@ -154,10 +182,44 @@ def token_estimate(c: Column | str) -> Column:
     return F.ceil(F.length(c) / (4.0 - 2.4 * share)).cast("long")
 
 
+def one_decimal(x: Column) -> Column:
+    """A number of 1 or more with one decimal, rounded by its exact binary value, ties up.
+
+    From 1 on, the fraction of a double is a whole number of 2^-52.
+    """
+    whole = F.floor(x)
+    part = ((x - whole) * F.lit(2.0**52)).cast("long")
+    tenths = whole * 10 + F.shiftright(part * 20 + F.lit(2**52).cast("long"), 53)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+
+
 def short_number(c: Column | str) -> Column:
     """1.5M, 25.0k, or the number."""
     c = _col(c)
-    return F.when(c >= 1_000_000, F.format_string("%.1fM", c / 1e6)).when(c >= 1000, F.format_string("%.1fk", c / 1e3)).otherwise(c.cast("long").cast("string"))
+    return F.when(c >= 1_000_000, F.concat(one_decimal(c / 1e6), F.lit("M"))).when(c >= 1000, F.concat(one_decimal(c / 1e3), F.lit("k"))).otherwise(c.cast("long").cast("string"))
+
+
+def short_bytes(c: Column | str) -> Column:
+    """Sizes in units of 1024: 1.5 GB, 2.0 MB, 3.1 KB, or bytes."""
+    c = _col(c)
+    out = None
+    for unit, size in (("GB", 2**30), ("MB", 2**20), ("KB", 2**10)):
+        shown = F.concat(one_decimal(c / float(size)), F.lit(f" {unit}"))
+        out = F.when(c >= size, shown) if out is None else out.when(c >= size, shown)
+    return out.otherwise(F.concat(c.cast("long").cast("string"), F.lit(" B")))
+
+
+# ---- fixed values of the calibration: smoothing and its bounds
+EMA_ALPHA, EMA_LEAST, EMA_MOST = 0.3, 1.0, 6.0
+
+
+def calibrated_ratio(observed: Column | str, start: float = 4.0) -> Column:
+    """Characters a token after a list of observations in order, exponentially smoothed.
+
+    Null and non-positive observations change nothing.
+    """
+    step = lambda s, x: F.when(x > 0, F.greatest(F.lit(EMA_LEAST), F.least(F.lit(EMA_MOST), s * (1 - EMA_ALPHA) + x * EMA_ALPHA))).otherwise(s)
+    return F.aggregate(_col(observed), F.lit(start), lambda s, x: step(s, x.cast("double")))
 
 
 def fold_query(c: Column | str) -> Column:

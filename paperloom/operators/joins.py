@@ -70,5 +70,5 @@ def as_of(left: DataFrame, right: DataFrame, group: str, at: str, value: str) ->
 
 
 def page_of(spans: Column, offset: Column) -> Column:
-    """Page of the last span that starts at or before the offset; spans come sorted."""
-    return F.element_at(F.filter(spans, lambda s: s["start"] <= offset), -1)["page"]
+    """Page of the last span that starts at or before the offset, null before the first; spans come sorted."""
+    return F.try_element_at(F.filter(spans, lambda s: s["start"] <= offset), F.lit(-1))["page"]

@@ -6,7 +6,7 @@ format and mode.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,9 +57,51 @@ def import_report(table: DataFrame, rows: DataFrame, keys: Sequence[str], values
 
 def update(table: DataFrame, changes: DataFrame, keys: Sequence[str], allowed: Sequence[str]) -> DataFrame:
     """The table with allowed columns replaced where a change has a value."""
-    c = changes.select(*keys, *(F.col(x).alias(f"_{x}") for x in allowed))
-    out = table.join(c, list(keys), "left")
-    return out.select(*[F.coalesce(f"_{x}", x).alias(x) if x in allowed else F.col(x) for x in table.columns])
+    return updates(table, changes, keys, allowed).select(*(F.col(c) if c not in allowed else F.col(f"after.{c}").alias(c) for c in table.columns))
+
+
+def updates(table: DataFrame, changes: DataFrame, keys: Sequence[str], allowed: Sequence[str]) -> DataFrame:
+    """All rows with before and after images of the allowed columns, and what was done.
+
+    status is updated, noop (no value differs) or untouched (no change has the key).
+    """
+    c = changes.select(*keys, F.struct(*allowed).alias("_change"), F.lit(True).alias("_has"))
+    before = F.struct(*allowed)
+    after = F.struct(*(F.coalesce(F.col("_change").getField(x), F.col(x)).alias(x) for x in allowed))
+    out = table.join(c, list(keys), "left").withColumn("before", before).withColumn("after", after)
+    status = F.when(F.col("_has").isNull(), "untouched").when(F.col("before").eqNullSafe(F.col("after")), "noop").otherwise("updated")
+    return out.withColumn("status", status).drop("_change", "_has")
+
+
+def insert_absent_any(table: DataFrame, rows: DataFrame, key_sets: Sequence[Sequence[str]], order: str, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(order, status) of rows inserted one after another under several unique keys.
+
+    A row is ignored if the table or an earlier inserted row has its value of
+    any key set; a key with a null collides with nothing.  Each round inserts all
+    open rows that are the first of every key of theirs, then ignores the open
+    rows that share a key with them, so rounds follow chains of collisions.
+    ``checkpoint`` writes the table between rounds.
+    """
+
+    def keyed(df: DataFrame, *more: str) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(i).alias("s"), F.concat_ws("\x1f", *(F.col(k).cast("string") for k in ks)).alias("v"), F.array(*(F.col(k).isNull() for k in ks)).alias("n")) for i, ks in enumerate(key_sets)))
+        return df.select(*more, F.explode(each).alias("k")).filter(~F.exists("k.n", lambda x: x)).select(*more, "k.s", "k.v")
+
+    keys = checkpoint(keyed(rows, order))
+    held = keys.join(keyed(table).distinct(), ["s", "v"], "left_semi").select(order).distinct().withColumn("_held", F.lit("ignored"))
+    state = checkpoint(rows.select(order).join(held, order, "left").select(order, F.coalesce("_held", F.lit("open")).alias("status")))
+    while not state.filter("status = 'open'").isEmpty():
+        live = keys.join(state.filter("status = 'open'").select(order), order)
+        first = live.groupBy("s", "v").agg(F.min(order).alias("_first"))
+        later = live.join(first, ["s", "v"]).filter(F.col(order) > F.col("_first")).select(order, "_first").distinct()
+        blocked = later.select(order).distinct().withColumn("_blocked", F.lit(True))
+        now = state.filter("status = 'open'").join(blocked, order, "left")
+        fresh = checkpoint(now.filter("_blocked is null").select(F.col(order).alias("_first")))
+        loser = later.join(fresh, "_first", "left_semi").select(order).distinct().withColumn("_lost", F.lit(True))
+        won = fresh.select(F.col("_first").alias(order), F.lit(True).alias("_won"))
+        decided = F.when(F.col("_won"), "inserted").when(F.col("_lost"), "ignored").otherwise(F.col("status"))
+        state = checkpoint(state.join(won, order, "left").join(loser, order, "left").select(order, decided.alias("status")))
+    return state
 
 
 def delete(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,18 +53,18 @@ def under_budget(df: DataFrame, size: str, at: str, budget: int, tie: str) -> Da
     return out.filter(F.col("_run") <= budget).select(*df.columns)
 
 
-def flatten_tree(spark: SparkSession, nodes: DataFrame, key: str, parent: str, name: str, deepest: int = 32) -> DataFrame:
+def flatten_tree(spark: SparkSession, nodes: DataFrame, key: str, parent: str, name: str, checkpoint: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
     """(key, name, depth, path) in pre-order of ``path``, siblings by name.
 
-    One join a level; levels end when no row is left or at ``deepest``.
+    One join a level until no row is left; ``checkpoint`` writes each level, so
+    plans do not grow with the depth.  Rows on a cycle hang on no root and are absent.
     """
     part = F.struct(F.col(name).alias("n"), F.col(key).cast("string").alias("k"))
     level = nodes.filter(F.col(parent).isNull()).select(F.col(key).alias("id"), F.col(name).alias("name"), F.lit(0).alias("depth"), F.array(part).alias("path"))
     out = level
-    for depth in range(1, deepest):
+    for depth in count(1):
         if level.isEmpty():
-            break
+            return out
         kids = nodes.select(F.col(key).alias("id"), F.col(name).alias("name"), F.col(parent).alias("_p"), part.alias("_part"))
-        level = kids.join(level.select(F.col("id").alias("_i"), F.col("path").alias("_path")), F.col("_p") == F.col("_i")).select("id", "name", F.lit(depth).alias("depth"), F.concat("_path", F.array("_part")).alias("path"))
+        level = checkpoint(kids.join(level.select(F.col("id").alias("_i"), F.col("path").alias("_path")), F.col("_p") == F.col("_i")).select("id", "name", F.lit(depth).alias("depth"), F.concat("_path", F.array("_part")).alias("path")))
         out = out.unionByName(level)
-    return out

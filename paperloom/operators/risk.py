@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -54,8 +54,8 @@ def check(items: DataFrame, journals: DataFrame, publishers: DataFrame, metrics:
     return out.select("id", layer.alias("layer"), F.element_at(level, layer).alias("confidence"), F.coalesce("m_url", exact_name, abbr_name, "m_kw").alias("matched"))
 
 
-def exact_batch(items: DataFrame, journals: DataFrame, name: str = "journal") -> DataFrame:
-    """``items`` with the category of an exactly listed journal; the last row of a name wins."""
-    listed = journals.withColumn("_o", F.monotonically_increasing_id()).select(N.journal_name("name").alias("_k"), "category", "_o").filter("_k is not null")
-    last = listed.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("_o")))).filter("_n = 1").select("_k", F.col("category").alias("risk"))
+def exact_batch(items: DataFrame, journals: DataFrame, name: str = "journal", order: str = "ord") -> DataFrame:
+    """``items`` with the category of an exactly listed journal; of a name's rows the last by ``order`` wins."""
+    listed = journals.select(N.journal_name("name").alias("_k"), "category", F.col(order).alias("_o")).filter("_k is not null")
+    last = listed.groupBy("_k").agg(F.max_by("category", F.struct("_o", "category")).alias("risk"))
     return items.join(last, N.journal_name(name) == F.col("_k"), "left").drop("_k")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import cosine
-from ..functions.text import tokens as index_tokens
+from ..functions.text import token_count, token_times
 
 K1, B = 1.2, 0.75
 #: Inverse document frequency of a term in half of all documents or more.
@@ -32,19 +33,17 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "v
     return scored.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def bm25(docs: DataFrame, query: Sequence[str], k: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, query: Sequence[str], k: int, id_col: str = "doc_id", text: str = "text", stored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """BM25 of a bag of query terms, best first; repeated terms count twice.
 
-    Only query terms are counted in each document, so no posting list is
-    shuffled: a row for each document, and one row of totals joined back.
+    Only query terms are counted in each document, by patterns on its text, so
+    no token list is made and no posting list is shuffled: a row for each
+    document, and one row of totals joined back.
     """
     terms = list(dict.fromkeys(query))
-    words = docs.select(id_col, index_tokens(text).alias("_t"))
-
-    def times(term: str) -> Column:
-        return F.size(F.filter("_t", lambda x: x == term))
-
-    counted = words.select(id_col, F.size("_t").alias("_len"), *(times(term).alias(f"_f{i}") for i, term in enumerate(terms)))
+    counted = docs.select(id_col, token_count(text).alias("_len"), *(token_times(text, term).alias(f"_f{i}") for i, term in enumerate(terms)))
+    if stored is not None:  # counted once for the totals and the scores
+        counted = stored(counted)
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(terms))))
     scored = counted.filter(" or ".join(f"_f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(totals))  # totals: one row
     score = F.lit(0.0)
@@ -165,33 +164,110 @@ def leader_groups(spark: SparkSession, pairs: DataFrame, checkpoint) -> DataFram
     return own.select(F.col("x.a").alias("leader"), F.col("b").alias("member"), F.col("x.similarity").alias("similarity"))
 
 
-def ivf_centroids(vectors: DataFrame, k: int, rounds: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> list[list[float]]:
-    """Centroids from evenly spaced seeds and a few Lloyd rounds; k rows reach the driver."""
-    n = vectors.count()
-    step = max(1, n // k)
-    spaced = vectors.withColumn("_n", F.pmod(F.xxhash64(id_col), F.lit(step))).filter("_n = 0").orderBy(id_col).limit(k)
-    centres = [list(map(float, r[vector])) for r in spaced.select(vector).collect()]
+@dataclass(frozen=True)
+class Clusters:
+    """Centroids of an inverted file, and how many of them a search probes."""
+
+    centres: np.ndarray
+    probes: int
+
+
+#: Rows that centroids are fitted on, and queries that the probes are set by.
+FIT_ROWS, FIT_QUERIES = 8192, 128
+MOST_CLUSTERS = 256
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    v = F.col(vector).cast("array<double>")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null").filter(~bad)
+
+
+def ivf_fit(vectors: DataFrame, k: int = 10, recall: float = 0.95, rounds: int = 12, id_col: str = "vec_id", vector: str = "embedding") -> Clusters:
+    """Clusters fitted on at most ``FIT_ROWS`` rows, the first by a hash of their id.
+
+    There are min(256, n / 10) of them, by Lloyd's rounds on unit vectors.  The
+    probes are the fewest with which ``FIT_QUERIES`` of these rows find the given
+    share of their k nearest rows.
+    """
+    rows = _usable(vectors, id_col, vector)
+    n = rows.count()
+    share = min(1.0, 1.5 * FIT_ROWS / max(1, n))
+    near = rows if share == 1.0 else rows.filter(F.xxhash64("id") < int((share - 0.5) * 2**64))
+    sample = near.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()  # FIT_ROWS vectors at most
+    if not len(sample):
+        return Clusters(np.zeros((1, 0)), 1)
+    x = _unit(np.array(sample["v"].to_pylist()))
+    centres = x[: min(MOST_CLUSTERS, max(1, n // 10), len(x))].copy()
     for _ in range(rounds):
-        placed = vectors.select(nearest_centroids(F.col(vector), centres, 1)[0].alias("c"), F.posexplode(vector).alias("i", "x"))
-        means = placed.groupBy("c", "i").agg(F.avg("x").alias("m")).groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v")).collect()
-        for r in means:
-            centres[r["c"]] = list(map(float, r["v"]))
-    return centres
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        moved = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, _unit(sums), centres)
+        if np.abs(moved - centres).max() < 1e-6:
+            break
+        centres = moved
+    own = (x @ centres.T).argmax(axis=1)
+    q = x[:FIT_QUERIES]
+    best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, : k + 1]
+    order = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)
+    place = np.sort(np.take_along_axis(order, own[best], axis=1).ravel())  # probes less one that each neighbour needs
+    return Clusters(centres, int(place[min(len(place) - 1, int(np.ceil(recall * len(place))) - 1)]) + 1)
 
 
-def nearest_centroids(v: Column, centres: list[list[float]], many: int) -> Column:
-    """Indexes of the centroids of largest dot product, best first."""
-    zero = F.lit(0.0)
-    table = F.array(*(F.array(*map(F.lit, c)) for c in centres))
-    dots = F.transform(table, lambda c, i: F.named_struct(F.lit("d"), -F.aggregate(F.zip_with(c, v, lambda x, y: x * y.cast("double")), zero, lambda s, x: s + x), F.lit("i"), i))
-    return F.transform(F.slice(F.array_sort(dots), 1, many), lambda s: s["i"])
+def ivf_search(vectors: DataFrame, clusters: Clusters, asked: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, similarity): the k nearest of all rows, in the probed clusters, for each row of ``asked``.
 
+    Every row is in one cluster, every query goes to ``probes`` of them; a large
+    cluster is dealt into chunks of ``CHUNK_ROWS``, each of which meets the
+    cluster's queries in one task.  A query does not find its own id.
+    """
+    centres, probes = clusters.centres, clusters.probes
 
-def ivf_search(vectors: DataFrame, centres: list[list[float]], query: Sequence[float], k: int, probes: int = 8, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Cosine search in the clusters that lie nearest to the query."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    own = nearest_centroids(F.col(vector), centres, 1)[0]
-    return nearest(vectors.filter(F.array_contains(nearest_centroids(q, centres, probes), own)), query, k, id_col, vector)
+    def placed(many: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+                near = np.argsort(-(_unit(m) @ centres.T), axis=1, kind="stable")[:, :many]
+                at = pa.array(np.repeat(np.arange(len(batch)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["c", "id", "v"])
+
+        return run
+
+    schema = "c int, id long, v array<double>"
+    rows = _usable(vectors, id_col, vector).mapInArrow(placed(1), schema)
+    asks = _usable(asked, id_col, vector).mapInArrow(placed(probes), schema)
+    sizes = rows.groupBy("c").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("n"))  # at most MOST_CLUSTERS rows
+    rows = rows.join(F.broadcast(sizes), "c").select("c", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("u"), F.lit(1).alias("side"), "id", "v")
+    asks = asks.join(F.broadcast(sizes), "c").select("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("u"), F.lit(0).alias("side"), "id", "v")
+
+    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        cut = int((t["side"].to_numpy() == 0).sum())
+        if not 0 < cut < len(t):
+            return
+        ids, m = t["id"].to_numpy(), _unit(t["v"].chunk(0).flatten().to_numpy().reshape(len(t), -1))
+        for s in range(0, cut, SLICE):
+            z = slice(s, min(cut, s + SLICE))
+            cos = m[z] @ m[cut:].T
+            cos[ids[z][:, None] == ids[None, cut:]] = -np.inf
+            top = np.argpartition(-cos, min(k, cos.shape[1]) - 1, axis=1)[:, :k]
+            value = np.take_along_axis(cos, top, axis=1)
+            row, col = np.nonzero(value > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[z][row]), pa.array(ids[cut:][top[row, col]]), pa.array(value[row, col])], names=["query_id", "id", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in by_unit(batches, 2):
+            yield from solve(parts)
+
+    dealt = rows.unionByName(asks).repartition("c", "u").sortWithinPartitions("c", "u", "side", "id")
+    found = dealt.mapInArrow(run, "query_id long, id long, similarity double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "similarity")
 
 
 def ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:

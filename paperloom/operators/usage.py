@@ -80,3 +80,38 @@ def learnt_queries(df: DataFrame, query: str, score: str, host: str, top: int =
     best = best.groupBy(F.col(query).alias("_q")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col(host).alias("h")))), lambda x: x["h"]).alias("hosts"))
     totals = hosts.groupBy(query).agg((F.sum("_s") / F.sum("_n")).alias("mean_score"), F.sum("_n").alias("n"))
     return totals.join(best, F.col(query).eqNullSafe(F.col("_q"))).drop("_q")
+
+
+# ---- fixed values: from which mean score and count on a query counts as effective, and under which as ineffective
+EFFECTIVE_SCORE, EFFECTIVE_COUNT, INEFFECTIVE_SCORE = 60, 3, 30
+
+
+def judged_queries(entries: DataFrame, most: int = 20) -> DataFrame:
+    """(verdict, rank, query, mean_score): the best effective and the worst ineffective queries.
+
+    ``entries`` has a row for each query with mean_score and n.
+    """
+    s = F.col("mean_score")
+    verdict = F.when((s >= EFFECTIVE_SCORE) & (F.col("n") >= EFFECTIVE_COUNT), "effective").when(s < INEFFECTIVE_SCORE, "ineffective")
+    rows = entries.select(verdict.alias("verdict"), "query", "mean_score").filter("verdict is not null")
+    best = Window.partitionBy("verdict").orderBy(F.when(F.col("verdict") == "effective", -s).otherwise(s), "query")
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).select("verdict", "rank", "query", "mean_score")
+
+
+def quality_hosts(entries: DataFrame) -> DataFrame:
+    """(host, n): hosts among the top hosts of queries whose mean scores are high, and in how many."""
+    rows = entries.filter(F.col("mean_score") >= EFFECTIVE_SCORE).select("mean_score", F.explode("hosts").alias("host"))
+    out = rows.groupBy("host").agg(F.avg("mean_score").alias("_m"), F.count("*").alias("n"))
+    return out.filter(F.col("_m") >= EFFECTIVE_SCORE).select("host", "n")
+
+
+def session_totals(events: DataFrame, session: str, at: str, model: str, measures: Sequence[str], as_of: Column, most_hours: int = 24, many: int = 100) -> DataFrame:
+    """Sums of each session with its first model; with over ``many`` sessions the idle ones go.
+
+    Idle is what has no event in the ``most_hours`` before ``as_of``.
+    """
+    sums = [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]
+    out = events.groupBy(session).agg(*sums, F.min_by(model, F.when(F.col(model).isNotNull(), F.struct(at, model))).alias("model"), F.max(at).alias("last_at"))
+    over = out.agg((F.count("*") > many).alias("_over"))
+    idle = F.col("last_at") < as_of - F.make_dt_interval(F.lit(0), F.lit(most_hours))
+    return out.crossJoin(F.broadcast(over)).filter(~(F.col("_over") & idle)).drop("_over")  # over: one row

@@ -33,10 +33,22 @@ def _metric(name: str):
     return F.try_element_at("metrics", F.lit(name))
 
 
+# ---- fixed values: what a patent's kind code says, and what a source's items are called
+PATENT_STATUS = {"b1": "granted", "b2": "granted", "a1": "published", "a2": "published", "a9": "published", "u1": "utility", "p1": "provisional"}
+DATA_TYPES = {
+    "geo": "Gene Expression Data", "pubchem": "Chemical Compound", "pangaea": "Geoscience Data", "icpsr": "Social Science Data",
+    "inspire": "Physics Literature", "ads": "Physics Literature", "zbmath": "Mathematics Literature", "repec": "Economics Literature",
+}
+
+
+def _table(values: dict[str, str], key):
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
+
+
 def patent_status(df: DataFrame) -> DataFrame:
-    """Legal status by kind code: A applications, B grants, U utility models."""
-    kind = F.substring(F.element_at(F.split("dedup_key", "-"), -1), 1, 1)
-    return df.withColumn("status", F.when(kind == "a", "application").when(kind == "b", "granted").when(kind == "u", "utility model"))
+    """Legal status by kind code; a patent number without one has none."""
+    kind = F.try_element_at(F.split("dedup_key", "-"), F.lit(3))
+    return df.withColumn("status", F.when(kind.isNotNull(), F.coalesce(_table(PATENT_STATUS, kind), F.lit("unknown"))))
 
 
 def researcher(df: DataFrame) -> DataFrame:
@@ -46,25 +58,62 @@ def researcher(df: DataFrame) -> DataFrame:
 
 def grant(df: DataFrame) -> DataFrame:
     """Amount, term and status; "inactive" is tested before "active"."""
-    s = F.lower(F.coalesce(_metric("status"), F.lit("")))
-    status = F.when(s.rlike("inactive|closed|ended|terminated|completed"), "ended").when(s.rlike("active|ongoing|open|signed"), "active").when(s != "", "other")
+    s = F.lower(N.missing(_metric("status")))
+    status = F.when(s.rlike("inactive|closed|ended|completed|finished"), "completed").when(s.rlike("terminated|cancel|suspend"), "terminated").when(s.rlike("active|ongoing|in.progress|open|signed"), "active").when(s.isNotNull(), "unknown")
     amount = _metric("amount").try_cast("double")
-    term = F.when(_metric("start").isNotNull() | _metric("end").isNotNull(), F.concat(F.coalesce(_metric("start"), F.lit("")), F.lit(" ~ "), F.coalesce(_metric("end"), F.lit(""))))
-    return df.withColumns({"status": status, "amount": F.when(amount.isNotNull(), F.concat(F.lit("$"), F.format_number(amount, 0))), "term": term})
+    term = F.concat(_metric("start"), F.lit(" ~ "), _metric("end"))  # null unless both are known
+    return df.withColumns({"status": status, "amount": F.when(amount > 0, F.concat(F.lit("$"), F.format_number(amount, 0))), "term": term})
 
 
 def trial(df: DataFrame) -> DataFrame:
-    s = F.lower(F.coalesce(_metric("status"), F.lit("")))
-    status = F.when(s.rlike("not yet|recruiting|enrolling"), "recruiting").when(s.contains("completed"), "completed").when(s.rlike("terminated|withdrawn|suspended"), "stopped").when(s.contains("active"), "active").when(s != "", "other")
+    """Phases joined by a slash, and the class of the status."""
+    s = F.lower(N.missing(_metric("status")))
+    status = F.when(s.contains("recruit"), "recruiting").when(s.contains("complet"), "completed").when(s.contains("terminat"), "terminated").when(s.contains("withdraw"), "withdrawn").when(s.isNotNull(), "unknown")
     return df.withColumn("status", status).withColumn("phase", F.replace(_metric("phases"), F.lit(","), F.lit("/")))
 
 
-def labelled(label: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumn("data_type", F.lit(label))
+def data_type(df: DataFrame) -> DataFrame:
+    """What a source's items are called."""
+    return df.withColumn("data_type", _table(DATA_TYPES, F.col("source")))
+
+
+def preprint(df: DataFrame) -> DataFrame:
+    return df.withColumn("document_type", F.lit("preprint")).withColumn("peer_reviewed", F.lit(False))
+
+
+def overlay_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """``rows`` with publisher, creators and licence of a recorded DOI registry, where it has them.
+
+    ``registry`` has doi, publisher, creators and licenses (lists of text); the
+    first licence that begins with "cc-" counts.
+    """
+    licence = F.try_element_at(F.filter("licenses", lambda x: x.startswith("cc-")), F.lit(1))
+    known = registry.select(N.doi("doi").alias("_doi"), F.filter(F.array(*(F.struct(F.lit(n).alias("key"), N.missing(v).alias("value")) for n, v in (("publisher", F.col("publisher")), ("creators", F.array_join("creators", "; ")), ("license", licence)))), lambda e: e["value"].isNotNull()).alias("_new")).filter("_doi is not null").groupBy("_doi").agg(F.first("_new").alias("_new"))
+    new = F.coalesce(F.map_from_entries("_new"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter("metrics", lambda k, _: ~F.map_contains_key(new, k))
+    return rows.join(known, F.col("doi") == F.col("_doi"), "left").withColumn("metrics", F.map_concat(kept, new)).drop("_doi", "_new")
+
+
+# ---- fixed values: labels of what a saved item keeps, and the column or metric that holds it
+EXTRAS = {
+    "patent": {"Patent Number": "dedup_key", "Assignees": "applicants", "Inventors": "inventors", "IPC/CPC": "classes", "Application Date": "applied", "Legal Status": "status", "Citations": "citations"},
+    "dataset": {"DOI": "doi", "Creators": "creators", "License": "license", "Publisher": "publisher", "Task Tags": "tags", "Downloads": "downloads", "Likes": "likes"},
+    "researcher": {"ORCID": "orcid", "H-Index": "hIndex", "Citations": "citations", "Works": "works"},
+    "grant": {"Funder": "funder", "Amount": "amount", "Period": "term", "Status": "status"},
+    "clinicaltrial": {"Phase": "phase", "Status": "status", "Sponsor": "sponsor"},
+}
+
+
+def extra_fields(rows: DataFrame, domain: str) -> DataFrame:
+    """``rows`` with ``extra``, a map of label to value without those that are missing."""
+    value = lambda name: N.missing(F.col(name).cast("string") if name in rows.columns else _metric(name))
+    pairs = [x for label, name in DOMAINS[domain].extras.items() for x in (F.lit(label), value(name))]
+    made = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    return rows.withColumn("extra", made)
 
 
-_ENRICH = {"patent": patent_status, "researcher": researcher, "grant": grant, "clinicaltrial": trial, "bio": labelled("expression"), "chemistry": labelled("compound"), "geoscience": labelled("geodata"), "social-science": labelled("survey"), "physics": labelled("paper"), "mathematics": labelled("paper"), "economics": labelled("paper"), "preprint": labelled("preprint")}
-DOMAINS: dict[str, Domain] = {d: Domain(d, tuple(c.source for c in CONNECTORS.values() if c.domain == d), _ENRICH.get(d, lambda df: df)) for d in dict.fromkeys(c.domain for c in CONNECTORS.values())}
+_ENRICH = {"patent": patent_status, "researcher": researcher, "grant": grant, "clinicaltrial": trial, "preprint": preprint} | {d: data_type for d in ("bio", "chemistry", "geoscience", "social-science", "physics", "mathematics", "economics")}
+DOMAINS: dict[str, Domain] = {d: Domain(d, tuple(c.source for c in CONNECTORS.values() if c.domain == d), _ENRICH.get(d, lambda df: df), EXTRAS.get(d, {})) for d in dict.fromkeys(c.domain for c in CONNECTORS.values())}
 
 
 def search(
@@ -118,7 +167,7 @@ def search(
         rows = rows.filter(F.lower(_metric("country")).contains(wanted["country"].lower()))
     if wanted.get("taskTags"):
         rows = filters.any_tag(rows.withColumn("tags", F.split(F.coalesce(_metric("tags"), F.lit("")), ",")), wanted["taskTags"])
-    rows = d.enrich(rows)
+    rows = extra_fields(d.enrich(rows), domain)
     if library is not None:
         rows = joins.mark(rows, F.col("dedup_key"), library, F.col("dedup_key"))
     return rows.orderBy("ord").limit(most), said

@@ -69,11 +69,10 @@ def similar_items(spark, d):
 
 @query()
 def ivf_topk(spark, d):
-    """The same search in the nearest clusters alone."""
+    """The ten nearest vectors of every twentieth, in the nearest clusters alone."""
     vectors = t(spark, d, "embeddings")
-    k = min(256, max(1, vectors.count() // 10), 32)
-    centres = search.ivf_centroids(vectors, k, rounds=3)
-    return search.ivf_search(vectors, centres, _first_vector(spark, d), 10, probes=8).select("vec_id", r("similarity", 6).alias("similarity"))
+    found = search.ivf_search(vectors, search.ivf_fit(vectors), vectors.filter("vec_id % 20 = 0"), 10)
+    return found.select("query_id", "rank", "vec_id", r("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH v AS ({_VEC}) SELECT a.vec_id AS a, b.vec_id AS b, round({_COS.replace('v,', 'a.v,').replace(', v)', ', a.v)').replace('q)', 'b.v)').replace('(q,', '(b.v,')}, 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS.replace('v,', 'a.v,').replace(', v)', ', a.v)').replace('q)', 'b.v)').replace('(q,', '(b.v,')} >= 0.4")
@@ -107,7 +106,7 @@ p AS (SELECT doc_id, f.t, m * CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) <= 0 THE
 SELECT doc_id, round(sum(x), 6) AS score FROM p GROUP BY doc_id ORDER BY sum(x) DESC, doc_id LIMIT 20""")
 def bm25_topk(spark, d):
     """BM25 of a bag of words."""
-    return search.bm25(t(spark, d, "documents"), ["the", "of", "trash", "the"], 20).select("doc_id", r("score", 6).alias("score"))
+    return search.bm25(t(spark, d, "documents"), ["the", "of", "trash", "the"], 20, stored=lambda x: stored(spark, x)).select("doc_id", r("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, len({_TOK})::BIGINT AS n, array_to_string({_TOK}[1:5], ' ') AS head FROM documents")
@@ -241,7 +240,7 @@ def score_buckets(spark, d):
 @query("""WITH h AS (SELECT event_type, user_id, count(*) AS n, sum(value) AS s FROM events GROUP BY ALL)
 SELECT event_type, round(sum(s) / sum(n), 4) AS mean_score, sum(n)::BIGINT AS n, array_to_string((list(user_id ORDER BY n DESC, user_id))[1:5], ',') AS hosts FROM h GROUP BY event_type""")
 def learnt_queries(spark, d):
-    """Mean score, count and top hosts of each query."""
+    """Mean score, count and top hosts of each query."""
     return usage.learnt_queries(t(spark, d, "events"), "event_type", "value", "user_id").select("event_type", r("mean_score").alias("mean_score"), "n", F.array_join(F.col("hosts").cast("array<string>"), ",").alias("hosts"))
 
 
@@ -446,7 +445,7 @@ def asof_value(spark, d):
 def page_lookup(spark, d):
     """Page of an offset; before the first span there is none."""
     spans = F.array(F.struct(F.lit(10).alias("start"), F.lit(1).alias("page")), F.struct(F.lit(50).alias("start"), F.lit(2).alias("page")))
-    return t(spark, d, "events").select("event_id", F.try_element_at(F.transform(F.filter(spans, lambda s: s["start"] <= F.col("value")), lambda s: s["page"]), F.lit(-1)).alias("page"))
+    return t(spark, d, "events").select("event_id", joins.page_of(spans, F.col("value")).alias("page"))
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
@@ -512,7 +511,8 @@ def keyword_overlap(spark, d):
     return t(spark, d, "part").select("p_partkey", r(X.keyword_overlap(X.keywords("p_name"), X.keywords("p_type")), 6).alias("overlap"))
 
 
-@query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, CASE WHEN n_chars >= 1000 THEN printf('%.1fk', n_chars / 1000.0) ELSE n_chars::VARCHAR END AS shown FROM documents")
+@query("""WITH x AS (SELECT *, n_chars / 1000::DOUBLE AS k FROM documents), y AS (SELECT *, 10 * floor(k)::BIGINT + (20 * ((k - floor(k)) * 4503599627370496)::BIGINT + 4503599627370496) // 9007199254740992 AS t FROM x)
+SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, CASE WHEN n_chars >= 1000 THEN (t // 10)::VARCHAR || '.' || (t % 10)::VARCHAR || 'k' ELSE n_chars::VARCHAR END AS shown FROM y""")
 def size_estimates(spark, d):
     """Token estimate and short number."""
     return t(spark, d, "documents").select("doc_id", X.token_estimate("text").alias("tokens"), X.short_number("n_chars").alias("shown"))
@@ -594,7 +594,7 @@ def flatten_tree(spark, d):
     nodes = t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"), F.lit(None).cast("long").alias("p"), F.col("r_name").alias("name"))
     nodes = nodes.unionByName(t(spark, d, "nation").select((100 + F.col("n_nationkey")).cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("p"), F.col("n_name").alias("name")))
     nodes = nodes.unionByName(t(spark, d, "supplier").select((1000 + F.col("s_suppkey")).cast("long").alias("k"), (100 + F.col("s_nationkey")).cast("long").alias("p"), F.col("s_name").alias("name")))
-    return ordering.flatten_tree(spark, nodes, "k", "p", "name").select("id", "name", "depth", F.array_join(F.transform("path", lambda x: x["n"]), "/").alias("path"))
+    return ordering.flatten_tree(spark, nodes, "k", "p", "name", lambda x: stored(spark, x)).select("id", "name", "depth", F.array_join(F.transform("path", lambda x: x["n"]), "/").alias("path"))
 
 
 # ---- changes

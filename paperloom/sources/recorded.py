@@ -30,6 +30,21 @@ def first_of(*paths: str) -> Callable[[Column], Column]:
     return lambda p: F.coalesce(*(N.missing(F.get_json_object(p, f"$.{x}")) for x in paths))
 
 
+def listed(*paths: str, sep: str = "; ") -> Callable[[Column], Column]:
+    """A JSON list of the payload as one text, or the text that stands in its place."""
+
+    def one(p: Column, path: str) -> Column:
+        raw = F.get_json_object(p, f"$.{path}")
+        return F.when(raw.startswith("["), F.array_join(F.from_json(raw, "array<string>"), sep)).otherwise(raw)
+
+    return lambda p: F.coalesce(*(N.missing(one(p, x)) for x in paths))
+
+
+def size_of(path: str) -> Callable[[Column], Column]:
+    """How many elements a JSON list of the payload has."""
+    return lambda p: F.nullif(F.coalesce(F.json_array_length(F.get_json_object(p, f"$.{path}")), F.lit(0)), F.lit(0)).cast("string")
+
+
 @dataclass(frozen=True)
 class Connector:
     """How one source's payload becomes result rows."""
@@ -64,8 +79,21 @@ def _biblio(source: str, **more) -> Connector:
     return Connector(source, "literature", first_of("id", "doi", "DOI", "pmid"), at("title"), metrics={"citations": first_of("citations", "cited_by_count", "citationCount", "is-referenced-by-count")}, **more)
 
 
+#: What the items of a domain say beside title and year, by the field names that its services use.
+FIELDS: dict[str, dict[str, Callable[[Column], Column]]] = {
+    "dataset": {"license": first_of("license.id", "license.name", "license", "rights", "rightsIdentifier"), "oaType": first_of("oaType", "access_right", "accessRight"), "tags": listed("taskTags", "tags", "keywords", sep=","), "country": first_of("geographicCoverage", "country"), "publisher": first_of("publisher"), "creators": listed("creators", "authors"), "downloads": first_of("downloads", "stats.downloads"), "likes": first_of("likes")},
+    "patent": {"applicants": listed("applicants", "assignees"), "inventors": listed("inventors"), "classes": listed("ipcClasses", "cpc"), "applied": first_of("applicationDate", "filing_date"), "citations": first_of("citationCount", "cited_by"), "familySize": size_of("familyMembers")},
+    "grant": {"status": first_of("status", "project_status"), "amount": first_of("amount", "award_amount", "ecMaxContribution"), "start": first_of("startDate", "project_start_date"), "end": first_of("endDate", "project_end_date"), "funder": first_of("funder", "agency")},
+    "clinicaltrial": {"status": first_of("status", "overallStatus"), "phases": listed("phases", sep="/"), "sponsor": first_of("sponsor", "leadSponsor")},
+    "researcher": {"works": first_of("works_count", "worksCount", "paperCount"), "citations": first_of("cited_by_count", "citationCount"), "hIndex": first_of("summary_stats.h_index", "hIndex"), "institution": first_of("institution.display_name", "institution", "affiliation"), "country": first_of("institution.country_code", "country_code", "country"), "orcid": first_of("orcid")},
+    "oa-fulltext": {"oaType": first_of("oa_status"), "license": first_of("best_oa_location.license")},
+}
+FIELDS |= {d: FIELDS["dataset"] for d in ("bio", "chemistry", "geoscience", "social-science")}
+
+
 def _data(source: str, key: str = "id", prefix: str = "", **more) -> Connector:
-    return Connector(source, more.pop("domain", "dataset"), first_of("id", "code", "accession", "ref", "name"), first_of("title", "name", "label"), key=key, prefix=prefix, **more)
+    domain = more.pop("domain", "dataset")
+    return Connector(source, domain, first_of("id", "code", "accession", "ref", "patentNumber", "name"), first_of("title", "display_name", "name", "label"), key=key, prefix=prefix, metrics=FIELDS.get(domain, {}), **more)
 
 
 #: Every source by id; names, keys and filters are fixed values of the services.

@@ -55,7 +55,7 @@ def test_enrichers(spark):
     df = spark.createDataFrame([("us-1234567-b2", {"status": "Inactive", "amount": "1234567", "start": "2020", "works": "30", "phases": "1,2"})], "dedup_key string, metrics map<string,string>")
     assert domains.patent_status(df).first().status == "granted"
     g = domains.grant(df).first()
-    assert (g.status, g.amount, g.term) == ("ended", "$1,234,567", "2020 ~ ")
+    assert (g.status, g.amount, g.term) == ("completed", "$1,234,567", None)
     assert domains.researcher(df).first().status == "active" and domains.trial(df).first().phase == "1/2"
 
 

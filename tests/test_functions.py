@@ -83,3 +83,33 @@ def test_half_up_and_fusion(spark):
 
 def test_cosine_of_nothing_is_zero(spark):
     assert spark.range(1).select(C.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()[0] == 0.0
+
+
+def test_short_numbers_round_by_their_exact_value(spark):
+    from fractions import Fraction
+    from math import floor
+
+    got = spark.range(1000, 100_000).select("id", X.short_number("id").alias("s")).collect()
+    for r in got:
+        n = floor(Fraction(r.id / 1000) * 10 + Fraction(1, 2))
+        assert r.s == f"{n // 10}.{n % 10}k"
+    some = {n: X.short_number(F.lit(n)) for n in (0, 999, 999_999, 1_000_000, 1_250_000, 1_249_999, 10**12)}
+    row = spark.range(1).select(*(c.alias(str(n)) for n, c in some.items())).first().asDict()
+    assert row == {"0": "0", "999": "999", "999999": "1000.0k", "1000000": "1.0M", "1250000": "1.3M", "1249999": "1.2M", str(10**12): "1000000.0M"}
+    sizes = spark.range(1).select(*(X.short_bytes(F.lit(n)) for n in (5, 1536, 3 * 2**20, 5 * 2**29))).first()
+    assert list(sizes) == ["5 B", "1.5 KB", "3.0 MB", "2.5 GB"]
+
+
+def test_token_counts_without_tokens(spark):
+    texts = ["", None, "The the, then THE x", "漢字かな交じり a漢b 字", "漢 漢字 漢字漢字", "über the-end 12the the12"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = ["the", "漢字", "漢", "字漢", "12the"]
+    rows = df.select(X.tokens("text").alias("t"), X.token_count("text").alias("n"), *(X.token_times("text", a).alias(a) for a in asked)).collect()
+    for r in rows:
+        own = r.t or []
+        assert r.n == len(own) and all(r[a] == own.count(a) for a in asked)
+
+
+def test_calibration(spark):
+    got = spark.range(1).select(X.calibrated_ratio(F.array(F.lit(2.0), F.lit(None).cast("double"), F.lit(-1.0), F.lit(100.0))).alias("x")).first().x
+    assert abs(got - min(6, (4 * 0.7 + 2 * 0.3) * 0.7 + 30)) < 1e-9

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,9 +128,50 @@ def test_ivf_recall(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(10 * (i % 5 == j), 1) for j in range(5)]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    centres = search.ivf_centroids(df, 10, rounds=2)
-    exact = {r.vec_id for r in search.nearest(df, rows[0][1], 10).collect()}
-    assert len(exact & {r.vec_id for r in search.ivf_search(df, centres, rows[0][1], 10, probes=5).collect()}) >= 9
+    clusters = search.ivf_fit(df)
+    found = search.ivf_search(df, clusters, df.filter("vec_id % 20 = 0"), 10).collect()
+    assert len(clusters.centres) == 30 and clusters.probes < 30 and len(found) == 150
+    for q in (0, 40, 280):
+        exact = {r.vec_id for r in search.nearest(df.filter(f"vec_id <> {q}"), rows[q][1], 10).collect()}
+        assert len(exact & {r.vec_id for r in found if r.query_id == q}) >= 9
+
+
+def test_ivf_recall_of_the_registered_query(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the tables are not here")
+    v = {r.vec_id: r.embedding for r in registry.t(spark, "/root/testdata/sf0.001", "embeddings").collect()}
+    ids, m = np.array(sorted(v)), np.array([v[i] for i in sorted(v)])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    found = {}
+    for r in registry.ivf_topk(spark, "/root/testdata/sf0.001").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in ids[ids % 20 == 0]:
+        cos = unit @ unit[ids == q][0]
+        cos[ids == q] = -2
+        hits.append(len(found[q] & set(ids[np.argsort(-cos)[:10]])) / 10)
+    assert len(hits) == 25 and np.mean(hits) >= 0.9
+
+
+def test_insert_under_several_keys(spark):
+    rng = random.Random(3)
+    table = [(None, "a0", "b0"), (None, "a1", None)]
+    rows = [(i, rng.choice([f"a{rng.randrange(40)}", None]), f"b{rng.randrange(60)}") for i in range(120)]
+    seen, want = {("x", "a0"), ("y", "b0"), ("x", "a1")}, {}
+    for i, x, y in rows:
+        keys = {(n, v) for n, v in (("x", x), ("y", y)) if v}
+        want[i] = "ignored" if keys & seen else "inserted"
+        seen |= keys if want[i] == "inserted" else set()
+    schema = "ord int, x string, y string"
+    got = mutation.insert_absent_any(spark.createDataFrame(table, schema), spark.createDataFrame(rows, schema), [["x"], ["y"]], "ord", lambda d: registry.stored(spark, d))
+    assert {r.ord: r.status for r in got.collect()} == want
+
+
+def test_tree_of_any_depth(spark):
+    nodes = spark.range(45).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    loop = spark.createDataFrame([(100, 101, "x"), (101, 100, "y")], "k long, p long, name string")
+    got = ordering.flatten_tree(spark, nodes.union(loop), "k", "p", "name", lambda d: registry.stored(spark, d)).collect()
+    assert sorted((r.id, r.depth) for r in got) == [(i, i) for i in range(45)]
 
 
 def test_duplicates_are_found_across_labels_and_chunks(spark, monkeypatch):
