@@ -221,6 +221,25 @@ def test_pipeline_against_its_parts(spark):
     assert len(back) == len(mixed) and all(r.decoded == r.text for r in back) and encoded[0].ids
 
 
+STAGE_EDGES = {"quality rules": 3, "line dedup": 8, "near dedup": 6, "encoding": 8}
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_edges(spark, name, stage):
+    long = " ".join(f"w{i}" for i in range(60))
+    data = [(1, long, "en", "a", 9), (1, long, "en", "a", 9), (1, long + " more", None, None, None), (2, None, None, None, None), (3, "", "en", "b", 0), (4, "short", "en", "b", 5), (None, None, None, "a", None), (None, "other words", "en", None, None)]
+    docs = spark.createDataFrame(data, DOCS).withColumn("id", F.lit("clash")).withColumn("_place", F.lit(1)).withColumn("many", F.lit(None).cast("int"))
+    out = stage(spark, docs, "").collect()
+    if name == "mixing":
+        assert all(sum(r[:-3] == d for r in out) <= 3 * data.count(d) for d in data) and len(out) >= 3
+    else:
+        assert len(out) == STAGE_EDGES[name]
+    if name != "encoding":
+        assert stage(spark, docs, "").columns == docs.columns
+    assert all(r.id == "clash" and r["_place"] == 1 and r.many is None for r in out)
+    assert stage(spark, docs.filter("false"), "").count() == 0
+
+
 def test_intermediate_folder_is_the_shared_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert minhash.COORDINATES - minhash.MATCHES + minhash.SHARED <= minhash.COORDINATES
