@@ -53,7 +53,7 @@ def bm25(docs: DataFrame, query: Sequence[str], k: int, id_col: str = "doc_id",
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
         part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
         score = score + list(query).count(t) * part
-    return scored.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return scored.select(id_col, F.round(score, 9).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, group: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -103,7 +103,7 @@ _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 f AS (SELECT doc_id, len(w) AS l, q.t, q.m, len([x for x in w if x = q.t]) AS f FROM w, (VALUES ('the', 2), ('of', 1), ('trash', 1)) q(t, m)),
 i AS (SELECT t, count(*) FILTER (WHERE f > 0) AS nt FROM f GROUP BY t),
 p AS (SELECT doc_id, f.t, m * CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nt + 0.5) / (nt + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a)) AS x FROM f JOIN i USING (t), s WHERE f > 0)
-SELECT doc_id, round(sum(x), 6) AS score FROM p GROUP BY doc_id ORDER BY sum(x) DESC, doc_id LIMIT 20""")
+SELECT doc_id, round(sum(x), 6) AS score FROM p GROUP BY doc_id ORDER BY round(sum(x), 9) DESC, doc_id LIMIT 20""")
 def bm25_topk(spark, d):
     """BM25 of a bag of words."""
     return search.bm25(t(spark, d, "documents"), ["the", "of", "trash", "the"], 20, stored=lambda x: stored(spark, x)).select("doc_id", r("score", 6).alias("score"))
@@ -116,18 +116,26 @@ def index_tokens(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(k).cast("long").alias("n"), F.array_join(F.slice(k, 1, 5), " ").alias("head"))
 
 
-_LEGS = """WITH v AS (SELECT vec_id AS id, label AS item_id, list_inner_product(e, q) / sqrt(list_inner_product(e, e)) / sqrt(list_inner_product(q, q)) AS similarity
+_BM25 = f"""w AS (SELECT doc_id, {_TOK} AS w FROM documents SEMI JOIN (SELECT vec_id AS doc_id FROM embeddings) USING (doc_id)), s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
+f AS (SELECT doc_id, len(w) AS l, q.t, q.m, len([x for x in w if x = q.t]) AS f FROM w, (VALUES ('the', 2), ('of', 1), ('trash', 1)) q(t, m)),
+i AS (SELECT t, count(*) FILTER (WHERE f > 0) AS nt FROM f GROUP BY t),
+p AS (SELECT doc_id, f.t, m * CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nt + 0.5) / (nt + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a)) AS x FROM f JOIN i USING (t), s WHERE f > 0),
+bm AS (SELECT doc_id, round(sum(x), 9) AS bm FROM p GROUP BY doc_id)"""
+_LEGS = f"""WITH {_BM25}, v AS (SELECT vec_id AS id, label AS item_id, list_inner_product(e, q) / sqrt(list_inner_product(e, e)) / sqrt(list_inner_product(q, q)) AS similarity
   FROM (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings), (SELECT [x::DOUBLE for x in embedding] AS q FROM embeddings WHERE vec_id = 0)),
 vr AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM v QUALIFY rank <= 50),
-tr AS (SELECT doc_id AS id, label AS item_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN embeddings ON vec_id = doc_id QUALIFY rank <= 50)"""
+tr AS (SELECT doc_id AS id, label AS item_id, row_number() OVER (ORDER BY bm DESC, doc_id) AS rank FROM bm JOIN embeddings ON vec_id = doc_id QUALIFY rank <= 50)"""
+ASKED = ["the", "of", "trash", "the"]
 
 
 def _legs(spark, d):
+    """A vector leg and a BM25 leg over the same chunks: documents that have a vector, their label as item."""
     e = t(spark, d, "embeddings")
     near = search.nearest(e, _first_vector(spark, d), 50)
     vec = search.ranked(near, [F.desc("similarity"), F.col("vec_id")], 50).join(e.select("vec_id", "label"), "vec_id")
-    docs = t(spark, d, "documents").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
-    text = search.ranked(docs.select("doc_id", "label", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 50)
+    own = e.select(F.col("vec_id").alias("doc_id"), "label")
+    hits = search.bm25(t(spark, d, "documents").join(own.select("doc_id"), "doc_id", "left_semi"), ASKED, 50, stored=lambda x: stored(spark, x))
+    text = search.ranked(hits, [F.desc("score"), F.col("doc_id")], 50).join(own, "doc_id")
     return vec.select(F.col("vec_id").alias("id"), F.col("label").alias("item_id"), "rank", "similarity"), text.select(F.col("doc_id").alias("id"), F.col("label").alias("item_id"), "rank")
 
 
@@ -141,8 +149,8 @@ def rrf_fuse(spark, d):
 
 
 _HYBRID = _LEGS + """, h AS (SELECT id, item_id, rank, similarity FROM vr UNION ALL SELECT id, item_id, rank, NULL FROM tr),
-f AS (SELECT id, item_id, sum(1.0 / (rank + 60)) AS score, max(similarity) AS similarity FROM h GROUP BY ALL HAVING max(similarity) IS NULL OR max(similarity) >= 0.2),
-b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS n FROM f QUALIFY n = 1)"""
+hf AS (SELECT id, item_id, sum(1.0 / (rank + 60)) AS score, max(similarity) AS similarity FROM h GROUP BY ALL HAVING max(similarity) IS NULL OR max(similarity) >= 0.2),
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS n FROM hf QUALIFY n = 1)"""
 
 
 @query(_HYBRID + " SELECT item_id, id, round(score, 8) AS score, round(similarity, 6) AS similarity FROM b ORDER BY b.score DESC, id LIMIT 8")
@@ -151,8 +159,8 @@ def hybrid_fuse(spark, d):
     return fusion.hybrid_items(*_legs(spark, d), 0.2, 8).select("item_id", "id", r("score", 8).alias("score"), r("similarity", 6).alias("similarity"))
 
 
-@query(_HYBRID + """, i AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM (SELECT * FROM b ORDER BY score DESC, id LIMIT 8)),
-u AS (SELECT item_id, 1.0 AS w, rank FROM i UNION ALL SELECT l, 0.5, n FROM (VALUES (3, 1), (99, 2)) x(l, n))
+@query(_HYBRID + """, hi AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM (SELECT * FROM b ORDER BY score DESC, id LIMIT 8)),
+u AS (SELECT item_id, 1.0 AS w, rank FROM hi UNION ALL SELECT l, 0.5, n FROM (VALUES (3, 1), (99, 2)) x(l, n))
 SELECT item_id, round(sum(w / (rank + 60)), 8) AS score FROM u GROUP BY item_id ORDER BY sum(w / (rank + 60)) DESC, item_id LIMIT 5""")
 def host_fuse(spark, d):
     """Item ranks fused again with a plain hit list."""

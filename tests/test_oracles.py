@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from paperloom.plans import flows, registry  # noqa: F401 (flows registers its queries)
+from paperloom.plans import catalog, flows, registry  # noqa: F401 (both register their queries)
 
 from .oracle import connect, same
 
