@@ -9,8 +9,11 @@ piece lengths is taken, and its length is the backpointer.  The model's kind dec
 * BPE: sums of scores do not give the merges' result, so a candidate counts
   only if merging its text together with the piece before it gives back just
   these two pieces.  For merges by rank that holds for exactly one candidate at
-  each position, and the path through them is the merges' result; runs of
-  spaces, whose pieces share one score, follow the left-to-right rule instead.
+  each position, and the path through them is the merges' result.  No maximum
+  over scores is taken here; ``Model.load`` with ``scored`` searches the same
+  pieces for the largest sum instead.  Runs of spaces, whose pieces share one
+  score, and words over ``LONG_WORD`` characters, of which a matrix would hold
+  one, are merged directly, best merge first.
 
 Text is prepared as the model asks for: a space in front, spaces as U+2581,
 nothing else changed.  Characters without a piece become their UTF-8 bytes, or
@@ -42,6 +45,8 @@ BATCH_BYTES = 1 << 20
 SLICE_BYTES = 1 << 22
 #: Words whose ids a worker remembers.
 REMEMBERED = 1 << 19
+#: Characters from which a word is merged by itself.
+LONG_WORD = 192
 #: Cells of one word matrix.
 CELLS = 1 << 17
 #: Ids that are decoded at a time.
@@ -122,8 +127,8 @@ class Model:
         self.tokens, self.begin, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
-    def load(cls, path: str) -> Model:
-        """Read a model file on the driver."""
+    def load(cls, path: str, scored: bool = False) -> Model:
+        """Read a model file on the driver; ``scored`` searches a BPE model's pieces by score sums."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -133,7 +138,7 @@ class Model:
         if spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix or proto.trainer_spec.model_type not in (1, 2):
             raise ValueError("only unigram and BPE models without text normalisation are supported")
         kind = {1: 0, 2: 1, 3: 2, 4: 0, 5: 2, 6: 3}
-        return cls([p.piece for p in proto.pieces], np.array([p.score for p in proto.pieces]), np.array([kind[p.type] for p in proto.pieces]), proto.trainer_spec.model_type == 2)
+        return cls([p.piece for p in proto.pieces], np.array([p.score for p in proto.pieces]), np.array([kind[p.type] for p in proto.pieces]), proto.trainer_spec.model_type == 2 and not scored)
 
     # ---- the merges of short texts, for pairs of pieces and runs of spaces
 
@@ -222,6 +227,11 @@ class Model:
         size = np.array([len(w) for w in words], np.int64)
         room = np.where(size > 16, -(-size // 16) * 16, size)
         flat, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if self.is_bpe:
+            for i in np.flatnonzero(size > LONG_WORD):
+                flat.append(self._merged_ids(words[i]))
+                owner.append(np.full(len(flat[-1]), i))
+            size = np.where(size > LONG_WORD, 0, size)
         for n in np.unique(room[size > 0]).tolist():
             same = np.flatnonzero(room == n)
             same = same[np.argsort(-size[same], kind="stable")]
@@ -281,6 +291,10 @@ class Model:
                 row, out = row[np.append(True, ~again)], out[np.append(True, ~again)]
         return out, row
 
+    def _merged_ids(self, word: str) -> np.ndarray:
+        parts = self.merged(word)
+        return np.concatenate([np.array([self.id_of[p]]) if p in self.id_of else self._spelled(p) for p in parts])
+
     def _spelled(self, char: str) -> np.ndarray:
         if self.byte_ids is None:
             return np.array([self.unknown])

@@ -234,6 +234,36 @@ def test_bpe_equals_the_public_decoder(bpe):
     assert bpe.decode(bpe.encode(pa.array(texts))).to_pylist() == [t.replace("▁", " ") for t in texts]
 
 
+def test_long_words_equal_the_public_decoder(bpe):
+    import time
+
+    import sentencepiece as spm
+
+    rng = random.Random(9)
+    own = spm.SentencePieceProcessor(model_file=TOKENIZER)
+    words = ["".join(rng.choice(kind) for _ in range(n)) for kind in ("abcdefghij", "aA0+/", "the ing".replace(" ", ""), "é漢z", "=") for n in (191, 192, 193, 400, 3000)]
+    assert bpe.encode(pa.array(words + [f"a {w} b" for w in words])).to_pylist() == own.encode(words + [f"a {w} b" for w in words])
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000))
+    began = time.perf_counter()
+    bpe.encode(pa.array([base64]))
+    assert time.perf_counter() - began < 2
+
+
+def test_scored_search_takes_the_largest_sum():
+    own = sentencepiece.Model.load(TOKENIZER, scored=True)
+    rng = random.Random(10)
+    lost = float(own.scores[own.kinds == 0].min()) - 10.0
+    for _ in range(40):
+        word = "\u2581" + "".join(rng.choice("theinganorsd") for _ in range(rng.randrange(1, 14)))
+        best = [0.0] + [-np.inf] * len(word)
+        for j in range(1, len(word) + 1):
+            for i in range(j):
+                value = own.rank.get(word[i:j], lost if j == i + 1 else -np.inf)
+                best[j] = max(best[j], best[i] + value)
+        ids = own.encode(pa.array([word[1:]])).to_pylist()[0]
+        assert "".join(own.pieces[i] for i in ids) == word and abs(sum(own.scores[i] for i in ids) - best[-1]) < 1e-2
+
+
 @pytest.mark.parametrize("byte_pieces", [True, False])
 def test_unigram_equals_the_public_decoder(tmp_path, byte_pieces):
     import sentencepiece as spm
