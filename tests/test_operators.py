@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -222,3 +223,44 @@ def test_whole_texts_are_keys(spark, tmp_path):
     assert sorted((r.ord, r.n_merged, r.sources) for r in run("dedup_sources_whole")) == [(1, 1, "s1"), (2, 1, "s2"), (3, 2, "s3,s4"), (5, 1, "s5")]
     assert sorted((r.ord, r.sources) for r in run("dedup_first_whole")) == [(1, "s1"), (2, "s2"), (3, "s3,s4")]
     assert sorted((r.n, r.queries) for r in run("query_tokens_whole")) == [(0, 1), (1, 2), (2, 2)]
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_packing_against_a_plain_fold(spark):
+    rows = sorted((r.source, r.doc_id, r.n_chars) for r in registry.t(spark, DATA, "documents").collect())
+    want, now = {}, {}
+    for source, doc, n in rows:
+        batch, used = now.get(source, (0, 0))
+        if source in now and used + n > 20_000:
+            batch, used = batch + 1, 0
+        now[source], want[doc] = (batch, used + n), batch
+    assert {r.doc_id: r.batch for r in registry.pack_batches(spark, DATA).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_chunks_of_the_whole_table(spark):
+    texts = {r.doc_id: r.text for r in registry.t(spark, DATA, "documents").collect()}
+    by = {}
+    for r in registry.chunk_documents(spark, DATA).collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert set(by) == {i for i, t in texts.items() if (t or "").strip()}
+    for i, chunks in by.items():
+        chunks.sort(key=lambda r: r.chunk_index)
+        assert [r.chunk_index for r in chunks] == list(range(len(chunks)))
+        held = bytearray(len(texts[i]))
+        for k, r in enumerate(chunks):
+            assert r.chunk_text == texts[i][r.start : r.end] and r.end - r.start <= (1500 if r.category == "fallback" else 2000)
+            held[r.start : r.end] = b"x" * (r.end - r.start)
+            if k and r.category == "fallback":  # chunks begin 200 characters before the last one's end, which is a sentence's where there is one
+                last = chunks[k - 1]
+                assert r.start == max(last.end - 200, last.start + 1)
+                tail = texts[i][last.start + 750 : last.start + 1500]
+                sentence = r"(?:[.!?\u3002\uff01\uff1f]\s|\n)"
+                ends = bool(re.search(sentence + "$", texts[i][last.start : last.end]))
+                assert ends or (last.end - last.start == 1500 and not re.search(sentence, tail))
+        lost = [c for c, h in zip(texts[i], held) if not h and c.strip()]
+        if chunks[0].category == "fallback":
+            assert not lost
