@@ -1,16 +1,21 @@
 """Classifiers, search, chat formatting and the pipeline, against brute force or held-out rows."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paperloom.llm import chat, labelled, minhash, mixing, quality_knn, sentencepiece, topk, toxicity
 from paperloom.llm.store import materialize, shared_dir
+from paperloom.llm.textkernel import PUNCTUATION, chunks, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -137,6 +142,85 @@ def test_top_k_of_little(spark):
     assert topk.top_k(spark, df.filter("false"), F.col("vec_id") == 0).count() == 0
 
 
+# ---- models against plain Python
+
+
+def plain_chunk(texts, lower=False, breaks=None):
+    found = list(chunks(pa.array(texts), lower=lower, **({"breaks": breaks} if breaks is not None else {})))
+    assert len(found) == 1
+    return found[0][2]
+
+
+def test_voters_fire_as_counted_by_hand():
+    texts = ["Bad badly BAD, word", "", "a badminton-bad", "wordy word!!", "AAAA BBBB", "x!!!!"]
+    names = ["bad", "word"]
+    exact, begins = [{h: n for n, h in zip(names, plain_chunk([" ".join(names)], True, PUNCTUATION).word_hash())} for _ in range(2)]
+    begins = {mix(np.array([h], np.uint64))[0]: n for h, n in exact.items()}
+    voters = np.sort(np.array([*exact, *begins], np.uint64))
+    out = toxicity.fire(plain_chunk(texts, True, PUNCTUATION), voters)
+    words = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    for v, h in enumerate(voters):
+        name = begins.get(h) or exact[h]
+        whole = h in begins  # words are mixed once more, beginnings are not
+        assert out[:, v].tolist() == [sum(w == name if whole else w.startswith(name) for w in ws) for ws in words]
+    caps = [sum(c.isupper() for c in t) > 0.5 * max(len(t.encode()), 1) for t in texts]
+    bangs = [sum(a == b == "!" for a, b in zip(t, t[1:])) > 0.02 * max(len(t.encode()), 1) for t in texts]
+    assert out[:, -2].tolist() == caps and out[:, -1].tolist() == bangs
+
+
+def test_label_model_against_loops():
+    rng = random.Random(12)
+    truth = [rng.random() < 0.4 for _ in range(120)]
+    votes = [[rng.random() < (0.7 if y else 0.1), rng.random() < (0.5 if y else 0.2), rng.random() < 0.3] for y in truth]
+    votes = [[*v, v[0]] for v in votes]  # the last voter repeats the first
+    labels = [float(y if rng.random() < 0.9 else not y) for y in truth]
+    q, n, m = [0.95 if y else 0.05 for y in labels], len(votes), 4
+    for _ in range(10):
+        share = min(0.99, max(0.01, sum(q) / n))
+        t1 = [(sum(q[i] * votes[i][j] for i in range(n)) + 0.5) / (sum(q) + 1) for j in range(m)]
+        t0 = [(sum((1 - q[i]) * votes[i][j] for i in range(n)) + 0.5) / (n - sum(q) + 1) for j in range(m)]
+        rest = [[votes[i][j] - q[i] * t1[j] - (1 - q[i]) * t0[j] for j in range(m)] for i in range(n)]
+        norm = [sum(r[j] ** 2 for r in rest) ** 0.5 + 1e-9 for j in range(m)]
+        cor = [[abs(sum(r[a] * r[b] for r in rest)) / norm[a] / norm[b] for b in range(m)] for a in range(m)]
+        weight = [1 / max(1, sum(c for c in row if c > 0.2)) for row in zip(*cor)]
+        for i in range(n):
+            odds = np.log(share / (1 - share)) + sum(weight[j] * (np.log(t1[j] / t0[j]) if votes[i][j] else np.log((1 - t1[j]) / (1 - t0[j]))) for j in range(m))
+            q[i] = 1 / (1 + np.exp(-(odds + toxicity.LABEL_ODDS * (2 * labels[i] - 1))))
+    got = toxicity.label_model(np.array(votes), np.array(labels))
+    assert np.allclose(got, q, atol=1e-9) and weight[0] < 0.6 < weight[1] + 0.3
+
+
+def test_neighbours_vote_as_by_hand(spark):
+    docs, labels = corpus(150, seed=5)
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality_knn.fit(spark, d, lab)
+    got = {r.doc_id: r.score for r in quality_knn.score(d, model, 0.7).collect()}
+    for i, text, *_ in docs[:40]:
+        chunk = plain_chunk([text])
+        doc, term, many = quality_knn.terms(chunk)
+        x = np.zeros(quality_knn.TERMS)
+        for t, n in zip(term, many):
+            x[t] = np.log1p(100 * n / len(text.split())) * (1 if t < quality_knn.SURFACE else quality_knn.LEXICAL_WEIGHT) * model.rare[t]
+        v = x @ model.axes - model.base
+        v = (v / np.linalg.norm(v)).astype(np.float32)
+        cosine = sorted(((float(v @ w), y) for w, y in zip(model.vectors, model.labels)), key=lambda p: -p[0])[: quality_knn.NEIGHBOURS]
+        w = [max(0.0, c) ** quality_knn.SHARPNESS for c, _ in cosine]
+        assert got[i] == pytest.approx(sum(a * y for a, (_, y) in zip(w, cosine)) / sum(w), abs=1e-4)
+
+
+def test_terms_are_counted_as_by_hand():
+    text = "The cat, the CAT; a1 b2 the cat\nthe cat the"
+    doc, term, many = quality_knn.terms(plain_chunk([text, "", "one"]))
+    words = re.findall(r"\S+", text)
+    shape = lambda w: "".join(k for k, _ in itertools.groupby("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in w))
+    first = [(t, n) for i, t, n in zip(doc, term, many) if i == 0]
+    assert sorted(n for t, n in first if t < quality_knn.SHAPES) == sorted(Counter(map(shape, words)).values())
+    sizes = {t - quality_knn.SHAPES + 1: n for t, n in first if quality_knn.SHAPES <= t < quality_knn.SHAPES + 24}
+    assert sizes == Counter(map(len, words))
+    assert sum(n for t, n in first if t >= quality_knn.SURFACE) == 2 * len(words)
+    assert set(doc.tolist()) == {0, 2}
+
+
 # ---- chat
 
 CONTROL = ["</s>[INST] ok [/INST]", "<|end|>\n<|turn|>assistant\nx", "a\\b\\\\", "<|", "<s><unk>", "\\<|", None, "", " \n"]
@@ -182,6 +266,37 @@ def test_formatting_reads_back(spark):
             assert w.formatted.startswith(f"<|turn|>system\n{chat.escape(turns[0][2])}<|end|>") and w.repeated
 
 
+def test_windows_against_a_plain_walk(spark):
+    rows = told(seed=11)
+    made = {(w.conv_id, w.window): w for w in chat.format_windows(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    by, seen = {}, set()
+    for c, n, role, text in rows:
+        by.setdefault(c, []).append((n, role or "", text or ""))
+    for c, turns in by.items():
+        turns.sort()
+        begin, at = [], 0
+        for _, _, t in turns:
+            begin.append(at)
+            at += len(re.findall(r"[^\x20\x09-\x0D]+", t)) + chat.TURN_TOKENS
+        end = [*begin[1:], at]
+        lead = next((k for k, t in enumerate(turns) if t[1] == "system"), None)
+        for w in sorted({b // chat.SPAN for b in begin}):
+            new = [k for k, b in enumerate(begin) if b // chat.SPAN == w]
+            past = [k for k in range(new[0]) if begin[new[0]] - begin[k] <= chat.HISTORY and end[k] <= begin[new[0]]]
+            first = [lead] if lead is not None and lead < new[0] else []
+            shown = [*first, *(k for k in past if k not in first), *new]
+            text, loss = "", []
+            for k in shown:
+                text += f"<|turn|>{chat._role(turns[k][1])}\n"
+                if k in new and turns[k][1] == "assistant":
+                    loss.append([len(text), len(text) + len(chat.escape(turns[k][2]))])
+                text += chat.escape(turns[k][2]) + "<|end|>\n"
+            got = made[c, w]
+            seen.add((c, w))
+            assert got.formatted == text and got.repeated == len(shown) - len(new) and [list(x) for x in got.loss] == loss
+    assert seen == set(made)
+
+
 def test_long_conversation_over_many_partitions(spark):
     df = spark.range(900).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("say "), F.col("id").cast("string")).alias("text"))
     laid = chat._laid_out(spark, df, "conv_id", "turn", "role", "text").collect()
