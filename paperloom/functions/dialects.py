@@ -1,9 +1,12 @@
-"""Query texts for single sources, and small sets of queries.  Driver-side strings."""
+"""Query texts for single sources: driver-side strings, and columns of one query for several engines."""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 _CJK = re.compile(r"[一-鿿]")
 # ---- fixed values: how each variant of a query term reads
 VARIANTS = ("systematic review", "latest advances", "methodology comparison")
@@ -94,3 +97,28 @@ def distinct_queries(queries: list[str], least: float = 0.5) -> list[str]:
             left = [o for o in left if o not in near]
         out.append(max(enumerate(sorted(cluster, key=unique.index)), key=lambda p: (*_worth(p[1]), p[0]))[1])
     return out
+
+
+# ---- the same query for several engines, as columns
+
+
+def adapted(queries: DataFrame, headings: DataFrame, stop_words: list[str], noise: list[str], query: str = "query", id_col: str = "id") -> DataFrame:
+    """``queries`` with openalex, arxiv, pubmed and europe_pmc texts made from their keywords.
+
+    headings has term (lower case) and names (a list): the subject headings that
+    stand for a keyword.  Keywords are Latin words of three letters or more that
+    are no stop words; arXiv also leaves out ``noise``.  A query without keywords
+    stays as it is.  Null queries give nulls; ids are unique.
+    """
+    low = lambda words: F.array(*map(F.lit, words)).cast("array<string>")
+    without = lambda words, out: F.filter(words, lambda w: ~F.array_contains(low(out), F.lower(w)))
+    rows = queries.withColumn("_words", without(F.regexp_extract_all(query, F.lit(r"([a-zA-Z][a-zA-Z0-9-]{2,})"), F.lit(1)), stop_words))
+    asked = rows.select(F.col(id_col).alias("_q"), F.posexplode(F.slice("_words", 1, 6)).alias("_pos", "_word"))
+    named = headings.select(F.col("term").alias("_term"), F.array_join(F.transform("names", lambda n: F.concat(F.lit('"'), n, F.lit('"[MeSH Terms]'))), " OR ").alias("_mesh"))
+    met = asked.join(named, F.lower("_word") == F.col("_term"), "left")
+    quoted = lambda where: F.concat(F.lit('"'), F.col("_word"), F.lit(f'"[{where}]'))
+    with_heading = F.concat(F.lit("("), F.col("_mesh"), F.lit(") AND "), quoted("Title/Abstract"))
+    terms = met.groupBy("_q").agg(*(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce(with_heading, quoted(where)).alias("t")))), lambda s: s["t"]), " AND ").alias(name) for name, where in (("pubmed", "All Fields"), ("europe_pmc", "Title/Abstract"))))
+    text = lambda words, most: F.coalesce(F.nullif(F.array_join(F.slice(words, 1, most), " "), F.lit("")), F.col(query))
+    out = rows.withColumn("openalex", text(F.col("_words"), 8)).withColumn("arxiv", text(without(F.col("_words"), noise), 5)).join(terms, F.col(id_col) == F.col("_q"), "left")
+    return out.withColumns({c: F.coalesce(c, query) for c in ("pubmed", "europe_pmc")}).drop("_q", "_words")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dialects
 from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
-from ..operators import fusion, joins, library, mutation, ordering, search, usage
+from ..operators import fusion, index, joins, library, mutation, ordering, search, usage
 from . import domains
 from .registry import _BM25, _COS, _VEC, ASKED, QUERIES, query, r, stored, t
 
@@ -440,4 +441,34 @@ def recent_searches(spark, d):
     return e.groupBy("user_id").agg(F.max("ts").alias("last_at"), F.count("*").alias("n")).orderBy(F.desc("last_at"), "user_id").limit(20)
 
 
+@query("""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || left(md5(w), 8))::BIGINT AS h FROM k),
+b AS (SELECT doc_id, (h % 16)::INTEGER AS b, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END)::DOUBLE AS x FROM c GROUP BY ALL), a AS (SELECT doc_id, i::INTEGER AS dim FROM documents, generate_series(0, 15) g(i))
+SELECT a.doc_id, a.dim, coalesce(x, 0) AS x FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.dim = b.b""")
+def hashed_embeddings(spark, d):
+    """Vectors of a provider that needs no model."""
+    texts = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return index.Hashing(dims=16).embed(texts).select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("dim", "x"))
+
+
+@query(f"""WITH v AS ({_VEC}), n AS (SELECT vec_id, v FROM v WHERE vec_id % 3 > 0 AND vec_id % 7 > 0 UNION ALL SELECT vec_id, (SELECT v FROM v WHERE vec_id = 0) FROM v WHERE vec_id % 7 = 0 AND vec_id BETWEEN 7 AND 30)
+SELECT vec_id AS id, round({_COS}, 6) AS similarity FROM n, (SELECT v AS q FROM v WHERE vec_id = 0) ORDER BY {_COS} DESC, vec_id LIMIT 10""")
+def index_changes(spark, d):
+    """An index after removals and additions."""
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    q = e.filter("id = 0").first()["embedding"]
+    new = e.filter("id % 7 = 0 and id between 7 and 30").withColumn("embedding", F.array(*map(F.lit, q)))
+    now = index.Index(e).remove(e.filter("id % 3 = 0 or id % 7 = 0").select("id")).add(new).add(new)
+    return now.search(q, 10).select("id", r("similarity", 6).alias("similarity"))
+
+
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'PCR cancer' WHEN 1 THEN 'study' ELSE '图 学习' END AS openalex, CASE s_suppkey % 3 WHEN 0 THEN 'cancer' WHEN 1 THEN 'the study of' ELSE '图 学习' END AS arxiv,
+CASE s_suppkey % 3 WHEN 0 THEN '("Polymerase Chain Reaction"[MeSH Terms]) AND "PCR"[Title/Abstract] AND ("Neoplasms"[MeSH Terms] OR "Cancer"[MeSH Terms]) AND "cancer"[Title/Abstract]' WHEN 1 THEN '"study"[All Fields]' ELSE '图 学习' END AS pubmed FROM supplier""")
+def adapted_queries(spark, d):
+    """X11: one query in the form that each engine takes, with subject headings."""
+    s = F.col("s_suppkey")
+    asked = t(spark, d, "supplier").select(s.alias("id"), F.when(s % 3 == 0, "the PCR of cancer").when(s % 3 == 1, "the study of").otherwise("图 学习").alias("query"))
+    mesh = spark.createDataFrame([("pcr", ["Polymerase Chain Reaction"]), ("cancer", ["Neoplasms", "Cancer"])], "term string, names array<string>")
+    return dialects.adapted(asked, mesh, ["the", "and"], ["pcr", "study"]).select("id", "openalex", "arxiv", "pubmed")
+
+
 NAMES = [n for n in QUERIES if n not in _before]

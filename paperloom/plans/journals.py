@@ -18,7 +18,7 @@ def cards(asked: DataFrame, metrics: DataFrame, partitions: DataFrame, profiles:
     """
 
     def probe(df: DataFrame, issn: str, name: str, out: str, dim: DataFrame) -> DataFrame:
-        d = dim.withColumn("_o", F.monotonically_increasing_id())
+        d = dim.withColumn("_o", F.struct(*dim.columns))  # of a key's rows the greatest, whatever the order they come in
         return joins.cascade(df, [(N.issn(issn), d, [N.issn("issn"), N.issn("eissn")], "_o"), (N.journal_name(name), d, [N.journal_name("journal_name")], "_o")], out)
 
     df = probe(probe(asked, "issn", "name", "m1", metrics), "issn", "name", "p1", partitions)
