@@ -88,15 +88,16 @@ def blacklist(df: DataFrame, banned: Sequence[str], url: str = "url", journal: s
 def drop_hosts(df: DataFrame, hosts: DataFrame, url: str = "url", host: str = "host") -> DataFrame:
     """Drops rows on an excluded host or below one.
 
-    Every dot-suffix of a row's host is an equality key, so this is one anti
-    join however long the list is.
+    Every dot-suffix of a host is an equality key, so distinct hosts meet the
+    list by an equality join, and rows the hosts that it holds by another;
+    neither side is taken to be small.
     """
-    parts = F.split(N.host(url), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    keyed = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_suffix", suffixes)
-    listed = hosts.select(F.lower(host).alias("_h")).distinct()
-    small = listed.agg(F.collect_set("_h").alias("_all"))  # a user's own list
-    return keyed.crossJoin(F.broadcast(small)).filter(~F.coalesce(F.arrays_overlap("_suffix", "_all"), F.lit(False))).drop("_row", "_suffix", "_all")
+    own = df.select(N.host(url).alias("_h")).filter("_h is not null").distinct()
+    parts = F.split("_h", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    listed = hosts.select(F.lower(host).alias("_s")).distinct()
+    out = own.select("_h", F.explode(suffixes).alias("_s")).join(listed, "_s", "left_semi").select("_h").distinct()
+    return df.join(out, N.host(url) == F.col("_h"), "left_anti")
 
 
 def fresh(df: DataFrame, as_of: Column, days: int, at: str = "cached_at") -> DataFrame:

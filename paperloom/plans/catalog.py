@@ -9,6 +9,7 @@ from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
 from ..operators import fusion, index, joins, library, mutation, ordering, search, usage
+from ..sources import recorded
 from . import domains
 from .registry import _BM25, _COS, _VEC, ASKED, QUERIES, query, r, stored, t
 
@@ -337,6 +338,23 @@ def _payloads(spark, d, source, fields):
 _S = F.col
 
 
+@query("""SELECT 3 * s_suppkey + CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'openalex' WHEN 1 THEN 'crossref' ELSE 'serper' END AS source, s_name AS title, CASE WHEN s_suppkey % 3 < 2 THEN 'A; B' END AS authors,
+CASE WHEN s_suppkey % 3 = 2 THEN '2009' ELSE '2020' END AS year, CASE WHEN s_suppkey % 3 = 2 THEN 'web:http://x/' || s_suppkey ELSE '10.1/' || s_suppkey END AS dedup_key, CASE WHEN s_suppkey % 3 < 2 THEN s_suppkey::VARCHAR END AS citations FROM supplier""")
+def service_payloads(spark, d):
+    """Rows of three services' own payloads under one schema."""
+    s = _S("s_suppkey")
+    doi = F.concat(F.lit("10.1/"), s)
+    who = F.array(F.lit("A"), F.lit("B"))
+    openalex = F.struct(F.concat(F.lit("https://openalex.org/W"), s).alias("id"), F.col("s_name").alias("display_name"), F.transform(who, lambda x: F.struct(F.struct(x.alias("display_name")).alias("author"))).alias("authorships"), F.lit(2020).alias("publication_year"), F.concat(F.lit("https://doi.org/"), doi).alias("doi"), s.alias("cited_by_count"))
+    crossref = F.struct(doi.alias("DOI"), F.array("s_name").alias("title"), F.transform(who, lambda x: F.struct(x.alias("family"))).alias("author"), F.struct(F.array(F.array(F.lit(2020), F.lit(5))).alias("date-parts")).alias("issued"), s.alias("is-referenced-by-count"))
+    serper = F.struct(F.concat(F.lit("http://x/"), s).alias("link"), F.col("s_name").alias("title"), F.lit("Jan 2009").alias("date"))
+    used = {"openalex": openalex, "crossref": crossref, "serper": serper}
+    parts = [_payloads(spark, d, name, fields).filter(f"ord % 3 = {k}") for k, (name, fields) in enumerate(used.items())]
+    rows = recorded.result_rows(parts[0].unionByName(parts[1]).unionByName(parts[2]), list(used))
+    rank = F.when(F.col("source") == "openalex", 0).when(F.col("source") == "crossref", 1).otherwise(2)
+    return rows.select((3 * F.col("ord") + rank).alias("ord"), "source", "title", "authors", "year", "dedup_key", F.try_element_at("metrics", F.lit("citations")).alias("citations"))
+
+
 @query("""SELECT s_suppkey AS ord, 'figshare:' || s_suppkey AS dedup_key, CASE WHEN s_suppkey % 2 = 0 THEN 'CC BY 4.0' ELSE 'cc-by' END AS license, 'a; b' AS creators FROM supplier WHERE s_suppkey % 4 IN (0, 1)""")
 def domain_license(spark, d):
     """Data sets of one licence, read from the payloads' own fields, as saved."""

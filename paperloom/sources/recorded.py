@@ -35,6 +35,8 @@ def listed(*paths: str, sep: str = "; ") -> Callable[[Column], Column]:
 
     def one(p: Column, path: str) -> Column:
         raw = F.get_json_object(p, f"$.{path}")
+        if "[*]" in path:  # of one match Spark gives the element in its quotes
+            raw = F.when(raw.startswith('"'), F.get_json_object(F.concat(F.lit("["), raw, F.lit("]")), "$[0]")).otherwise(raw)
         return F.when(raw.startswith("["), F.array_join(F.from_json(raw, "array<string>"), sep)).otherwise(raw)
 
     return lambda p: F.coalesce(*(N.missing(one(p, x)) for x in paths))
@@ -75,25 +77,92 @@ class Connector:
         return payloads.select(F.lit(self.source).alias("source"), F.col("ord").cast("long").alias("ord"), sid.alias("source_id"), N.missing(self.title(p)).alias("title"), N.missing(self.authors(p)).alias("authors"), N.missing(self.url(p)).alias("url"), N.missing(self.snippet(p)).alias("snippet"), N.year(self.year(p)).cast("string").alias("year"), doi.alias("doi"), key.alias("dedup_key"), metrics.alias("metrics"))
 
 
-def _biblio(source: str, **more) -> Connector:
-    return Connector(source, "literature", first_of("id", "doi", "DOI", "pmid"), at("title"), metrics={"citations": first_of("citations", "cited_by_count", "citationCount", "is-referenced-by-count")}, **more)
-
-
-#: What the items of a domain say beside title and year, by the field names that its services use.
+def _shaped(**paths: str) -> dict[str, Callable[[Column], Column]]:
+    """Result columns read from a service's own payload: a column's paths stand in order, parted by spaces."""
+    lists = {"authors"}
+    return {name: (listed if name in lists else first_of)(*where.split()) for name, where in paths.items()}
+
+
+# ---- fixed values: where the services' public payloads hold each column; lists are joined
+SHAPES: dict[str, dict[str, Callable[[Column], Column]]] = {
+    "openalex": _shaped(source_id="id", title="title display_name", authors="authorships[*].author.display_name", url="primary_location.landing_page_url id", snippet="abstract", year="publication_year", doi="doi"),
+    "crossref": _shaped(source_id="DOI", title="title[0]", authors="author[*].family", url="URL", snippet="abstract", year="issued.date-parts[0][0] created.date-time", doi="DOI"),
+    "pubmed": _shaped(source_id="uid", title="title", authors="authors[*].name", url="url", snippet="abstract", year="pubdate", doi="doi elocationid"),
+    "europe-pmc": _shaped(source_id="id", title="title", authors="authorString", url="fullTextUrlList.fullTextUrl[0].url", snippet="abstractText", year="pubYear", doi="doi"),
+    "semantic-scholar": _shaped(source_id="paperId", title="title", authors="authors[*].name", url="url", snippet="abstract tldr.text", year="year publicationDate", doi="externalIds.DOI"),
+    "core": _shaped(source_id="id", title="title", authors="authors[*].name", url="downloadUrl", snippet="abstract", year="yearPublished", doi="doi"),
+    "doaj": _shaped(source_id="id", title="bibjson.title", authors="bibjson.author[*].name", url="bibjson.link[0].url", snippet="bibjson.abstract", year="bibjson.year", doi="bibjson.identifier[0].id"),
+    "hal": _shaped(source_id="docid", title="title_s[0]", authors="authFullName_s", url="uri_s", snippet="abstract_s[0]", year="producedDateY_i", doi="doiId_s"),
+    "biorxiv": _shaped(source_id="doi", title="title", authors="authors", url="url", snippet="abstract", year="date", doi="doi"),
+    "medrxiv": _shaped(source_id="doi", title="title", authors="authors", url="url", snippet="abstract", year="date", doi="doi"),
+    "github": _shaped(source_id="full_name", title="full_name", authors="owner.login", url="html_url", snippet="description", year="created_at", doi="doi"),
+    "dimensions": _shaped(source_id="id", title="title", authors="authors[*].last_name", url="linkout", snippet="abstract", year="year", doi="doi"),
+    "zenodo": _shaped(source_id="id", title="metadata.title title", authors="metadata.creators[*].name creators", url="links.html links.self_html", snippet="metadata.description", year="metadata.publication_date year", doi="doi metadata.doi"),
+    "figshare": _shaped(source_id="id", title="title", authors="authors[*].full_name creators", url="url_public_html", snippet="description", year="published_date year", doi="doi"),
+    "dryad": _shaped(source_id="id identifier", title="title", authors="authors[*].lastName creators", url="sharingLink", snippet="abstract", year="publicationDate year", doi="doi identifier"),
+    "dataverse": _shaped(source_id="global_id id", title="name title", authors="authors", url="url", snippet="description", year="published_at year", doi="doi global_id"),
+    "datacite-search": _shaped(source_id="id", title="attributes.titles[0].title", authors="attributes.creators[*].name", url="attributes.url", snippet="attributes.descriptions[0].description", year="attributes.publicationYear", doi="attributes.doi"),
+    "osf": _shaped(source_id="id", title="attributes.title title", authors="creators", url="links.html", snippet="attributes.description", year="attributes.date_created year", doi="doi"),
+    "huggingface": _shaped(source_id="id", title="id", authors="author", url="url", snippet="description", year="lastModified", doi="doi"),
+    "kaggle": _shaped(source_id="ref", title="title", authors="ownerName", url="url", snippet="subtitle", year="lastUpdated", doi="doi"),
+    "openml": _shaped(source_id="did id", title="name", authors="creator", url="url", snippet="description", year="upload_date", doi="doi"),
+    "gbif": _shaped(source_id="key", title="title", authors="publishingOrganizationTitle", url="homepage", snippet="description", year="pubDate created", doi="doi"),
+    "geo": _shaped(source_id="accession", title="title", authors="contributor", url="url", snippet="summary", year="pdat", doi="doi"),
+    "pubchem": _shaped(source_id="CID id", title="Title title", authors="authors", url="url", snippet="IUPACName", year="year", doi="doi"),
+    "nih": _shaped(source_id="appl_id project_num id", title="project_title title", authors="contact_pi_name", url="project_detail_url", snippet="abstract_text", year="fiscal_year", doi="doi"),
+    "nsf": _shaped(source_id="id", title="title", authors="pdPIName", url="url", snippet="abstractText", year="startDate date", doi="doi"),
+    "cordis": _shaped(source_id="id rcn", title="title", authors="coordinator", url="url", snippet="objective teaser", year="startDate", doi="grantDoi"),
+    "clinicaltrials": _shaped(source_id="protocolSection.identificationModule.nctId id", title="protocolSection.identificationModule.briefTitle title", authors="protocolSection.sponsorCollaboratorsModule.leadSponsor.name", url="url", snippet="protocolSection.descriptionModule.briefSummary", year="protocolSection.statusModule.startDateStruct.date", doi="doi"),
+    "openalex-author": _shaped(source_id="id", title="display_name", authors="display_name", url="id", snippet="last_known_institutions[0].display_name", year="year", doi="doi"),
+    "openalex-institution": _shaped(source_id="id", title="display_name", authors="display_name", url="homepage_url", snippet="geo.city", year="year", doi="doi"),
+    "orcid": _shaped(source_id="orcid-identifier.path orcid-id", title="credit-name", authors="family-names", url="orcid-identifier.uri", snippet="institution-name[0]", year="year", doi="doi"),
+    "semantic-scholar-author": _shaped(source_id="authorId", title="name", authors="name", url="url", snippet="affiliations[0]", year="year", doi="doi"),
+    "google-patents": _shaped(source_id="publication_number id", title="title", authors="inventor", url="pdf", snippet="snippet", year="publication_date", doi="doi"),
+    "uspto": _shaped(source_id="patent_id patentNumber id", title="patent_title title", authors="inventors[*].inventor_name_last", url="url", snippet="patent_abstract", year="patent_date", doi="doi"),
+    "unpaywall": _shaped(source_id="doi", title="title", authors="z_authors[*].family", url="best_oa_location.url_for_pdf best_oa_location.url", snippet="journal_name", year="year", doi="doi"),
+    "dblp": _shaped(source_id="info.key", title="info.title", authors="info.authors.author[*].text", url="info.ee info.url", snippet="info.venue", year="info.year", doi="info.doi"),
+    "inspire": _shaped(source_id="metadata.control_number id", title="metadata.titles[0].title title", authors="metadata.authors[*].full_name", url="links.self", snippet="metadata.abstracts[0].value", year="metadata.earliest_date", doi="metadata.dois[0].value"),
+    "ads": _shaped(source_id="bibcode", title="title[0]", authors="author", url="url", snippet="abstract", year="year", doi="doi[0]"),
+    "tavily": _shaped(source_id="url", title="title", url="url", snippet="content", year="published_date"),
+    "brave": _shaped(source_id="url", title="title", url="url", snippet="description", year="page_age"),
+    "exa": _shaped(source_id="url", title="title", authors="author", url="url", snippet="text summary", year="publishedDate"),
+    **{s: _shaped(source_id="link", title="title", url="link", snippet="snippet", year="date") for s in ("serper", "serpapi", "google")},
+    "bing": _shaped(source_id="url", title="name", url="url", snippet="snippet", year="dateLastCrawled"),
+    "searxng": _shaped(source_id="url", title="title", url="url", snippet="content", year="publishedDate"),
+    "duckduckgo": _shaped(source_id="FirstURL url", title="Text title", url="FirstURL url", snippet="Text snippet", year="date"),
+    "archive": _shaped(source_id="identifier", title="title", authors="creator", url="url", snippet="description", year="date year"),
+    "wikipedia": _shaped(source_id="pageid url", title="title", url="fullurl url", snippet="extract snippet", year="timestamp"),
+}
+# ---- fixed values: what the items of a domain say beside title and year
 FIELDS: dict[str, dict[str, Callable[[Column], Column]]] = {
-    "dataset": {"license": first_of("license.id", "license.name", "license", "rights", "rightsIdentifier"), "oaType": first_of("oaType", "access_right", "accessRight"), "tags": listed("taskTags", "tags", "keywords", sep=","), "country": first_of("geographicCoverage", "country"), "publisher": first_of("publisher"), "creators": listed("creators", "authors"), "downloads": first_of("downloads", "stats.downloads"), "likes": first_of("likes")},
-    "patent": {"applicants": listed("applicants", "assignees"), "inventors": listed("inventors"), "classes": listed("ipcClasses", "cpc"), "applied": first_of("applicationDate", "filing_date"), "citations": first_of("citationCount", "cited_by"), "familySize": size_of("familyMembers")},
-    "grant": {"status": first_of("status", "project_status"), "amount": first_of("amount", "award_amount", "ecMaxContribution"), "start": first_of("startDate", "project_start_date"), "end": first_of("endDate", "project_end_date"), "funder": first_of("funder", "agency")},
-    "clinicaltrial": {"status": first_of("status", "overallStatus"), "phases": listed("phases", sep="/"), "sponsor": first_of("sponsor", "leadSponsor")},
-    "researcher": {"works": first_of("works_count", "worksCount", "paperCount"), "citations": first_of("cited_by_count", "citationCount"), "hIndex": first_of("summary_stats.h_index", "hIndex"), "institution": first_of("institution.display_name", "institution", "affiliation"), "country": first_of("institution.country_code", "country_code", "country"), "orcid": first_of("orcid")},
+    "literature": {"citations": first_of("cited_by_count", "is-referenced-by-count", "citedByCount", "citationCount", "times_cited", "stargazers_count", "pmcrefcount", "citations"), "openAccess": first_of("open_access.is_oa", "isOpenAccess", "open_access"), "journal": first_of("primary_location.source.display_name", "container-title[0]", "fulljournalname", "journalTitle", "venue", "bibjson.journal.title", "journalTitle_s", "journal.title"), "issn": first_of("primary_location.source.issn_l", "ISSN[0]", "issn", "journalInfo.journal.issn", "bibjson.journal.issns[0]")},
+    "dataset": {"license": first_of("metadata.license.id", "license.id", "license.name", "attributes.rightsList[0].rightsIdentifier", "licenseName", "license", "licence", "rights", "rightsIdentifier"), "oaType": first_of("oaType", "metadata.access_right", "access_right", "accessRight"), "tags": listed("taskTags", "tags", "metadata.keywords", "keywords", sep=","), "country": first_of("geographicCoverage", "country"), "publisher": first_of("attributes.publisher", "publisher"), "creators": listed("creators", "metadata.creators[*].name", "attributes.creators[*].name", "authors[*].full_name", "authors[*].name"), "downloads": first_of("stats.downloads", "downloads", "downloadCount"), "likes": first_of("likes", "voteCount")},
+    "patent": {"applicants": listed("applicants", "assignees[*].assignee_organization", "assignees", "assignee"), "inventors": listed("inventors[*].inventor_name_last", "inventors", "inventor"), "classes": listed("ipcClasses", "cpc"), "applied": first_of("applicationDate", "filing_date"), "citations": first_of("citationCount", "cited_by", "patent_num_times_cited_by_us_patents"), "familySize": size_of("familyMembers")},
+    "grant": {"status": first_of("status", "project_status"), "amount": first_of("award_amount", "fundsObligatedAmt", "ecMaxContribution", "amount"), "start": first_of("startDate", "project_start_date"), "end": first_of("endDate", "project_end_date", "expDate"), "funder": first_of("funder", "agency", "agency_ic_admin.name")},
+    "clinicaltrial": {"status": first_of("protocolSection.statusModule.overallStatus", "status", "overallStatus"), "phases": listed("protocolSection.designModule.phases", "phases", sep="/"), "sponsor": first_of("protocolSection.sponsorCollaboratorsModule.leadSponsor.name", "sponsor", "leadSponsor")},
+    "researcher": {"works": first_of("works_count", "worksCount", "paperCount"), "citations": first_of("cited_by_count", "citationCount"), "hIndex": first_of("summary_stats.h_index", "hIndex"), "institution": first_of("last_known_institutions[0].display_name", "institution.display_name", "affiliations[0]", "institution-name[0]", "institution", "affiliation"), "country": first_of("last_known_institutions[0].country_code", "institution.country_code", "country_code", "country"), "orcid": first_of("orcid", "orcid-identifier.path")},
     "oa-fulltext": {"oaType": first_of("oa_status"), "license": first_of("best_oa_location.license")},
+    "web": {"score": first_of("score", "position")},
 }
 FIELDS |= {d: FIELDS["dataset"] for d in ("bio", "chemistry", "geoscience", "social-science")}
 
 
+def _made(source: str, domain: str, general: dict[str, Callable[[Column], Column]], **more) -> Connector:
+    """A connector by its service's own shape, else by the general one."""
+    return Connector(source, domain, **(general | SHAPES.get(source, {})), metrics=FIELDS.get(domain, {}), **more)
+
+
+def _biblio(source: str, **more) -> Connector:
+    return _made(source, "literature", {"source_id": first_of("id", "doi", "DOI", "pmid"), "title": first_of("title")}, **more)
+
+
 def _data(source: str, key: str = "id", prefix: str = "", **more) -> Connector:
-    domain = more.pop("domain", "dataset")
-    return Connector(source, domain, first_of("id", "code", "accession", "ref", "patentNumber", "name"), first_of("title", "display_name", "name", "label"), key=key, prefix=prefix, metrics=FIELDS.get(domain, {}), **more)
+    general = {"source_id": first_of("id", "code", "accession", "ref", "patentNumber", "name"), "title": first_of("title", "display_name", "name", "label")}
+    return _made(source, more.pop("domain", "dataset"), general, key=key, prefix=prefix, **more)
+
+
+def _web(source: str, **more) -> Connector:
+    return _made(source, "web", {"source_id": first_of("url", "link"), "title": first_of("title")}, key="id", prefix="web", **more)
 
 
 #: Every source by id; names, keys and filters are fixed values of the services.
@@ -136,8 +205,8 @@ CONNECTORS: dict[str, Connector] = {
         _data("orcid", domain="researcher", dialect="normalized"),
         _data("semantic-scholar-author", prefix="s2-author", domain="researcher"),
         _data("oatd", domain="thesis"),
-        *(Connector(s, "web", first_of("url"), at("title"), key="id", prefix="web") for s in ("duckduckgo", "bing-html", "wikipedia", "archive", "searxng")),
-        *(Connector(s, "web", first_of("url"), at("title"), key="id", prefix="web", needs_key=True) for s in ("tavily", "brave", "exa", "serper", "serpapi", "google", "perplexity", "bing")),
+        *(_web(s) for s in ("duckduckgo", "bing-html", "wikipedia", "archive", "searxng")),
+        *(_web(s, needs_key=True) for s in ("tavily", "brave", "exa", "serper", "serpapi", "google", "perplexity", "bing")),
     ]
 }
 

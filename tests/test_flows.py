@@ -104,3 +104,35 @@ def test_review_queries(spark):
     out = literature.review_queries(reviews.filter("ord < 3"), "review")
     assert out == ["protein folding review", "graph networks review", "DeepLearning review"]
     assert literature.review_queries(reviews.limit(0), "review") == []
+
+
+# one item of each service, in the form of its public payloads: (payload, id, title, authors, year, key, a metric)
+PAYLOADS = {
+    "openalex": ({"id": "https://openalex.org/W1", "display_name": "T", "authorships": [{"author": {"display_name": "A"}}, {"author": {"display_name": "B"}}], "publication_year": 2020, "doi": "https://doi.org/10.1/X", "cited_by_count": 7}, "https://openalex.org/W1", "T", "A; B", "2020", "10.1/x", ("citations", "7")),
+    "crossref": ({"DOI": "10.1/X", "title": ["T"], "author": [{"family": "A"}, {"family": "B"}], "issued": {"date-parts": [[2019, 5]]}, "is-referenced-by-count": 3, "container-title": ["J"]}, "10.1/X", "T", "A; B", "2019", "10.1/x", ("journal", "J")),
+    "europe-pmc": ({"id": "1", "title": "T", "authorString": "A, B", "pubYear": "2018", "doi": "10.1/x", "citedByCount": 2, "isOpenAccess": "Y"}, "1", "T", "A, B", "2018", "10.1/x", ("openAccess", "Y")),
+    "semantic-scholar": ({"paperId": "p", "title": "T", "authors": [{"name": "A"}], "year": 2021, "externalIds": {"DOI": "10.1/x"}, "citationCount": 9}, "p", "T", "A", "2021", "10.1/x", ("citations", "9")),
+    "doaj": ({"id": "d", "bibjson": {"title": "T", "author": [{"name": "A"}], "year": "2017", "identifier": [{"id": "10.1/x"}], "journal": {"title": "J"}}}, "d", "T", "A", "2017", "10.1/x", ("journal", "J")),
+    "hal": ({"docid": "5", "title_s": ["T"], "authFullName_s": ["A", "B"], "producedDateY_i": 2016, "doiId_s": "10.1/x"}, "5", "T", "A; B", "2016", "10.1/x", None),
+    "zenodo": ({"id": 4, "metadata": {"title": "T", "creators": [{"name": "A"}], "publication_date": "2015-02-03", "license": {"id": "cc-by-4.0"}}, "doi": "10.5281/z"}, "4", "T", "A", "2015", "10.5281/z", ("license", "cc-by-4.0")),
+    "datacite-search": ({"id": "10.1/x", "attributes": {"titles": [{"title": "T"}], "creators": [{"name": "A"}], "publicationYear": 2014, "doi": "10.1/x", "publisher": "P"}}, "10.1/x", "T", "A", "2014", "10.1/x", ("publisher", "P")),
+    "huggingface": ({"id": "o/d", "author": "o", "downloads": 5, "tags": ["a", "b"], "lastModified": "2023-01-01"}, "o/d", "o/d", "o", "2023", "hf:o/d", ("tags", "a,b")),
+    "nih": ({"appl_id": 11, "project_title": "T", "contact_pi_name": "A", "fiscal_year": 2022, "award_amount": 10}, "11", "T", "A", "2022", "nih:11", ("amount", "10")),
+    "clinicaltrials": ({"protocolSection": {"identificationModule": {"nctId": "NCT1", "briefTitle": "T"}, "statusModule": {"overallStatus": "COMPLETED", "startDateStruct": {"date": "2012-01"}}, "designModule": {"phases": ["PHASE1", "PHASE2"]}, "sponsorCollaboratorsModule": {"leadSponsor": {"name": "A"}}}}, "NCT1", "T", "A", "2012", "clinicaltrials:NCT1", ("phases", "PHASE1/PHASE2")),
+    "openalex-author": ({"id": "A1", "display_name": "N", "works_count": 120, "last_known_institutions": [{"display_name": "I", "country_code": "FR"}]}, "A1", "N", "N", None, "oa-author:A1", ("country", "FR")),
+    "dblp": ({"info": {"key": "k", "title": "T", "authors": {"author": [{"text": "A"}, {"text": "B"}]}, "year": "2011", "doi": "10.1/x"}}, "k", "T", "A; B", "2011", "dblp:k", None),
+    "google-patents": ({"publication_number": "US1234567B2", "title": "T", "inventor": "A", "publication_date": "2010-01-01", "assignee": "C"}, "US1234567B2", "T", "A", "2010", "us-1234567-b2", ("applicants", "C")),
+    "serper": ({"link": "http://x", "title": "T", "snippet": "s", "date": "Jan 2009"}, "http://x", "T", None, "2009", "web:http://x", None),
+    "exa": ({"url": "http://x", "title": "T", "author": "A", "publishedDate": "2008-01-01", "score": 0.5}, "http://x", "T", "A", "2008", "web:http://x", ("score", "0.5")),
+}
+
+
+def test_connectors_read_their_services_payloads(spark):
+    import json
+
+    rows = spark.createDataFrame([(s, i, json.dumps(p[0])) for i, (s, p) in enumerate(PAYLOADS.items())], "source string, ord long, payload string")
+    got = {r.source: r for r in recorded.result_rows(rows, list(PAYLOADS)).collect()}
+    for s, (_, sid, title, authors, year, key, metric) in PAYLOADS.items():
+        r = got[s]
+        assert (r.source_id, r.title, r.authors, r.year, r.dedup_key) == (sid, title, authors, year, key), s
+        assert metric is None or r.metrics[metric[0]] == metric[1], s
