@@ -9,7 +9,7 @@ from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
 from ..operators import fusion, index, joins, library, mutation, ordering, search, usage
-from ..sources import recorded
+from ..sources import datasets, markup, recorded
 from . import domains
 from .registry import _BM25, _COS, _VEC, ASKED, QUERIES, query, r, stored, t
 
@@ -489,4 +489,32 @@ def adapted_queries(spark, d):
     return dialects.adapted(asked, mesh, ["the", "and"], ["pcr", "study"]).select("id", "openalex", "arxiv", "pubmed")
 
 
+@query("""WITH x AS (SELECT * FROM documents WHERE doc_id % 10 = 0), o AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM x)
+SELECT 0 AS n, chr(65279) || 'Title,Authors,Year,Journal,DOI,Citations,Source,PDF URL' AS line UNION ALL
+SELECT n::INTEGER, '"say ' || repeat(chr(34), 2) || left(md5(text), 6) || repeat(chr(34), 3) || ',"a, b",2000,' || coalesce(lang, '') || ',,' || n_chars || ',' || coalesce(source, '') || ',' FROM o""")
+def result_csv(spark, d):
+    """Chosen rows as CSV lines in display order, with header and byte order mark."""
+    docs = t(spark, d, "documents").select("doc_id", "n_chars", F.concat(F.lit('say "'), F.left(F.md5("text"), F.lit(6)), F.lit('"')).alias("title"), F.lit("a, b").alias("authors"), F.lit("2000").alias("year"), F.col("lang").alias("journal"), F.lit(None).cast("string").alias("doi"), F.col("n_chars").alias("citations"), "source", F.lit("").alias("pdf_url"))
+    return datasets.result_lines(docs, [F.desc("n_chars"), F.asc("doc_id")], F.col("doc_id") % 10 == 0)
+
+
+@query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's'), '\\s+', ' ', 'g')) AS title, 'about ' || page_id AS description FROM pages""")
+def page_metadata(spark, d):
+    """Title and description of pages."""
+    html = F.replace("html", F.lit("<head>"), F.concat(F.lit("<head><meta content='about "), F.col("page_id").cast("string"), F.lit("' name=description />")))
+    found = markup.page_metadata(html)
+    return t(spark, d, "pages").select("page_id", found["title"].alias("title"), found["description"].alias("description"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 100.0 WHEN doc_id % 4 = 1 THEN 0.0 WHEN doc_id % 4 = 2 THEN 62.5 ELSE 0.0 END::DOUBLE AS score, CASE WHEN doc_id % 4 = 2 THEN 'review' ELSE '' END AS paper_type, doc_id % 4 = 3 AS ai_failed FROM documents""")
+def parsed_evaluations(spark, d):
+    """A model's verdicts with clamped fields, defaults where it gave none."""
+    k = F.col("doc_id") % 4
+    verdict = F.when(k == 0, '{"i": 0, "score": 170}').when(k == 1, '{"i": 0, "score": "much"}').when(k == 2, '{"i": "x"}, {"i": 0, "score": 62.5, "paper_type": "review"}')
+    answer = F.concat(F.lit('Here:\n```json\n{"evaluations": ['), verdict, F.lit("]}\n```"))
+    docs = t(spark, d, "documents")
+    answers = docs.select(F.col("doc_id").alias("batch"), F.coalesce(answer, F.lit("no { json")).alias("answer"))
+    return C.judged(docs.select("doc_id", F.col("doc_id").alias("batch"), F.lit(0).alias("pos")), answers).select("doc_id", "score", "paper_type", "ai_failed")
+
+
 NAMES = [n for n in QUERIES if n not in _before]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import missing
@@ -92,3 +92,32 @@ def upsert_lines(extra: Column | str, values: dict[str, Column]) -> Column:
     kept = F.filter(lines, lambda x: ~F.array_contains(keys, F.lower(F.trim(F.substring_index(x, ":", 1)))))
     new = F.filter(F.array(*(F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in values.items())), lambda x: x.isNotNull())
     return F.array_join(F.concat(new, kept), "\n")
+
+
+# ---- fixed values: the columns of a result export, in order, by their headers
+RESULT_COLUMNS = {"Title": "title", "Authors": "authors", "Year": "year", "Journal": "journal", "DOI": "doi", "Citations": "citations", "Source": "source", "PDF URL": "pdf_url"}
+
+
+def result_lines(df: DataFrame, order: Sequence[Column], selected: Column | None = None) -> DataFrame:
+    """(n, line): a result list as CSV lines in its display order, header first with a byte order mark.
+
+    ``selected`` keeps the chosen rows, if any is chosen.  Ranks come from one
+    ordered list: an export is what one reader sees, at most ``EXPORT_ROWS`` rows.
+    """
+    rows = df
+    if selected is not None:
+        marked = df.withColumn("_s", F.coalesce(selected, F.lit(False)))
+        any_chosen = marked.agg(F.max("_s").alias("_any"))  # one row
+        rows = marked.crossJoin(F.broadcast(any_chosen)).filter("_s or not coalesce(_any, false)")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    quoted = lambda x: F.when(x.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    shown = rows.orderBy(*order).limit(EXPORT_ROWS)
+    lines = shown.select(F.row_number().over(Window.orderBy(*order)).alias("n"), F.concat_ws(",", *(quoted(text(c)) for c in RESULT_COLUMNS.values())).alias("line"))
+    header = df.sparkSession.range(1).select(F.lit(0).alias("n"), F.lit("\ufeff" + ",".join(RESULT_COLUMNS)).alias("line"))
+    return header.unionByName(lines)
+
+
+def export_results(df: DataFrame, path: str, order: Sequence[Column], selected: Column | None = None) -> None:
+    """Write a result list as one CSV file with CRLF line ends."""
+    lines = result_lines(df, order, selected).coalesce(1).sortWithinPartitions("n")
+    lines.select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -104,3 +105,17 @@ def xml_chunks(df: DataFrame, key: str = "id", xml: str = "xml") -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "category", "section", "chunk_text"])
 
     return df.select(key, xml).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, chunk_index int, category string, section string, chunk_text string")
+
+
+def page_metadata(html: Column | str) -> Column:
+    """struct(title, description, author, published) of a page's head, nulls where it has none."""
+    c = F.col(html) if isinstance(html, str) else html
+
+    def meta(*names: str) -> list[Column]:
+        first = r"""(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*["']?{0}["'\s][^>]*?\bcontent\s*=\s*["']([^"']*)["']"""
+        turned = r"""(?is)<meta\b[^>]*\bcontent\s*=\s*["']([^"']*)["'][^>]*\b(?:name|property)\s*=\s*["']?{0}["'\s/>]"""
+        return [missing(F.regexp_extract(c, form.format(re.escape(n)), 1)) for n in names for form in (first, turned)]
+
+    title = missing(F.trim(F.regexp_replace(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")))
+    fields = {"title": [*meta("og:title"), title], "description": meta("og:description", "description"), "author": meta("author", "citation_author"), "published": meta("article:published_time", "citation_publication_date", "date")}
+    return F.struct(*(F.trim(F.coalesce(*found)).alias(n) for n, found in fields.items()))
