@@ -8,9 +8,9 @@ from ..functions import dialects
 from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
-from ..operators import fusion, index, joins, library, mutation, ordering, search, usage
+from ..operators import fusion, index, joins, library, memory, mutation, ordering, risk, search, usage
 from ..sources import datasets, markup, recorded
-from . import domains
+from . import domains, literature
 from .registry import _BM25, _COS, _VEC, ASKED, QUERIES, query, r, stored, t
 
 _before = set(QUERIES)
@@ -517,4 +517,65 @@ def parsed_evaluations(spark, d):
     return C.judged(docs.select("doc_id", F.col("doc_id").alias("batch"), F.lit(0).alias("pos")), answers).select("doc_id", "score", "paper_type", "ai_failed")
 
 
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 2 WHEN 0 THEN 'DOI: 10.1/' || s_suppkey || chr(10) || 'Note: kept' ELSE 'DOI: 10.1/' || s_suppkey END AS extra FROM supplier""")
+def extra_lines(spark, d):
+    """Keyed lines of an item's extra field, replaced or added."""
+    s = _S("s_suppkey")
+    old = F.when(s % 2 == 0, "doi: old\nNote: kept\nPMID: 1")
+    new = datasets.upsert_lines(old, {"DOI": F.concat(F.lit("10.1/"), s), "PMID": F.lit(None).cast("string")})
+    return t(spark, d, "supplier").select(s.alias("id"), new.alias("extra"))
+
+
+@query("""WITH l AS (SELECT upper(p_brand) AS k, arg_max(p_type, (p_partkey, p_type)) AS c FROM part WHERE p_partkey % 5 = 0 GROUP BY 1) SELECT p_partkey, c AS risk FROM part LEFT JOIN l ON k = upper(p_brand)""")
+def risk_exact(spark, d):
+    """Category of exactly listed names, of a name's rows the last."""
+    part = t(spark, d, "part")
+    listed = part.filter("p_partkey % 5 = 0").select(F.col("p_brand").alias("name"), F.col("p_type").alias("category"), F.col("p_partkey").alias("ord"))
+    return risk.exact_batch(part.withColumn("journal", F.lower("p_brand")), listed).select("p_partkey", "risk")
+
+
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'pku,cscd' WHEN 1 THEN 'cssci' ELSE '' END AS lists FROM supplier""")
+def core_list_tags(spark, d):
+    """J19d: codes of the core lists that name a journal."""
+    s = _S("s_suppkey")
+    ranks = F.create_map(F.lit("北大核心2023"), F.when(s % 3 == 0, "1").otherwise("-"), F.lit("CSCD"), F.when(s % 3 == 0, "core").otherwise(""), F.lit("CSSCI"), F.when(s % 3 == 1, "2").otherwise("-"))
+    return t(spark, d, "supplier").select(s.alias("id"), F.array_join(C.core_lists(ranks), ",").alias("lists"))
+
+
+@query("""WITH f AS (SELECT doc_id AS id, text AS content, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id % 50) AS seen, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-02' END AS ends FROM documents WHERE doc_id % 5 > 0),
+h AS (SELECT *, CASE WHEN contains(lower(content), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(content), 'trash') THEN 1 ELSE 0 END AS hits FROM f WHERE ends IS NULL)
+SELECT id, hits FROM h WHERE hits > 0 ORDER BY hits DESC, seen DESC, id LIMIT 20""")
+def recalled_facts(spark, d):
+    """Live facts by the words they hold; expired and forgotten ones are out."""
+    at = F.timestamp_add("HOUR", F.col("doc_id") % 50, F.lit("2024-01-01").cast("timestamp"))
+    facts = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), at.alias("updated_at"), F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-02").cast("timestamp")).alias("expires_at"))
+    left = memory.forget(facts, facts.filter("id % 5 = 0"))
+    return memory.recall(left, F.lit("2024-02-01").cast("timestamp"), ["The", "trash"]).select("id", "hits")
+
+
+@query("""SELECT s_suppkey AS id, n::INTEGER AS chunk_index, CASE n WHEN 0 THEN 'abstract' WHEN 1 THEN 'method' ELSE 'references' END AS category, CASE n WHEN 0 THEN 'We show ' || s_name || '.' WHEN 1 THEN 'Step one.' || chr(10) || 'Step two.' ELSE 'One 2020' END AS chunk_text FROM supplier, generate_series(0, 2) g(n)""")
+def article_chunks(spark, d):
+    """Sections of XML articles, packed by paragraph; those that bear methods."""
+    xml = F.concat(F.lit("<article><front><abstract><p>We show "), F.col("s_name"), F.lit(".</p></abstract></front><body><sec><title>2. Methods</title><p>Step <i>one</i>.</p><p>Step two.</p></sec></body><back><ref-list><ref>One 2020</ref></ref-list></back></article>"))
+    chunks = markup.xml_chunks(t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), xml.alias("xml")))
+    return chunks.join(markup.bears_methods(chunks, "id"), "id", "left_semi").select("id", "chunk_index", "category", "chunk_text")
+
+
+@query("""SELECT 'http://a/' || s_suppkey AS url, s_name || ' & co' AS title, 'Li, Ou' AS authors, 2021 AS year, '10.1/' || s_suppkey AS doi FROM supplier""")
+def feed_entries(spark, d):
+    """Records of Atom feeds."""
+    s = _S("s_suppkey")
+    feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:a="http://x"><entry><id>http://a/'), s, F.lit("</id><title>"), F.col("s_name"), F.lit("\n &amp; co</title><author><name>Li</name></author><author><name>Ou</name></author><published>2021-02-03</published><a:doi>10.1/"), s, F.lit("</a:doi></entry><entry><id>x</id></entry></feed>"))
+    return markup.atom_records(t(spark, d, "supplier").select(feed.alias("xml"))).select("url", "title", "authors", "year", "doi")
+
+
+@query("""SELECT doc_id AS ord FROM documents WHERE doc_id % 3 = 0""")
+def open_access_only(spark, d):
+    """articles that any source calls open."""
+    docs = t(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("10.1/"), "doc_id").alias("doi"), F.lit("t").alias("title"), F.lit("a").alias("abstract"), F.lit("x").alias("authors"), F.lit("j").alias("journal"), F.lit(2000).alias("year"), F.lit(0).alias("citations"), (F.col("doc_id") % 3 == 0).alias("is_open_access"), F.lit(None).cast("string").alias("url"), "source")
+    both = rows.unionByName(rows.withColumn("ord", F.col("ord") + 10**9).withColumn("is_open_access", F.lit(False)))
+    return literature.merge(both).filter("is_open_access").select("ord")
+
+
 NAMES = [n for n in QUERIES if n not in _before]
