@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from . import search
+from . import joins, search
 
 
 class Provider(Protocol):
@@ -89,3 +89,13 @@ class InvertedFile(Index):
         """(query_id, rank, id, similarity) for every row of ``asked``."""
         own = self if self.clusters is not None else self.fitted()
         return search.ivf_search(own.vectors, own.clusters, asked, k, "id")
+
+
+def refresh(index: Index, stored: DataFrame, now: DataFrame, provider: Provider) -> Index:
+    """The index after a library changed from ``stored`` to ``now`` (both id, text).
+
+    Vectors of unchanged texts stay, new and changed texts are embedded, and what
+    is no longer there goes.
+    """
+    gone = joins.orphans(stored.select("id"), now, "id")
+    return index.remove(gone).add(provider.embed(joins.stale(stored, now, "id", "text")))

@@ -459,9 +459,12 @@ def recent_searches(spark, d):
     return e.groupBy("user_id").agg(F.max("ts").alias("last_at"), F.count("*").alias("n")).orderBy(F.desc("last_at"), "user_id").limit(20)
 
 
-@query("""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || left(md5(w), 8))::BIGINT AS h FROM k),
+_HASHED = """WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT doc_id, ('0x' || left(md5(w), 8))::BIGINT AS h FROM k),
 b AS (SELECT doc_id, (h % 16)::INTEGER AS b, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END)::DOUBLE AS x FROM c GROUP BY ALL), a AS (SELECT doc_id, i::INTEGER AS dim FROM documents, generate_series(0, 15) g(i))
-SELECT a.doc_id, a.dim, coalesce(x, 0) AS x FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.dim = b.b""")
+SELECT a.doc_id, a.dim, coalesce(x, 0) AS x FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.dim = b.b"""
+
+
+@query(_HASHED)
 def hashed_embeddings(spark, d):
     """Vectors of a provider that needs no model."""
     texts = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -578,4 +581,15 @@ def open_access_only(spark, d):
     return literature.merge(both).filter("is_open_access").select("ord")
 
 
+@query(_HASHED)
+def index_refresh(spark, d):
+    """An index brought up to date: fresh vectors stay, stale and new texts are embedded, orphans go."""
+    now = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    k = F.col("id")
+    old = now.filter(k % 3 > 0).withColumn("text", F.when(k % 5 == 0, "old text").otherwise(F.col("text"))).unionByName(now.limit(1).withColumn("id", F.lit(-1).cast("long")))
+    maker = index.Hashing(dims=16)
+    done = index.refresh(index.Index(maker.embed(old)), old, now, maker)
+    return done.vectors.select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("dim", "x"))
+
+
 NAMES = [n for n in QUERIES if n not in _before]
