@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .skew import join_counted
-from .store import materialize
+from .store import Scratch, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -84,19 +84,20 @@ def extents(shared: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _text, _gone): the line numbers that go, for each text that loses any."""
-    posted = materialize(spark, postings(docs, min_words, id_col, text), "postings")
-    marks = materialize(spark, posted.groupBy("mark").agg(F.count("*").alias("many")).filter("many > 1"), "marks")
-    found = materialize(spark, extents(join_counted(posted, marks, ["mark"], posted.count()), min_words), "extents")
-
-    place = F.struct(F.col("d").isNull().alias("late"), "d", "t", "a")
-    first = found.groupBy("mark", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("many")).filter("first <> last").drop("last")
-    first = materialize(spark, first, "first")
-    later = join_counted(found, first, ["mark", "body"], found.count()).filter(place != F.col("first")).select("d", "t", "a", "b")
-    # overlapping runs become stretches that share no line
-    before = Window.partitionBy("d", "t").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    cut = later.withColumn("a", F.greatest("a", F.max("b").over(before) + 1)).filter("a <= b")
-    gone = cut.groupBy(F.col("d").alias("_id"), F.col("t").alias("_text")).agg(F.flatten(F.collect_list(F.sequence("a", "b"))).alias("_gone"))
-    return materialize(spark, gone, "gone")
+    with Scratch(spark) as own:
+        posted = own.write(postings(docs, min_words, id_col, text), "postings")
+        marks = own.write(posted.groupBy("mark").agg(F.count("*").alias("many")).filter("many > 1"), "marks")
+        found = own.write(extents(join_counted(posted, marks, ["mark"], posted.count()), min_words), "extents")
+
+        place = F.struct(F.col("d").isNull().alias("late"), "d", "t", "a")
+        first = found.groupBy("mark", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("many")).filter("first <> last").drop("last")
+        first = own.write(first, "first")
+        later = join_counted(found, first, ["mark", "body"], found.count()).filter(place != F.col("first")).select("d", "t", "a", "b")
+        # overlapping runs become stretches that share no line
+        before = Window.partitionBy("d", "t").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+        cut = later.withColumn("a", F.greatest("a", F.max("b").over(before) + 1)).filter("a <= b")
+        gone = cut.groupBy(F.col("d").alias("_id"), F.col("t").alias("_text")).agg(F.flatten(F.collect_list(F.sequence("a", "b"))).alias("_gone"))
+        return materialize(spark, gone, "gone")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
