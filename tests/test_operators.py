@@ -264,3 +264,19 @@ def test_chunks_of_the_whole_table(spark):
         lost = [c for c, h in zip(texts[i], held) if not h and c.strip()]
         if chunks[0].category == "fallback":
             assert not lost
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_duplicate_groups_of_the_whole_table(spark):
+    v = {r.vec_id: r.embedding for r in registry.t(spark, DATA, "embeddings").collect()}
+    ids = sorted(v)
+    m = np.array([v[i] for i in ids], np.float64)
+    cos = (m @ m.T) / np.linalg.norm(m, axis=1)[:, None] / np.linalg.norm(m, axis=1)[None]
+    leaders, want = [], {}
+    for k in range(len(ids)):
+        own = [x for x in leaders if cos[x, k] >= 0.4]
+        if own:
+            want[ids[k]] = ids[own[0]]
+        else:
+            leaders.append(k)
+    assert {r.member: r.leader for r in registry.duplicate_groups(spark, DATA).collect()} == want and want
