@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, line_dedup, minhash, mixing, oracles, quality_knn, quality_rules, sentencepiece, topk, toxicity
+from . import chat, html_extract, line_dedup, minhash, mixing, oracles, quality_knn, quality_rules, sentencepiece, simhash, topk, toxicity
 
 
 #: A public 32k vocabulary; any unigram or BPE model file does.
@@ -79,8 +79,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(spark, turns.unionByName(more)))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document, and its component within three bits."""
+    return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_html_extraction, op4_sentencepiece, op5_exact_topk, op6_source_mixing, op7_quality_classifier, op8_minhash_dedup, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_html_extraction, op4_sentencepiece, op5_exact_topk, op6_source_mixing, op7_quality_classifier, op8_minhash_dedup, op9_quality_rules, op10_chat_formatting, op11_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
