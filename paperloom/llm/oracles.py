@@ -135,3 +135,34 @@ WITH d AS (
 )
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+PHRASES = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), cut AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), gram AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, (VALUES (1), (2), (3)) v(k))
+), f AS (
+  SELECT lang, k, phrase, count(*)::BIGINT AS f FROM gram GROUP BY lang, k, phrase HAVING count(*) >= 10
+), size AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang
+), half AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM f WHERE k > 1
+), both_parts AS (
+  SELECT h.lang, h.phrase, h.a, h.c, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM half h JOIN f x ON x.lang = h.lang AND x.phrase = array_to_string(w[: c], ' ')
+  JOIN f y ON y.lang = h.lang AND y.phrase = array_to_string(w[c + 1 :], ' ')
+), best AS (
+  SELECT * FROM both_parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), inside AS (
+  SELECT lang, phrase, max(f) AS longest FROM (
+    SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[: 2], ' '), array_to_string(string_split(phrase, ' ')[2 :], ' ')]) AS phrase FROM f WHERE k = 3
+  ) GROUP BY lang, phrase
+), ranked AS (
+  SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN inside USING (lang, phrase) JOIN size USING (lang) WHERE longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""

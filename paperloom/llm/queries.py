@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, lexical, line_dedup, minhash, mixing, oracles, quality_knn, quality_rules, sentencepiece, simhash, topk, toxicity
+from . import chat, html_extract, lexical, line_dedup, minhash, mixing, oracles, phrases, quality_knn, quality_rules, sentencepiece, simhash, topk, toxicity
 
 
 #: A public 32k vocabulary; any unigram or BPE model file does.
@@ -89,9 +89,14 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(spark, lexical.build(spark, table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return phrases.mine(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_html_extraction, op4_sentencepiece, op5_exact_topk, op6_source_mixing, op7_quality_classifier, op8_minhash_dedup, op9_quality_rules, op10_chat_formatting, op11_simhash_dedup, op12_ranked_search)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_html_extraction, op4_sentencepiece, op5_exact_topk, op6_source_mixing, op7_quality_classifier, op8_minhash_dedup, op9_quality_rules, op10_chat_formatting, op11_simhash_dedup, op12_ranked_search, op13_phrase_mining)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": oracles.LINE_DEDUP, "op5_exact_topk": oracles.TOP_K, "op6_source_mixing": oracles.MIXING, "op9_quality_rules": oracles.QUALITY_RULES, "op12_ranked_search": oracles.RANKED}
+    return {"op1_line_dedup": oracles.LINE_DEDUP, "op5_exact_topk": oracles.TOP_K, "op6_source_mixing": oracles.MIXING, "op9_quality_rules": oracles.QUALITY_RULES, "op12_ranked_search": oracles.RANKED, "op13_phrase_mining": oracles.PHRASES}
