@@ -40,9 +40,12 @@ from math import log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .rows import map_rows, quoted
 
 # ---- fixed tag and word lists of HTML and of common page furniture
-SILENT = frozenset("script style noscript template head title iframe object canvas audio video select option optgroup datalist button textarea label input fieldset legend annotation".split())
+SILENT = frozenset("script style noscript template head title iframe object canvas audio video select option optgroup datalist button textarea label input fieldset legend annotation svg".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -67,11 +70,11 @@ LINKED, LENGTH, MOST_LENGTH, SENTENCE = -4.0, 0.8, 2.5, 0.5
 NEIGHBOUR, SIBLING = 4.5, 0.5
 #: What is left of an edge that crosses the border of page furniture.
 BORDER = 0.2
-#: Steps in the tree, and elements around a block, beyond which nothing is weighed.
-FAR = 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'=<>`]+)))?")
+# quotes count only right after an equals sign; elsewhere they are part of a name or value
+_VALUE = r"""\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:[^a-zA-Z>][^>]*)?(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})?)?)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?)?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACES = re.compile(r"\s+")
 
@@ -85,6 +88,7 @@ class Mark:
     outer: Mark | None
     words: int = 0
     holds_main: bool = False
+    least: float | None = None  # cost of the strongest mark from here outwards that counts
 
 
 @dataclass
@@ -97,7 +101,7 @@ class Element:
     mark: Mark | None
     silent: bool
     in_link: bool
-    block: Element | None = None  # the nearest block-level element, itself included
+    block: Element | None = None  # the nearest block-level or silent element, itself included
 
 
 @dataclass
@@ -110,7 +114,11 @@ class Block:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in _ATTR.finditer(raw)}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):  # of repeated names the first counts
+        value = m[2] or ""
+        found.setdefault(m[1].lower(), unescape(value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value))
+    return found
 
 
 def name_says(names: str, in_main: bool) -> int:
@@ -145,24 +153,14 @@ def _open(tag: str, raw: str, parent: Element) -> Element:
         mark = Mark(TAG_COST, tag == "form", mark)
     elif says < 0:
         mark = Mark(NAME_COST, True, mark)
-    if main:
-        for m in _around(mark):
-            m.holds_main = True
+    if main and mark:
+        mark.holds_main = True
     gain = max(parent.gain, MAIN_GAIN if main else GOOD_GAIN if says > 0 else 0.0)
     e = Element(tag, parent, parent.depth + 1, gain, main or parent.main, mark, hidden or tag in SILENT or parent.silent, tag == "a" or parent.in_link)
-    e.block = e if tag in BLOCKS else parent.block
+    e.block = e if tag in BLOCKS or tag in SILENT else parent.block
     return e
 
 
-def _around(mark: Mark | None) -> Iterator[Mark]:
-    """A mark and those around it, as far as they are weighed."""
-    for _ in range(FAR):
-        if mark is None:
-            return
-        yield mark
-        mark = mark.outer
-
-
 def read_blocks(html: str) -> list[Block]:
     """Text blocks in page order, with the element that each lies in."""
     at = root = Element("", None, 0, 0.0, False, None, False, False)
@@ -170,6 +168,7 @@ def read_blocks(html: str) -> list[Block]:
     out: list[Block] = []
     now: Block | None = None
     opened: Counter[str] = Counter()
+    marks: list[Mark] = []
 
     def add(raw: str) -> None:
         nonlocal now
@@ -207,39 +206,61 @@ def read_blocks(html: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and not at.silent:
             now = None
         elif tag == "br":
             add(" ")
         if m[1]:
             if opened[tag]:  # an end without a beginning ends nothing
-                e = at
-                while e.tag != tag:
+                e, shut = at, tag != "p" and tag in BLOCKS
+                # a paragraph or an inline element does not end from inside a control, other blocks end what was left open
+                while e.tag != tag and (shut or e.tag not in SILENT):
                     e = e.parent
-                leave(e)
+                if e.tag == tag:
+                    leave(e)
             continue
         if tag in VOID:
             continue
         while at.tag in CLOSES and tag in CLOSES[at.tag]:
             leave(at)
         if tag in BLOCKS and at.block.tag in CLOSES and tag in CLOSES[at.block.tag]:
-            leave(at.block)  # inline elements left open inside a paragraph end with it
+            leave(at.block)  # inline elements left open inside a paragraph end with it, but none outside a control
         if m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, pos)
             pos = end.end() if end else n
             continue
+        around = at.mark
         at = _open(tag, m[3], at)
         opened[tag] += 1
+        if at.mark is not around:
+            marks.append(at.mark)
     for b in out:
         b.text = _SPACES.sub(" ", "".join(b.parts)).strip()
         b.words = len(b.text.split())
-        for mark in _around(b.element.mark):
-            mark.words += b.words
+        if b.element.mark:
+            b.element.mark.words += b.words
+    for mark in reversed(marks):  # inner ones were made later
+        if mark.outer:
+            mark.outer.words += mark.words
+            mark.outer.holds_main |= mark.holds_main
     return [b for b in out if b.text]
 
 
+def _against(mark: Mark | None, total: int) -> float:
+    """The strongest cost of the marks around a block; a name around half of the page with its main part says nothing."""
+    walked, most = [], 0.0
+    while mark is not None and mark.least is None:
+        walked.append(mark)
+        mark = mark.outer
+    if mark is not None:
+        most = mark.least
+    for m in reversed(walked):
+        m.least = most = most if m.by_name and m.holds_main and 2 * m.words >= total else min(most, m.cost)
+    return most
+
+
 def content_costs(blocks: list[Block]) -> list[float]:
     """Log odds that each block is content."""
     total = sum(b.words for b in blocks)
@@ -247,7 +268,7 @@ def content_costs(blocks: list[Block]) -> list[float]:
     out = []
     for b in blocks:
         e = b.element
-        against = min((m.cost for m in _around(e.mark) if not (m.by_name and m.holds_main and 2 * m.words >= total)), default=0.0)
+        against = _against(e.mark, total)
         place = against + INSIDE * e.gain if against else e.gain if e.main or not marked else e.gain + OUTSIDE
         text = min(MOST_LENGTH, LENGTH * (log1p(b.words) - 0.6)) + SENTENCE * (b.text[-1:] in ".!?:;\"'”»)")
         out.append(place + LINKED * (b.linked / b.words) + text)
@@ -255,9 +276,9 @@ def content_costs(blocks: list[Block]) -> list[float]:
 
 
 def _distance(a: Element, b: Element) -> int:
-    """Steps between two elements; all that are ``FAR`` or more count as that."""
+    """Steps between two elements; of neighbouring blocks these are what ended and began between them."""
     steps = 0
-    while a is not b and steps < FAR:
+    while a is not b:
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -358,11 +379,12 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """The columns of ``pages`` but html, then the main text and n_chars."""
     keep = [f for f in pages.schema.fields if f.name not in (html, out, "n_chars")]
-    source = pages.select(*[f"`{f.name}`" for f in keep], f"`{html}`")
+    source = pages.select(*[quoted(f.name) for f in keep], quoted(html))
+    schema = T.StructType([*keep, T.StructField(out, T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in keep), out, "n_chars"])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{out}` string", "n_chars long"]))
+    return map_rows(source, run, schema)

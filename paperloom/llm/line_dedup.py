@@ -103,7 +103,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
 def drop_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with later repeats cut out of the text.
 
-    With ``counts``, n_lines and n_removed follow the columns of ``docs``.
+    With ``counts``, n_lines and n_removed follow the columns of ``docs``, in place of columns so named.
     """
     gone = repeated_lines(spark, docs, min_words, id_col, text)
     # the row travels as one struct, so no column of it can clash with a name used here
@@ -116,7 +116,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORD
     # a text is split once: its lines are the one element that the outer function sees
     new = F.transform(F.array(lines), lambda own: F.array_join(F.transform(kept(F.size(own)), lambda i: own[i]), "\n"))[0]
     new = F.when(F.col("_gone").isNull(), old).otherwise(new)
-    out = [(new if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns]
+    out = [(new if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns if c == text or not (counts and c in ("n_lines", "n_removed"))]
     if counts:
         out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
     return joined.select(*out)

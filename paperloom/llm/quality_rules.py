@@ -22,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .rows import map_rows, quoted
 from .textkernel import SYMBOLS, Chunk, chunks, mix
 
 #: The bounded sample on which costs and selectivities are estimated.
@@ -195,10 +197,10 @@ def assess(docs: DataFrame, cascade: Cascade, text: str = "text") -> DataFrame:
     Input columns named like an output are replaced by it.
     """
     added = ["n_words", *BASE_FEATURES, "base_failed", "kept"]
-    source = docs.select(*[c for c in docs.columns if c not in added or c == text])
+    source = docs.select(*[quoted(c) for c in docs.columns if c not in added or c == text])
     others = tuple(x for x in cascade.order if x not in BASE_RULES)
     rest = Cascade(others, cascade.limits)
-    kinds = ", ".join(f"{n} long" for n in added[:5]) + ", base_failed boolean, kept boolean"
+    kinds = [T.StructField(n, T.LongType()) for n in added[:5]] + [T.StructField(n, T.BooleanType()) for n in added[5:]]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,8 +216,7 @@ def assess(docs: DataFrame, cascade: Cascade, text: str = "text") -> DataFrame:
             columns = [*batch.columns, *(pa.array(got[n]) for n in added[:5]), pa.array(failed), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(score, f"{fields}, {kinds}")
+    return map_rows(source, score, T.StructType([*source.schema.fields, *kinds]))
 
 
 def keep_good(docs: DataFrame, cascade: Cascade, text: str = "text") -> DataFrame:
@@ -226,4 +227,4 @@ def keep_good(docs: DataFrame, cascade: Cascade, text: str = "text") -> DataFram
             kept = [a + cascade.passes(View(chunk)) for a, _, chunk in chunks(batch.column(batch.schema.get_field_index(text)))]
             yield batch.take(pa.array(np.concatenate(kept) if kept else [], pa.int64()))
 
-    return docs.mapInArrow(drop, docs.schema)
+    return map_rows(docs, drop, docs.schema)

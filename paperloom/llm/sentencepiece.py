@@ -35,7 +35,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from .rows import map_rows, quoted
 from .textkernel import Chunk, buffers, mix, spans
 
 SPACE = "▁"
@@ -438,7 +440,7 @@ def _with(df: DataFrame, steps: list[tuple[str, str, str, str]], model: Model) -
     """
     made = {out: kind for _, out, kind, _ in steps}
     first = steps[0][0]
-    source = df.select(*[f"`{c}`" for c in df.columns if c not in made or c == first])
+    source = df.select(*[quoted(c) for c in df.columns if c not in made or c == first])
     keep = [c for c in source.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,8 +454,8 @@ def _with(df: DataFrame, steps: list[tuple[str, str, str, str]], model: Model) -
                 names = [*keep, *made]
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep]
-    return source.mapInArrow(run, ", ".join([*fields, *(f"`{out}` {kind}" for out, kind in made.items())]))
+    fields = [f for f in source.schema.fields if f.name in keep]
+    return map_rows(source, run, T.StructType([*fields, *(T.StructField(out, T.DataType.fromDDL(kind)) for out, kind in made.items())]))
 
 
 def encode(df: DataFrame, model: Model, text: str = "text", ids: str = "ids") -> DataFrame:
