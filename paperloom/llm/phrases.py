@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from .store import Scratch, materialize
 from .textkernel import Chunk, buffers, mix, spans
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Phrase occurrences for each cell of the sketch.
 LOAD = 2
 #: Cells of one range, as a power of two.
-RANGE_BITS = 20
+RANGE_BITS = 21
 #: Phrases that one task ranks, and the first ones of each language.
 RANKED = 100_000
 
@@ -105,17 +105,17 @@ class Windows:
         for k in range(1, most + 1):
             n = max(0, many - k + 1)
             rolled = mix(rolled[:n] * np.uint64(0x100000001B3) + h[k - 1 : k - 1 + n])
-            inside = np.flatnonzero(piece[:n] == piece[k - 1 : k - 1 + n])
+            inside = np.flatnonzero(piece[:n] == piece[k - 1 : k - 1 + n]).astype(np.int32)
             at.append(inside)
-            last.append(inside + (k - 1))
+            last.append(inside + np.int32(k - 1))
             found.append(rolled[inside])
         self.at, self.last, self.hash = np.concatenate(at), np.concatenate(last), np.concatenate(found)
         cell = self.hash >> np.uint64(64 - bits)
-        self.order = np.argsort(cell)
+        self.order = np.argsort(cell).astype(np.int32)
         ranked = cell[self.order]
         self.first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         self.cell = ranked[self.first].astype(np.int64)
-        self.many = np.diff(np.append(self.first, len(ranked)))
+        self.many = np.diff(np.append(self.first, len(ranked))).astype(np.int32)
         #: Where each range's cells begin, and its number.
         home = self.cell >> RANGE_BITS
         self.cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
@@ -187,7 +187,7 @@ def answers(posted: DataFrame, least: int) -> DataFrame:
     """(shard, range, bits): which of a shard's cells reach the least count in all shards together."""
 
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RANGE_BITS, np.int64)
+        total = np.zeros(1 << RANGE_BITS, np.int32)
         for batch in held:
             for many, cells, times in zip(batch["many"].to_pylist(), batch["cells"], batch["times"]):
                 total[_spread(cells, many)] += np.frombuffer(pa.decompress(times.as_buffer(), many, codec="zstd"), np.uint8)
