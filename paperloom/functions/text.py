@@ -27,6 +27,10 @@ SECTION_HEADINGS = [
 ]
 
 
+def has_cjk(c: Column | str) -> Column:
+    return _col(c).rlike(f"[{_CJK}]")
+
+
 def tokens(c: Column | str) -> Column:
     """Index tokens: overlapping bigrams of CJK runs, lower-case ASCII words."""
     runs = F.regexp_extract_all(F.lower(_col(c)), F.lit(f"([{_CJK}]+|[a-z0-9]+)"), 1)

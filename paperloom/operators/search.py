@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import cosine
 from ..functions.text import token_count, token_times
@@ -24,13 +26,30 @@ SLICE = 256
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector: str = "embedding", threshold: float | None = None) -> DataFrame:
     """The k rows of largest cosine to one query vector; ties to the smaller id.
 
-    The query is a literal and the top k come from bounded heaps in each task.
+    Each Arrow batch is one matrix product and passes on its k best rows, with
+    all that equal the last of them.  A vector without length, of another length
+    than the query, or with a null has the similarity 0.
     """
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select(id_col, cosine(F.col(vector), q).alias("similarity"))
-    if threshold is not None:
-        scored = scored.filter(F.col("similarity") >= threshold)
-    return scored.orderBy(F.desc("similarity"), id_col).limit(k)
+    q = np.array(list(query), np.float64)
+    q = q / max(float(np.linalg.norm(q)), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos, column = np.zeros(len(batch)), batch.column(1)
+            good = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), len(q)), False).to_numpy(zero_copy_only=False))
+            if len(good) and len(q):
+                m = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), len(q))
+                norm = np.sqrt((m * m).sum(axis=1))
+                value = np.divide(m @ q, norm, out=np.zeros(len(good)), where=norm > 0)
+                cos[good] = np.where(np.isnan(value), 0.0, value)
+            keep = cos >= (threshold if threshold is not None else -np.inf)
+            if keep.sum() > k:
+                keep &= cos >= -np.partition(-cos[keep], k - 1)[k - 1]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(cos[keep])], names=["id", "similarity"])
+
+    schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
+    scored = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, schema)
+    return scored.select(F.col("id").alias(id_col), "similarity").orderBy(F.desc("similarity"), id_col).limit(k)
 
 
 def bm25(docs: DataFrame, query: Sequence[str], k: int, id_col: str = "doc_id", text: str = "text", stored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

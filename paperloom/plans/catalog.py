@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import fusion, index, joins, library, memory, mutation, ordering, risk, search, usage
 from ..sources import datasets, markup, recorded
 from . import domains, literature
-from .registry import _BM25, _COS, _VEC, ASKED, QUERIES, query, r, stored, t
+from .registry import _BM25, _COS, _VEC, ASKED, QUERIES, kept_index, query, r, stored, t, vector_of
 
 _before = set(QUERIES)
 
@@ -28,10 +28,10 @@ def hybrid_search(spark, d):
     e = t(spark, d, "embeddings")
     docs = t(spark, d, "documents")
     chunks = library.with_vectors(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"), F.col("lang").alias("section_name")), e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
-    q = e.filter("vec_id = 0").select("embedding").first()[0]
+    q = vector_of(spark, d)
     own = e.select(F.col("vec_id").alias("id"), F.col("label").alias("item_id"))
     near = search.ranked(search.nearest(chunks, q, 50, "id"), [F.desc("similarity"), F.col("id")], 50).join(own, "id")
-    hits = search.bm25(chunks, ASKED, 50, "id", "chunk_text", lambda x: stored(spark, x))
+    hits = kept_index(spark, d, "chunks", docs.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).bm25(ASKED, 50)
     text = search.ranked(hits, [F.desc("score"), F.col("id")], 50).join(own, "id").select("id", "item_id", "rank")
     fused = fusion.hybrid_items(near.select("id", "item_id", "rank", "similarity"), text, 0.2, 50)
     items = e.select(F.col("label").alias("item_id")).distinct().select("item_id", F.concat(F.lit("Brand#"), "item_id").alias("title"), F.lit("article").alias("type"), F.lit(None).cast("string").alias("doi"), (F.col("item_id") % 4 == 3).alias("deleted"))
@@ -45,7 +45,7 @@ def scoped_search(spark, d):
     """A collection's items nearest to a query, with what is known of them."""
     e = t(spark, d, "embeddings")
     members = t(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("vec_id"))
-    q = e.filter("vec_id = 0").select("embedding").first()[0]
+    q = vector_of(spark, d)
     near = search.nearest(library.in_scope(e, members, "vec_id"), q, 10, threshold=0.1)
     return near.join(t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("kind")), "vec_id", "left").select("vec_id", r("similarity", 6).alias("similarity"), "kind")
 
@@ -56,7 +56,7 @@ def similar_notes(spark, d):
     """J16d: notes like one note; those in the trash and the note itself are out."""
     e = t(spark, d, "embeddings")
     live = e.filter("vec_id <> 7").join(t(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti")
-    q = e.filter("vec_id = 7").select("embedding").first()[0]
+    q = vector_of(spark, d, 7)
     near = search.nearest(live, q, 10, threshold=0.1)
     return near.join(t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(100)).alias("preview")), "vec_id", "left").select("vec_id", r("similarity", 6).alias("similarity"), "preview")
 
@@ -476,8 +476,8 @@ SELECT vec_id AS id, round({_COS}, 6) AS similarity FROM n, (SELECT v AS q FROM
 def index_changes(spark, d):
     """An index after removals and additions."""
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    q = e.filter("id = 0").first()["embedding"]
-    new = e.filter("id % 7 = 0 and id between 7 and 30").withColumn("embedding", F.array(*map(F.lit, q)))
+    q = vector_of(spark, d)
+    new = e.filter("id % 7 = 0 and id between 7 and 30").withColumn("embedding", F.array(*map(F.lit, q)).cast("array<double>"))
     now = index.Index(e).remove(e.filter("id % 3 = 0 or id % 7 = 0").select("id")).add(new).add(new)
     return now.search(q, 10).select("id", r("similarity", 6).alias("similarity"))
 

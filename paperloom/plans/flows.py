@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import risk
+from ..sources.shared import shared_dir
 from ..streaming import feeds
 from . import domains, literature
 from .registry import query, r, t
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    return f"{base.rstrip('/')}/paperloom/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/paperloom/{uuid.uuid4().hex}"
 
 
 @query("""WITH a AS (SELECT d.doc_id AS ord, CASE WHEN d.doc_id % 5 > 0 THEN '10.1/' || left(md5(text), 12) END AS doi, left(text, 80) AS title, d.n_chars AS citations, d.source FROM documents d),

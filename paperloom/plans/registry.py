@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
-from ..operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, usage
+from ..operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, textindex, usage
+from ..sources.shared import shared_dir, stamp, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,14 +34,6 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that all executors share, and read back: rounds do not pile up in its plan."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    path = f"{base.rstrip('/')}/paperloom/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def r(c, n: int = 4):
     return F.round(c, n)
 
@@ -51,20 +44,28 @@ _COS = "coalesce(list_inner_product(v, q) / nullif(sqrt(list_inner_product(v, v)
 _VEC = "SELECT vec_id, label, [x::DOUBLE for x in embedding] AS v FROM embeddings"
 
 
-def _first_vector(spark, d) -> list[float]:
-    return t(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+def vector_of(spark, d, vec_id: int = 0) -> list[float]:
+    """One vector; without it an empty one, to which nothing is similar."""
+    row = t(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(row[0]) if row and row[0] else []
+
+
+def kept_index(spark, d: str, name: str, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> textindex.TextIndex:
+    """The text index kept for a table of these files, built at its first use and whenever it has drifted."""
+    path = f"{shared_dir(spark)}/paperloom/index-{name}-{uuid.uuid5(uuid.NAMESPACE_URL, d).hex}"
+    return textindex.TextIndex(spark, path).ensure(docs, id_col, text, stamp(spark, docs))
 
 
 @query(f"SELECT vec_id, round({_COS}, 6) AS similarity FROM ({_VEC}), (SELECT v AS q FROM ({_VEC}) WHERE vec_id = 0) ORDER BY {_COS} DESC, vec_id LIMIT 10")
 def vector_topk(spark, d):
     """Ten nearest vectors of vector 0."""
-    return search.nearest(t(spark, d, "embeddings"), _first_vector(spark, d), 10).select("vec_id", r("similarity", 6).alias("similarity"))
+    return search.nearest(t(spark, d, "embeddings"), vector_of(spark, d), 10).select("vec_id", r("similarity", 6).alias("similarity"))
 
 
 @query(f"SELECT vec_id, round({_COS}, 6) AS similarity FROM ({_VEC}), (SELECT v AS q FROM ({_VEC}) WHERE vec_id = 0) WHERE vec_id <> 0 AND {_COS} >= 0.2 ORDER BY {_COS} DESC, vec_id LIMIT 5")
 def similar_items(spark, d):
     """Five most similar items over a threshold, without the anchor."""
-    return search.nearest(t(spark, d, "embeddings").filter("vec_id <> 0"), _first_vector(spark, d), 5, threshold=0.2).select("vec_id", r("similarity", 6).alias("similarity"))
+    return search.nearest(t(spark, d, "embeddings").filter("vec_id <> 0"), vector_of(spark, d), 5, threshold=0.2).select("vec_id", r("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -105,8 +106,9 @@ i AS (SELECT t, count(*) FILTER (WHERE f > 0) AS nt FROM f GROUP BY t),
 p AS (SELECT doc_id, f.t, m * CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nt + 0.5) / (nt + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a)) AS x FROM f JOIN i USING (t), s WHERE f > 0)
 SELECT doc_id, round(sum(x), 6) AS score FROM p GROUP BY doc_id ORDER BY round(sum(x), 9) DESC, doc_id LIMIT 20""")
 def bm25_topk(spark, d):
-    """BM25 of a bag of words."""
-    return search.bm25(t(spark, d, "documents"), ["the", "of", "trash", "the"], 20, stored=lambda x: stored(spark, x)).select("doc_id", r("score", 6).alias("score"))
+    """BM25 of a bag of words, from the kept index."""
+    index = kept_index(spark, d, "documents", t(spark, d, "documents"))
+    return index.bm25(ASKED, 20).select(F.col("id").alias("doc_id"), r("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, len({_TOK})::BIGINT AS n, array_to_string({_TOK}[1:5], ' ') AS head FROM documents")
@@ -131,10 +133,10 @@ ASKED = ["the", "of", "trash", "the"]
 def _legs(spark, d):
     """A vector leg and a BM25 leg over the same chunks: documents that have a vector, their label as item."""
     e = t(spark, d, "embeddings")
-    near = search.nearest(e, _first_vector(spark, d), 50)
+    near = search.nearest(e, vector_of(spark, d), 50)
     vec = search.ranked(near, [F.desc("similarity"), F.col("vec_id")], 50).join(e.select("vec_id", "label"), "vec_id")
     own = e.select(F.col("vec_id").alias("doc_id"), "label")
-    hits = search.bm25(t(spark, d, "documents").join(own.select("doc_id"), "doc_id", "left_semi"), ASKED, 50, stored=lambda x: stored(spark, x))
+    hits = kept_index(spark, d, "chunks", t(spark, d, "documents").join(own.select("doc_id"), "doc_id", "left_semi")).bm25(ASKED, 50).withColumnRenamed("id", "doc_id")
     text = search.ranked(hits, [F.desc("score"), F.col("doc_id")], 50).join(own, "doc_id")
     return vec.select(F.col("vec_id").alias("id"), F.col("label").alias("item_id"), "rank", "similarity"), text.select(F.col("doc_id").alias("id"), F.col("label").alias("item_id"), "rank")
 
