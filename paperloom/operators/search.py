@@ -200,7 +200,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null").filter(~bad)
@@ -213,7 +213,7 @@ def ivf_fit(vectors: DataFrame, k: int = 10, recall: float = 0.95, rounds: int =
     probes are the fewest with which ``FIT_QUERIES`` of these rows find the given
     share of their k nearest rows.
     """
-    rows = _usable(vectors, id_col, vector)
+    rows = usable(vectors, id_col, vector)
     n = rows.count()
     share = min(1.0, 1.5 * FIT_ROWS / max(1, n))
     near = rows if share == 1.0 else rows.filter(F.xxhash64("id") < int((share - 0.5) * 2**64))
@@ -238,28 +238,32 @@ def ivf_fit(vectors: DataFrame, k: int = 10, recall: float = 0.95, rounds: int =
     return Clusters(centres, int(place[min(len(place) - 1, int(np.ceil(recall * len(place))) - 1)]) + 1)
 
 
-def ivf_search(vectors: DataFrame, clusters: Clusters, asked: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, similarity): the k nearest of all rows, in the probed clusters, for each row of ``asked``.
+def place(rows: DataFrame, centres: np.ndarray, many: int) -> DataFrame:
+    """(c, id, v): usable rows (id, v) in each of their ``many`` nearest clusters."""
 
-    Every row is in one cluster, every query goes to ``probes`` of them; a large
-    cluster is dealt into chunks of ``CHUNK_ROWS``, each of which meets the
-    cluster's queries in one task.  A query does not find its own id.
-    """
-    centres, probes = clusters.centres, clusters.probes
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+            near = np.argsort(-(_unit(m) @ centres.T), axis=1, kind="stable")[:, :many]
+            at = pa.array(np.repeat(np.arange(len(batch)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["c", "id", "v"])
 
-    def placed(many: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                m = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-                near = np.argsort(-(_unit(m) @ centres.T), axis=1, kind="stable")[:, :many]
-                at = pa.array(np.repeat(np.arange(len(batch)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["c", "id", "v"])
+    return rows.mapInArrow(run, "c int, id long, v array<double>")
 
-        return run
 
-    schema = "c int, id long, v array<double>"
-    rows = _usable(vectors, id_col, vector).mapInArrow(placed(1), schema)
-    asks = _usable(asked, id_col, vector).mapInArrow(placed(probes), schema)
+def ivf_search(vectors: DataFrame, clusters: Clusters, asked: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, similarity): the k nearest of all rows, in the probed clusters, for each row of ``asked``."""
+    rows = place(usable(vectors, id_col, vector), clusters.centres, 1)
+    return search_placed(rows, place(usable(asked, id_col, vector), clusters.centres, clusters.probes), k, id_col)
+
+
+def search_placed(rows: DataFrame, asks: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
+    """(query_id, rank, id, similarity): each query's k nearest among the rows of its clusters (both c, id, v).
+
+    Every row is in one cluster, every query in some of them; a large cluster is
+    dealt into chunks of ``CHUNK_ROWS``, each of which meets the cluster's
+    queries in one task.  A query does not find its own id.
+    """
     sizes = rows.groupBy("c").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("n"))  # at most MOST_CLUSTERS rows
     rows = rows.join(F.broadcast(sizes), "c").select("c", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("u"), F.lit(1).alias("side"), "id", "v")
     asks = asks.join(F.broadcast(sizes), "c").select("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("u"), F.lit(0).alias("side"), "id", "v")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
-from ..operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, textindex, usage
+from ..operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, textindex, usage, vectorstore
 from ..sources.shared import shared_dir, stamp, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,13 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def kept_vectors(spark, d: str, vectors: DataFrame, model: str = "given") -> vectorstore.VectorStore:
+    """The vector index kept for a table of these files; laid out at its first use and when the files change."""
+    store = vectorstore.VectorStore(spark, f"{shared_dir(spark)}/paperloom/vectors-{uuid.uuid5(uuid.NAMESPACE_URL, d).hex}")
+    files = stamp(spark, vectors)
+    return store if store.versions.current().get("stamp") == files and store.valid(model) else store.build(vectors, model, stamp=files)
+
+
 def r(c, n: int = 4):
     return F.round(c, n)
 
@@ -70,9 +77,9 @@ def similar_items(spark, d):
 
 @query()
 def ivf_topk(spark, d):
-    """The ten nearest vectors of every twentieth, in the nearest clusters alone."""
+    """The ten nearest vectors of every twentieth, from the probed clusters of the stored index."""
     vectors = t(spark, d, "embeddings")
-    found = search.ivf_search(vectors, search.ivf_fit(vectors), vectors.filter("vec_id % 20 = 0"), 10)
+    found = kept_vectors(spark, d, vectors).search(vectors.filter("vec_id % 20 = 0"), 10)
     return found.select("query_id", "rank", "vec_id", r("similarity", 6).alias("similarity"))
 
 
