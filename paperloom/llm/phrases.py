@@ -110,9 +110,10 @@ class Windows:
             last.append(inside + np.int32(k - 1))
             found.append(rolled[inside])
         self.at, self.last, self.hash = np.concatenate(at), np.concatenate(last), np.concatenate(found)
-        cell = self.hash >> np.uint64(64 - bits)
-        self.order = np.argsort(cell).astype(np.int32)
-        ranked = cell[self.order]
+        # a cell is the hash's first bits, so one order serves cells and phrases
+        self.order = np.argsort(self.hash).astype(np.int32)
+        self.sorted = self.hash[self.order]
+        ranked = self.sorted >> np.uint64(64 - bits)
         self.first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         self.cell = ranked[self.first].astype(np.int64)
         self.many = np.diff(np.append(self.first, len(ranked))).astype(np.int32)
@@ -125,27 +126,29 @@ class Windows:
         for r, a, b in zip(self.range.tolist(), self.cut.tolist(), np.append(self.cut[1:], len(self.cell)).tolist()):
             yield r, slice(a, b)
 
-    def text(self, i: int) -> bytes:
-        return self.raw[self.start[self.at[i]] : self.end[self.last[i]]]
+    def guarded(self, windows: np.ndarray) -> list[str]:
+        """The windows' phrases with the spaces around them."""
+        places = zip((self.start[self.at[windows]] - 1).tolist(), (self.end[self.last[windows]] + 1).tolist())
+        return [self.raw[a:b].decode() for a, b in places]
 
     def counted(self, flagged: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The phrases of the flagged cells, and their matches in the text."""
-        windows = self.order[np.repeat(flagged, self.many)]
-        _, first = np.unique(self.hash[windows], return_index=True)
-        phrases, times = self._scan([self.text(i).decode() for i in windows[first].tolist()])
+        here = np.repeat(flagged, self.many)
+        windows, sorted_ = self.order[here], self.sorted[here]
+        phrases, times = self._scan(self.guarded(windows[np.concatenate([[True], sorted_[1:] != sorted_[:-1]])] if len(windows) else windows))
         if times.sum() != len(windows):  # two phrases share a hash
-            phrases, times = self._scan(sorted({self.text(i).decode() for i in windows.tolist()}))
+            phrases, times = self._scan(sorted(set(self.guarded(windows))))
         return phrases, times
 
-    def _scan(self, phrases: list[str]) -> tuple[list[str], np.ndarray]:
-        if not phrases:
-            return phrases, np.zeros(0, np.int64)
+    def _scan(self, guarded: list[str]) -> tuple[list[str], np.ndarray]:
+        if not guarded:
+            return guarded, np.zeros(0, np.int64)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, phrase in enumerate(phrases):
-            automaton.add_word(f" {phrase} ", i)
+        for i, phrase in enumerate(guarded):
+            automaton.add_word(phrase, i)
         automaton.make_automaton()
         hits = np.fromiter((i for _, i in automaton.iter(self.raw.decode())), np.int64)
-        return phrases, np.bincount(hits, minlength=len(phrases))
+        return [x[1:-1] for x in guarded], np.bincount(hits, minlength=len(guarded))
 
 
 def hash_of(lang: str) -> int:
@@ -217,8 +220,8 @@ def answers(posted: DataFrame, least: int) -> DataFrame:
     return posted.repartition("range").sortWithinPartitions("range").mapInArrow(run, "shard long, range long, bits binary")
 
 
-def phrase_counts(rows: DataFrame, found: DataFrame, words: int, bits: int) -> DataFrame:
-    """(lang, phrase, f): the candidates' matches, by shard; ``found`` has the shards' answers."""
+def phrase_counts(rows: DataFrame, found: DataFrame, words: int, least: int, bits: int) -> DataFrame:
+    """(lang, phrase, f): all matches of the candidates; ``found`` has the shards' answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,12 +232,14 @@ def phrase_counts(rows: DataFrame, found: DataFrame, words: int, bits: int) -> D
                     if r in known:
                         flagged[s] = np.unpackbits(np.frombuffer(known[r], np.uint8), count=s.stop - s.start).view(bool)
                 phrases, times = own.counted(flagged)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(times)], names=["lang", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{lang}\n{x}" for x in phrases], pa.string()), pa.array(times)], names=["key", "f"])
 
     # a shard's answers are fewer bytes than its text
     answered = found.groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))
     both = rows.select("shard", "lang", "size", "packed").join(answered.hint("merge"), "shard")
-    return both.mapInArrow(run, "lang string, phrase string, f long")
+    # language and phrase, which has no line feed, travel as one text
+    sums = both.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return sums.select(F.regexp_replace("key", r"\n[^\n]*$", "").alias("lang"), F.substring_index("key", "\n", -1).alias("phrase"), "f")
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -276,8 +281,7 @@ def mine(spark: SparkSession, docs: DataFrame, words: int = 3, least: int = 10,
         total = rows.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
         bits = max(RANGE_BITS, (words * total // LOAD).bit_length())
         found = own.write(answers(postings(rows, words, least, bits), least), "answers")
-        sums = phrase_counts(rows, found, words, bits).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-        counts = own.write(sums, "counts")
+        counts = own.write(phrase_counts(rows, found, words, least, bits), "counts")
         inner = inner_phrases(counts).hint("merge")
         kept = scored(counts).join(inner, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longest") < percent * F.col("a"), F.lit(True))).drop("longest")
         kept = own.write(kept, "scored")

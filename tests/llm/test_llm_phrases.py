@@ -74,7 +74,7 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     """All phrases under one hash: counts come from the texts themselves."""
     raw = b" a b \n a b a b \n"
     own = phrases.Windows("en", raw, 3, 20)
-    own.hash[:] = 7
+    own.sorted[:] = 7
     got = dict(zip(*own.counted(np.ones(len(own.cell), bool))))
     assert got == {"a": 3, "b": 3, "a b": 3, "b a": 1, "a b a": 1, "b a b": 1}
 
