@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scoring import cosine
 from ..functions.text import token_count, token_times
 
 K1, B = 1.2, 0.75
@@ -144,22 +143,6 @@ def by_unit(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
         yield held
 
 
-def duplicate_groups(spark: SparkSession, vectors: DataFrame, threshold: float, checkpoint, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(leader, member, similarity): ``leader_groups`` over all pairs of all vectors.
-
-    Identical vectors have the same neighbours, so the smallest id stands for
-    all of them: the others join its leader, or itself if it leads.  Pairs are
-    formed between different vectors only.
-    """
-    v = F.col(vector)
-    classes = checkpoint(vectors.filter(F.col(id_col).isNotNull() & v.isNotNull()).groupBy(v.alias("v")).agg(F.min(id_col).alias("id"), F.count("*").alias("n")))
-    led = checkpoint(leader_groups(spark, similar_pairs(classes, threshold, None, "id", "v"), checkpoint))
-    copies = vectors.join(classes.filter("n > 1").select(F.col("v").alias("_v"), F.col("id").alias("first")), v == F.col("_v")).filter(F.col(id_col) != F.col("first"))
-    copies = copies.select(F.col(id_col).alias("copy"), "first", cosine(v, v).alias("self")).filter(F.col("self") >= threshold)
-    joined = copies.join(led, F.col("first") == F.col("member"), "left")
-    return led.union(joined.select(F.coalesce("leader", "first"), "copy", F.coalesce("similarity", "self")))
-
-
 def leader_groups(spark: SparkSession, pairs: DataFrame, checkpoint) -> DataFrame:
     """(leader, member, similarity): greedy groups in id order, without a driver fold.
 
@@ -206,10 +189,10 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null").filter(~bad)
 
 
-def ivf_fit(vectors: DataFrame, k: int = 10, recall: float = 0.95, rounds: int = 12, id_col: str = "vec_id", vector: str = "embedding") -> Clusters:
+def ivf_fit(vectors: DataFrame, k: int = 10, recall: float = 0.95, rounds: int = 12, id_col: str = "vec_id", vector: str = "embedding", most: int = MOST_CLUSTERS) -> Clusters:
     """Clusters fitted on at most ``FIT_ROWS`` rows, the first by a hash of their id.
 
-    There are min(256, n / 10) of them, by Lloyd's rounds on unit vectors.  The
+    There are min(``most``, n / 10) of them, by Lloyd's rounds on unit vectors.  The
     probes are the fewest with which ``FIT_QUERIES`` of these rows find the given
     share of their k nearest rows.
     """
@@ -221,7 +204,7 @@ def ivf_fit(vectors: DataFrame, k: int = 10, recall: float = 0.95, rounds: int =
     if not len(sample):
         return Clusters(np.zeros((1, 0)), 1)
     x = _unit(np.array(sample["v"].to_pylist()))
-    centres = x[: min(MOST_CLUSTERS, max(1, n // 10), len(x))].copy()
+    centres = x[: min(most, max(1, n // 10), len(x))].copy()
     for _ in range(rounds):
         own = (x @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
-from ..operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, textindex, usage, vectorstore
+from ..operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, similarity, textindex, usage, vectorstore
 from ..sources.shared import shared_dir, stamp, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,14 +93,14 @@ def duplicate_pairs(spark, d):
 @query(f"WITH v AS ({_VEC}) SELECT a.vec_id AS a, b.vec_id AS b, round({_COS.replace('v,', 'a.v,').replace(', v)', ', a.v)').replace('q)', 'b.v)').replace('(q,', '(b.v,')}, 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE {_COS.replace('v,', 'a.v,').replace(', v)', ', a.v)').replace('q)', 'b.v)').replace('(q,', '(b.v,')} >= 0.4")
 def duplicate_pairs_all(spark, d):
     """All pairs at or over a similarity, whatever their labels."""
-    pairs = search.similar_pairs(t(spark, d, "embeddings"), 0.4)
+    pairs = similarity.pairs(t(spark, d, "embeddings"), 0.4, lambda x: stored(spark, x))
     return pairs.select("a", "b", r("similarity", 6).alias("similarity"))
 
 
 @query()
 def duplicate_groups(spark, d):
-    """Greedy leaders over all pairs."""
-    groups = search.duplicate_groups(spark, t(spark, d, "embeddings"), 0.4, lambda x: stored(spark, x))
+    """Greedy leaders over all vectors, without writing a pair."""
+    groups = similarity.leaders(t(spark, d, "embeddings"), 0.4, lambda x: stored(spark, x))
     return groups.select("leader", "member", r("similarity", 6).alias("similarity"))
 
 

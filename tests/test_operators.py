@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import normalize as N
-from paperloom.operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, usage
+from paperloom.operators import chunking, dedup, filters, fusion, joins, mutation, ordering, search, similarity, usage
 from paperloom.plans import registry
 
 
@@ -193,7 +193,7 @@ def test_duplicates_are_found_across_labels_and_chunks(spark, monkeypatch):
             member[b] = own[0]
         else:
             leaders.append(b)
-    groups = search.duplicate_groups(spark, df, 0.6, lambda x: registry.stored(spark, x)).collect()
+    groups = similarity.leaders(df, 0.6, lambda x: registry.stored(spark, x)).collect()
     assert len(groups) == len(member) and {r.member: r.leader for r in groups} == member
 
 
