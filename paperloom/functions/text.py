@@ -78,8 +78,11 @@ def holds_every_word(hay: Column, words: Column | str) -> Column:
 
 def bigrams(c: Column | str) -> Column:
     """Distinct character bigrams of a title's letters."""
-    t = title_letters(c)
-    return F.when(F.length(t) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    letters = F.regexp_extract_all(title_letters(c), F.lit("(.)"), F.lit(1))
+    # cut into letters once: they are the one element that the outer function sees
+    pairs = lambda own: F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.concat(own[i - 1], own[i]))
+    none = F.array().cast("array<string>")
+    return F.transform(F.array(letters), lambda own: F.when(F.size(own) >= 2, F.array_distinct(pairs(own))).otherwise(none))[0]
 
 
 def title_similarity(a: Column | str, b: Column | str) -> Column:

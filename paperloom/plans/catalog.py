@@ -8,7 +8,7 @@ from ..functions import dialects
 from ..functions import normalize as N
 from ..functions import scoring as C
 from ..functions import text as X
-from ..operators import fusion, index, joins, library, memory, mutation, ordering, risk, search, usage
+from ..operators import fusion, index, joins, library, memory, mutation, ordering, risk, search, setjoin, usage
 from ..sources import datasets, markup, recorded
 from . import domains, literature
 from .registry import _BM25, _COS, _VEC, ASKED, QUERIES, kept_index, query, r, stored, t, vector_of
@@ -592,4 +592,47 @@ def index_refresh(spark, d):
     return done.vectors.select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("dim", "x"))
 
 
+# ---- titles and queries that are alike
+
+_LETTERS = "regexp_replace(lower(title), '[^a-z0-9一-鿿]+', '', 'g')"
+_KNOWN = rf"""line AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, 2000 + doc_id % 7 AS year FROM documents),
+known AS (SELECT doc_id AS ord, '10.1/' || doc_id AS doi, year, {_LETTERS} AS l FROM line WHERE doc_id % 4 > 0),
+asked AS (SELECT doc_id AS id, 2000 + doc_id % 5 AS year, regexp_replace(lower(regexp_replace(title, '^\S+\s+', '')), '[^a-z0-9一-鿿]+', '', 'g') AS l FROM line SEMI JOIN labels USING (doc_id)),
+kg AS (SELECT *, CASE WHEN length(l) > 1 THEN list_distinct([substr(l, i, 2) for i in range(1, length(l))]) ELSE [] END AS g FROM known), ag AS (SELECT *, CASE WHEN length(l) > 1 THEN list_distinct([substr(l, i, 2) for i in range(1, length(l))]) ELSE [] END AS g FROM asked),
+sims AS (SELECT a.id, k.ord, k.doi, a.year = k.year AS hit, CASE WHEN a.l = k.l AND a.l <> '' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.g, k.g)) / nullif(len(a.g) + len(k.g), 0) END AS sim FROM ag a JOIN kg k ON (len(k.g) >= 0.53 * len(a.g) AND len(a.g) >= 0.53 * len(k.g)) OR a.l = k.l),
+best AS (SELECT * FROM sims WHERE sim >= 0.7 QUALIFY row_number() OVER (PARTITION BY id ORDER BY hit DESC, CASE WHEN hit THEN 0 ELSE -sim END, ord) = 1)"""
+
+
+def _titles(spark, d):
+    line = t(spark, d, "documents").select("doc_id", F.element_at(F.split("text", "\n", 2), 1).alias("title"), (2000 + F.col("doc_id") % 7).alias("year"))
+    known = line.filter("doc_id % 4 > 0").select(F.col("doc_id").alias("ord"), "title", F.concat(F.lit("10.1/"), "doc_id").alias("doi"), "year")
+    asked = line.join(t(spark, d, "labels"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.regexp_replace("title", r"^\S+\s+", "").alias("title"), (2000 + F.col("doc_id") % 5).alias("year"))
+    return setjoin.resolve_titles(asked, known, X.bigrams, N.title_letters, lambda x: stored(spark, x))
+
+
+@query(f"WITH {_KNOWN} SELECT a.id, b.doi, round(b.sim, 6) AS similarity FROM asked a LEFT JOIN best b USING (id)")
+def resolved_titles(spark, d):
+    """First lines without their first word, resolved to the DOI of the best known title."""
+    return _titles(spark, d).select("id", "doi", r("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH {_KNOWN}, x AS (SELECT a.id, b.doi FROM asked a LEFT JOIN best b USING (id)), lib AS (SELECT DISTINCT '10.1/' || item_id AS doi FROM benchmark)
+SELECT id, doi, CASE WHEN doi IS NULL THEN 'unresolved' WHEN doi IN (SELECT doi FROM lib) THEN 'exists' WHEN row_number() OVER (PARTITION BY doi ORDER BY id) > 1 THEN 'duplicate' ELSE 'added' END AS status FROM x""")
+def title_receipts(spark, d):
+    """Receipts of an import of titles, each resolved first."""
+    library_dois = t(spark, d, "benchmark").select(F.concat(F.lit("10.1/"), "item_id").alias("doi"))
+    return mutation.receipts(_titles(spark, d), library_dois, "doi", "id").select("id", "doi", "status")
+
+
+@query("""WITH q AS (SELECT lower(trim(x)) AS k, arg_min(trim(x), ord) AS query, min(ord) AS ord FROM (SELECT doc_id AS ord, split_part(text, chr(10), 1) AS x FROM documents) WHERE trim(x) <> '' GROUP BY 1),
+s AS (SELECT ord, query, list_distinct(list_concat([w for w in regexp_extract_all(lower(query), '[a-z]{3,}|[0-9]+')], CASE WHEN len(regexp_extract_all(query, '[一-鿿]')) > 1 THEN [regexp_extract_all(query, '[一-鿿]')[i] || regexp_extract_all(query, '[一-鿿]')[i + 1] for i in range(1, len(regexp_extract_all(query, '[一-鿿]')))] ELSE [] END)) AS g FROM q),
+p AS (SELECT a.ord AS a, b.ord AS b FROM s a JOIN s b ON a.ord <> b.ord AND len(a.g) > 0 AND len(b.g) > 0 AND 2 * len(a.g) > len(b.g) AND 2 * len(b.g) > len(a.g) AND 3 * len(list_intersect(a.g, b.g)) > len(a.g) + len(b.g)),
+c AS (WITH RECURSIVE w AS (SELECT ord, ord AS here FROM s UNION SELECT w.ord, p.b FROM w JOIN p ON p.a = w.here) SELECT ord, min(here) AS cluster FROM w GROUP BY ord)
+SELECT cluster, arg_max(query, (length(query) >= 10 AND len(regexp_extract_all(query, '[a-zA-Z]+')) + len(regexp_extract_all(query, '[一-鿿]')) >= 2, length(query), ord)) AS query, count(*) AS size FROM s JOIN c USING (ord) GROUP BY cluster""")
+def query_clusters(spark, d):
+    """First lines as queries, one for each chain of alike ones."""
+    lines = t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.element_at(F.split("text", "\n", 2), 1).alias("query"))
+    return setjoin.query_clusters(lines, lambda x: stored(spark, x))
+
+
 NAMES = [n for n in QUERIES if n not in _before]
