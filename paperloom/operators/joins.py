@@ -57,16 +57,29 @@ def stale(stored: DataFrame, now: DataFrame, key: str, text: str) -> DataFrame:
     return now.join(s, F.col(key) == F.col("_k"), "left").filter(F.col("_k").isNull() | ~F.col(text).eqNullSafe(F.col("_t"))).drop("_k", "_t")
 
 
-def as_of(left: DataFrame, right: DataFrame, group: str, at: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, group: str, at: str, value: str, piece: Column | None = None) -> DataFrame:
     """``left`` with the last ``value`` of ``right`` at or before it, by group.
 
-    One union, one shuffle and one running last value; no range join.
+    One union, one shuffle and one running last value; no range join.  ``piece``
+    is a function of ``at`` that never falls as it rises, such as its day: a long
+    history is then dealt by (group, piece), and each piece gets the last value of
+    those before it from a table with a row for each of them.
     """
     rows = left.select(group, at, F.lit(1).alias("_side"), F.struct("*").alias("_row"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.lit(False).alias("_has"))
     marks = right.select(group, at, F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"), F.lit(True).alias("_has"))
-    w = Window.partitionBy(group).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both, by = rows.unionByName(marks), [group]
+    if piece is not None:
+        both, by = both.withColumn("_piece", piece), [group, "_piece"]
+    w = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_has"), F.struct(F.col("_v"))), ignorenulls=True).over(w)
-    return rows.unionByName(marks).withColumn("_last", last).filter("_side = 1").select("_row.*", F.col("_last._v").alias(value))
+    found = both.withColumn("_last", last).filter("_side = 1")
+    if piece is None:
+        return found.select("_row.*", F.col("_last._v").alias(value))
+    ends = both.groupBy(*by).agg(F.max_by(F.struct("_v"), F.when(F.col("_has"), F.struct(at, "_v"))).alias("_end"))
+    before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(group).alias("_g"), F.col("_piece").alias("_p"), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    out = found.join(carried, F.col(group).eqNullSafe(F.col("_g")) & F.col("_piece").eqNullSafe(F.col("_p")), "left")
+    return out.select("_row.*", F.coalesce("_last", "_carried")["_v"].alias(value))
 
 
 def page_of(spans: Column, offset: Column) -> Column:

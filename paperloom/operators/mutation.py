@@ -23,16 +23,16 @@ def insert_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str], order:
     """(table with new keys, receipt for each row): inserted, or ignored.
 
     Of several new rows with one key the first is inserted.  A key with a null
-    never collides.
+    never collides, so such rows meet in no window and no join.
     """
     known = table.select(*keys).distinct().withColumn("_known", F.lit(True))
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    judged = rows.withColumn("_n", n).join(known, list(keys), "left")
-    new = ~whole | (F.col("_known").isNull() & (F.col("_n") == 1))
-    judged = judged.withColumn("status", F.when(new, "inserted").otherwise("ignored"))
+    met = rows.filter(whole).withColumn("_n", n).join(known, list(keys), "left")
+    met = met.withColumn("status", F.when(F.col("_known").isNull() & (F.col("_n") == 1), "inserted").otherwise("ignored")).select(*rows.columns, "status")
+    judged = met.unionByName(rows.filter(~whole).withColumn("status", F.lit("inserted")))
     added = judged.filter("status = 'inserted'").select(*table.columns)
     return table.unionByName(added), judged.select(*rows.columns, "status")
 
@@ -128,6 +128,7 @@ def receipts(rows: DataFrame, library: DataFrame, key: str, order: str) -> DataF
     """
     known = library.select(F.col(key).alias("_k")).filter("_k is not null").distinct()
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    judged = rows.withColumn("_n", n).join(known, F.col(key) == F.col("_k"), "left")
-    status = F.when(F.col(key).isNull(), "unresolved").when(F.col("_k").isNotNull(), "exists").when(F.col("_n") > 1, "duplicate").otherwise("added")
-    return judged.withColumn("status", status).select(*rows.columns, "status")
+    judged = rows.filter(F.col(key).isNotNull()).withColumn("_n", n).join(known, F.col(key) == F.col("_k"), "left")
+    status = F.when(F.col("_k").isNotNull(), "exists").when(F.col("_n") > 1, "duplicate").otherwise("added")
+    judged = judged.withColumn("status", status).select(*rows.columns, "status")
+    return judged.unionByName(rows.filter(F.col(key).isNull()).withColumn("status", F.lit("unresolved")))

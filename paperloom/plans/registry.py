@@ -455,7 +455,7 @@ def asof_value(spark, d):
     """J18 at scale: the last value at or before each row."""
     e = t(spark, d, "events")
     marks = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
-    return joins.as_of(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), marks, "user_id", "ts", "last_value").select("event_id", "last_value")
+    return joins.as_of(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), marks, "user_id", "ts", "last_value", F.to_date("ts")).select("event_id", "last_value")
 
 
 @query("SELECT event_id, CASE WHEN value < 10 THEN NULL WHEN value < 50 THEN 1 ELSE 2 END::INTEGER AS page FROM events")
@@ -577,7 +577,7 @@ def chunk_documents(spark, d):
 @query()
 def pack_batches(spark, d):
     """Consecutive rows packed under a budget."""
-    return chunking.pack(t(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20_000)
+    return chunking.pack(t(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20_000, lambda x: stored(spark, x))
 
 
 # ---- orders and bounded lists

@@ -119,6 +119,32 @@ def test_pack_is_greedy_within_groups(spark):
     assert got == {("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("b", 1): 0, ("b", 2): 1}
 
 
+def test_pack_of_one_long_group_equals_a_fold(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "PIECE_ROWS", 40)
+    rng = random.Random(8)
+    rows = [("a", i, rng.choice([0, 1, 2, 3, 5, 8, 30, None]), {"x": i}) for i in range(900)] + [(None, i, rng.randrange(9), None) for i in range(50)] + [("z", i, 0, None) for i in range(130)]
+    df = spark.createDataFrame(rows, "g string, o int, n int, more struct<x:int>").repartition(6)
+    for budget in (0, 10, 57, 10_000):
+        want, state = {}, {}
+        for g, o, n, _ in rows:
+            batch, used = state.get(g, (0, None))
+            n = n or 0
+            batch, used = (batch, n) if used is None else (batch + 1, n) if used + n > budget else (batch, used + n)
+            state[g] = batch, used
+            want[g, o] = batch
+        out = chunking.pack(df, "g", "o", "n", budget, lambda x: registry.stored(spark, x)).collect()
+        assert len(out) == len(rows) and {(r.g, r.o): r.batch for r in out} == want
+        assert all(r.more.x == r.o for r in out if r.g == "a")
+
+
+def test_as_of_in_pieces(spark):
+    rng = random.Random(9)
+    left = spark.createDataFrame([(rng.randrange(3), rng.randrange(200)) for _ in range(150)] + [(None, 5)], "g int, at int").distinct()
+    right = spark.createDataFrame([(rng.randrange(2), k, None if k % 7 == 0 else k) for k in rng.sample(range(200), 60)] + [(None, 3, 9)], "g int, at int, v int")
+    plain = sorted(map(tuple, joins.as_of(left, right, "g", "at", "v").collect()), key=str)
+    assert sorted(map(tuple, joins.as_of(left, right, "g", "at", "v", F.floor(F.col("at") / 20)).collect()), key=str) == plain
+
+
 def test_display_order(spark):
     df = spark.createDataFrame([(1, "On graph neural nets", "2020", 5), (2, "Graph-neural work", "2021", None), (3, "Other", None, 9)], "ord int, title string, year string, citations int")
     order = lambda kind: [r.ord for r in df.orderBy(*ordering.display_order(kind, "graph neural")).collect()]
