@@ -31,6 +31,28 @@ def literature_search(spark, d):
     return found.select("ord", "title", "citations", "n_merged", "in_library")
 
 
+@query("""WITH j AS (SELECT p_partkey AS k, lpad(p_partkey::VARCHAR, 7, '0') || 'X' AS issn, 'E' || lpad(p_partkey::VARCHAR, 7, '0') AS eissn, p_size AS year, p_retailprice AS jif, 'Q' || (p_partkey % 6) AS q, p_name, p_brand FROM part),
+n AS (SELECT count(*) AS n FROM part), a AS (SELECT doc_id, doc_id % (SELECT n FROM n) AS k, doc_id % 3 AS kind FROM documents),
+f AS (SELECT doc_id, CASE kind WHEN 0 THEN lpad(k::VARCHAR, 7, '0') || 'X' WHEN 1 THEN 'E' || lpad(k::VARCHAR, 7, '0') END AS issn, k FROM a),
+m AS (SELECT * FROM j WHERE year = (SELECT max(year) FROM j)), c AS (SELECT * FROM j WHERE year = (SELECT max(year) FROM j WHERE k % 2 = 0) AND k % 2 = 0), x AS (SELECT * FROM j WHERE year = (SELECT max(year) FROM j WHERE k % 5 > 0) AND k % 5 > 0)
+SELECT f.doc_id, m.jif, CASE WHEN m.q IN ('Q1', 'Q2', 'Q3', 'Q4') THEN m.q END AS quartile, (c.k % 4 + 1)::INTEGER AS partition, c.k % 4 = 0 AS top, (x.k % 4 + 1)::INTEGER AS newer, x.k % 3 = 0 AS under_review,
+upper(p.p_brand) IN (SELECT upper(p_brand) FROM part WHERE p_retailprice < 905) AS warned, upper(p.p_brand) IN (SELECT upper(p_brand) FROM part WHERE p_size = 1) AS risky
+FROM f JOIN part p ON p.p_partkey = f.k LEFT JOIN m ON f.issn IN (m.issn, m.eissn) LEFT JOIN c ON f.issn IN (c.issn, c.eissn) LEFT JOIN x ON f.issn IN (x.issn, x.eissn)""")
+def journal_enrichment(spark, d):
+    """Articles of a search with impact, both partitions, warnings and risk of their journals, by ISSN, eISSN and name."""
+    part = t(spark, d, "part")
+    k = F.col("p_partkey")
+    own = F.lpad(k.cast("string"), 7, "0")
+    journals = part.select(k.alias("k"), F.concat(F.left(own, F.lit(4)), F.lit("-"), F.right(own, F.lit(3)), F.lit("x")).alias("issn"), F.concat(F.lit("e"), F.left(own, F.lit(3)), F.lit(" "), F.right(own, F.lit(4))).alias("eissn"), F.col("p_size").alias("year"), F.col("p_retailprice").alias("jif"), F.concat(F.lit("Q"), k % 6).alias("jif_quartile"), F.col("p_brand").alias("journal_name"), (k % 4 + 1).alias("major_quartile"), (k % 4 == 0).alias("is_top"), (k % 3 == 0).alias("is_under_review"))
+    n = part.count()
+    docs = t(spark, d, "documents").withColumn("k", F.col("doc_id") % n)
+    asked = docs.join(journals.select("k", "issn", "eissn", "journal_name"), "k")
+    issn = F.when(F.col("doc_id") % 3 == 0, F.upper("issn")).when(F.col("doc_id") % 3 == 1, F.upper("eissn"))
+    batch = asked.select(F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("doi"), F.lit("t").alias("title"), F.col("text").alias("abstract"), F.lit("a").alias("authors"), F.concat(F.lit(" "), "journal_name").alias("journal"), issn.alias("issn"), F.lit(2000).alias("year"), F.col("n_chars").alias("citations"), F.lit(True).alias("is_open_access"), F.lit(None).cast("string").alias("url"), "source")
+    found = literature.search(batch, journals, journals.filter("jif < 905"), batch.select("doi"), 2**31 - 1, partitions=journals.filter("k % 2 = 0"), newer=journals.filter("k % 5 > 0"), risky=journals.filter("year = 1"))
+    return found.select(F.col("ord").alias("doc_id"), "metric.jif", "metric.quartile", "cas.partition", "cas.top", "xr.newer", "xr.under_review", "warned", "risky")
+
+
 @query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'figshare' ELSE 'osf' END AS source, doc_id // 2 AS ord, left(md5(left(text, 30)), 10) AS id, 1990 + doc_id % 30 AS y, doc_id % 3 AS l FROM documents),
 q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS n FROM p QUALIFY n <= 250),
 u AS (SELECT *, ord * 2 + CASE source WHEN 'figshare' THEN 0 ELSE 1 END AS o FROM q WHERE source = 'figshare' OR TRUE),

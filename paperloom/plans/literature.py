@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dialects as D
@@ -18,33 +18,61 @@ def merge(batches: DataFrame) -> DataFrame:
     """Articles of all sources as one row for each DOI, in arrival order.
 
     Rows need ord, doi, title, abstract, authors, journal, year, citations,
-    is_open_access, url and source.
+    is_open_access, url and source; an issn is kept where there is one.
     """
     rows = batches.withColumn("sources", F.array("source"))
-    return dedup.merge_articles(rows, N.doi("doi"), fill=["doi", "authors", "journal", "url", "source"], long=["title", "abstract"], most=["citations", "is_open_access"], least=["year"])
+    own = [c for c in ("issn",) if c in batches.columns]
+    return dedup.merge_articles(rows, N.doi("doi"), fill=["doi", "authors", "journal", "url", "source", *own], long=["title", "abstract"], most=["citations", "is_open_access"], least=["year"])
 
 
-def enrich(articles: DataFrame, metrics: DataFrame, warnings: DataFrame) -> DataFrame:
-    """Journal metrics by name at their latest year, and whether the journal is warned of."""
-    last = metrics.join(F.broadcast(metrics.agg(F.max("year").alias("_y"))), F.col("year") == F.col("_y")).drop("_y")
-    out = joins.lookup(articles, N.journal_name("journal"), last.select("journal_name", "jif", N.quartile("jif_quartile").alias("quartile"), "year"), [N.journal_name("journal_name")], "year", "metric")
-    return joins.mark(out, N.journal_name("journal"), warnings, N.journal_name("journal_name"), "warned")
+def _latest(table: DataFrame) -> DataFrame:
+    """The rows of a table's last year."""
+    return table.join(F.broadcast(table.agg(F.max("year").alias("_y"))), F.col("year") == F.col("_y")).drop("_y")
+
+
+def _metric(articles: DataFrame, table: DataFrame, values: Sequence[Column], name: str) -> DataFrame:
+    """``articles`` with a table's values of their journal: by ISSN or eISSN where both sides have one, else by name."""
+    last = _latest(table)
+    if "issn" in articles.columns and "issn" in last.columns:
+        eissn = F.col("eissn") if "eissn" in last.columns else F.lit(None).cast("string")
+        keyed = last.select(N.issn("issn").alias("_i"), N.issn(eissn).alias("_e"), "year", *values)
+        return joins.lookup(articles, N.issn("issn"), keyed, [F.col("_i"), F.col("_e")], "year", name)
+    keyed = last.select(N.journal_name("journal_name").alias("_n"), "year", *values)
+    return joins.lookup(articles, N.journal_name("journal"), keyed, [F.col("_n")], "year", name)
+
+
+def enrich(articles: DataFrame, metrics: DataFrame, warnings: DataFrame, partitions: DataFrame | None = None, newer: DataFrame | None = None, risky: DataFrame | None = None) -> DataFrame:
+    """What the journal tables say of each article's journal.
+
+    Impact (jif, quartile), partitions (partition, top) and newer partitions
+    (newer, under_review) of their latest years are found by ISSN, warnings and risk
+    lists by name.  A missing table, key or match gives nulls or false.
+    """
+    out = _metric(articles, metrics, [F.col("jif"), N.quartile("jif_quartile").alias("quartile")], "metric")
+    if partitions is not None:
+        out = _metric(out, partitions, [F.col("major_quartile").cast("int").alias("partition"), F.col("is_top").alias("top")], "cas")
+    if newer is not None:
+        out = _metric(out, newer, [F.col("major_quartile").cast("int").alias("newer"), F.col("is_under_review").alias("under_review")], "xr")
+    out = joins.mark(out, N.journal_name("journal"), warnings, N.journal_name("journal_name"), "warned")
+    return out if risky is None else joins.mark(out, N.journal_name("journal"), risky, N.journal_name("journal_name"), "risky")
 
 
 def score(articles: DataFrame, as_of_year: int) -> DataFrame:
-    tier = C.journal_tier(F.col("warned"), F.col("metric.quartile"), F.lit(None).cast("int"), F.lit(None).cast("boolean"))
+    """The weighted total of citations, journal, recency and peer review."""
+    has = lambda table, value, kind: F.col(f"{table}.{value}") if table in articles.columns else F.lit(None).cast(kind)
+    tier = C.journal_tier(F.col("warned"), F.col("metric.quartile"), has("cas", "partition", "int"), has("cas", "top", "boolean"))
     total = C.half_up(0.33 * C.citation_band("citations") + 0.33 * tier + 0.17 * C.recency("year", as_of_year) + 0.17 * C.peer_review(F.lit("journalarticle"), F.col("doi").isNotNull()))
     return articles.withColumn("score", total)
 
 
-def search(batches: DataFrame, metrics: DataFrame, warnings: DataFrame, library: DataFrame, most: int, open_access: bool = False, words: str | None = None) -> DataFrame:
+def search(batches: DataFrame, metrics: DataFrame, warnings: DataFrame, library: DataFrame, most: int, open_access: bool = False, words: str | None = None, partitions: DataFrame | None = None, newer: DataFrame | None = None, risky: DataFrame | None = None) -> DataFrame:
     """union, merge, filter, enrich, cap and mark: one plan, in that order."""
     rows = merge(batches)
     if open_access:
         rows = rows.filter("is_open_access")
     if words:
         rows = rows.filter(X.holds_every_word(F.concat_ws(" ", "title", "authors", "journal", "abstract"), F.lit(words)))
-    rows = enrich(rows, metrics, warnings).orderBy("ord").limit(most)
+    rows = enrich(rows, metrics, warnings, partitions, newer, risky).orderBy("ord").limit(most)
     return joins.mark(rows, N.doi("doi"), library, N.doi("doi"))
 
 
