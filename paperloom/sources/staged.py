@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .replaceable import ReplaceableTable
 
 
 @dataclass(frozen=True)
@@ -19,33 +20,37 @@ class Stage:
     year: int | None = None
 
 
-def _held(spark: SparkSession, s: Stage) -> bool:
-    from pyspark.errors import AnalysisException
+def table(spark: SparkSession, s: Stage) -> ReplaceableTable:
+    """The stage's kept table, a partition for each year."""
+    return ReplaceableTable(spark, s.path, ["year"] if s.year is not None else [], "year" if s.year is not None else None, 1)
 
-    try:
-        df = spark.read.parquet(s.path)
-    except AnalysisException:  # nothing was kept yet
-        return False
-    return not (df if s.year is None else df.filter(F.col("year") == s.year)).isEmpty()
+
+def _held(spark: SparkSession, s: Stage) -> bool:
+    rows = table(spark, s).read(None if s.year is None else [str(s.year)])
+    return rows is not None and not rows.isEmpty()
 
 
 def run(spark: SparkSession, stages: Sequence[Stage]) -> DataFrame:
     """Imports what is missing; (name, state, rows, error) of every stage.
 
-    A stage that fails leaves the others alone and what it held before; an
-    empty source is a failure, not an empty table.
+    A source is read once.  Years other than the source's stay; a stage that fails
+    leaves the others alone and what it held before.  A source without rows, or
+    without rows of the expected year, is a failure.
     """
     said = []
     for s in stages:
-        if _held(spark, s):
-            said.append((s.name, "held", None, None))
-            continue
         try:
-            df = s.read()
-            n = df.count()
-            if not n:
-                raise ValueError("the source is empty")
-            df.write.mode("overwrite").parquet(s.path)
+            if _held(spark, s):
+                said.append((s.name, "held", None, None))
+                continue
+            kept = table(spark, s)
+            before = kept.versions.current()
+            now = kept.replace(s.read(), whole=True)
+            new = kept.read([p for p, folder in now["parts"].items() if before.get("parts", {}).get(p) != folder])
+            n = new.count()
+            if not n or (s.year is not None and str(s.year) not in now["parts"]):
+                kept.restore(before or {"parts": {}, "schema": now["schema"]})
+                raise ValueError("the source is empty" if not n else f"the source has no rows of {s.year}")
             said.append((s.name, "imported", n, None))
         except Exception as e:  # noqa: BLE001 (any failure is this stage's status)
             said.append((s.name, "failed", None, str(e).splitlines()[0][:200]))
