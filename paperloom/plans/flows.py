@@ -103,19 +103,37 @@ def _staged(spark, df, root: str):
     return spark.readStream.schema(df.schema).parquet(f"{root}/in")
 
 
-@query("""WITH a AS (SELECT doc_id AS ord, CASE WHEN length(text) >= 200 THEN '10.1/' || left(md5(left(text, 40)), 12) END AS doi, left(text, 60) AS title, n_chars AS citations FROM documents)
+@query("""WITH a AS (SELECT doc_id AS ord, CASE WHEN doc_id % 4 > 0 THEN '10.1/' || left(md5(text), 12) END AS doi, split_part(text, chr(10), 1) AS title, n_chars AS citations FROM documents)
 SELECT min(ord) AS ord, arg_max(title, (length(title), -ord)) AS title, max(citations) AS citations FROM a GROUP BY coalesce(doi, ord::VARCHAR)""")
 def stream_progressive_merge(spark, d):
-    """Batches of one search merged as they arrive; another search's batches are dropped."""
+    """Batches of one search merged by DOI as they arrive; another search's batches are dropped."""
     root = _scratch(spark)
-    rows = t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.when(F.length("text") >= 200, F.concat(F.lit("10.1/"), F.left(F.md5(F.left("text", F.lit(40))), F.lit(12)))).alias("doi"), F.left("text", F.lit(60)).alias("title"), F.col("n_chars").alias("citations"), F.array("source").alias("sources"), F.lit("now").alias("search_id"))
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("10.1/"), F.left(F.md5("text"), F.lit(12)))).alias("doi"), F.element_at(F.split("text", "\n", 2), 1).alias("title"), F.col("n_chars").alias("citations"), F.array("source").alias("sources"), F.lit("now").alias("search_id"))
     both = rows.unionByName(rows.withColumn("search_id", F.lit("old")).withColumn("citations", F.lit(10**9).cast("long")))
     both.repartition(3, "ord").write.parquet(f"{root}/in")
-    schema = "ord long, doi string, title string, citations long, sources array<string>"
-    table, last = feeds.Snapshots(spark, f"{root}/merged", schema), []
-    step = feeds.progressive_merge(table, "now")
-    feeds.run(feeds.files(spark, f"{root}/in", schema + ", search_id string"), f"{root}/ckpt", lambda b, n: (step(b, n), last.append(n)))
-    return table.read(max(last)).select("ord", "title", "citations")
+    table = feeds.merged_table(spark, f"{root}/merged", 16)
+    feeds.run(feeds.files(spark, f"{root}/in", "ord long, doi string, title string, citations long, sources array<string>, search_id string"), f"{root}/ckpt", feeds.progressive_merge(table, "now"))
+    return table.read().select("ord", "title", "citations")
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(value, 0) AS v FROM events WHERE user_id IS NOT NULL AND ts < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR)
+SELECT user_id, count(*) AS n, round(sum(v), 4) AS total FROM e GROUP BY user_id""")
+def stream_flushes(spark, d):
+    """Usage by user, buffered and flushed by count or time; up to two hours before the end, by when every buffer is flushed."""
+    root = _scratch(spark)
+    events = t(spark, d, "events").filter("user_id is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = events.agg(F.max("ts")).first()[0]
+    early = events.filter(F.col("ts") < F.lit(last) - F.expr("interval 2 hours")) if last else events
+    early.select("user_id", "ts", "value").sortWithinPartitions("ts").repartitionByRange(3, "ts").write.parquet(f"{root}/in/a")
+    # the last event moves the watermark on, so that no buffer stays open
+    events.filter(F.col("ts") == F.lit(last)).limit(1).select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), "ts", "value").write.parquet(f"{root}/in/b")
+    schema = events.select("user_id", "ts", "value").schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    # one batch for all files: what order they come in does not matter then
+    flushes = feeds.flushed(stream, "user_id", "ts", "value", seconds=3600)
+    flushes.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema("key long, flush long, n long, total double").parquet(f"{root}/out").filter("key >= 0")
+    return kept.groupBy(F.col("key").cast(events.schema["user_id"].dataType).alias("user_id")).agg(F.sum("n").alias("n"), r(F.sum("total")).alias("total"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0")
