@@ -12,9 +12,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ FOLDER_TOKENS, MOST_FOLDERS = 1_000_000, 4096
 LEAST_FOLDERS = 8
 #: Segments from which a change rewrites them as one.
 MOST_SEGMENTS = 8
+#: Tokens of a folder that one task writes.
+TASK_TOKENS = 8_000_000
 
 _POSTING = "term string, id long, f int, len int, segment int, bucket int"
 _LENGTH = "id long, len int, segment int"
@@ -107,7 +113,7 @@ class TextIndex:
         now = self.versions.current()
         mark, segment = self.versions.begin(), now["next"]
         self.lengths().select("id", "len").write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
-        self._write(self.postings().select("term", "id", "f", "len", "bucket"), segment, now["words"])
+        self._write(_packed(self.postings().select("term", "id", "f", "len", "bucket")), segment, now["folders"], now["words"])
         content = {k: v for k, v in now.items() if k != "version"} | {"segments": [segment], "next": segment + 1, "gone": False}
         self.versions.commit(content, mark, now["version"])
         for old in now["segments"]:
@@ -118,15 +124,14 @@ class TextIndex:
         return rows.select("id", F.size(_tokens("text")).alias("len")).withColumn("len", F.when(F.col("len") >= 0, F.col("len")))
 
     def _write_postings(self, rows: DataFrame, segment: int, folders: int, words: int) -> None:
-        found = rows.select("id", F.explode(_tokens("text")).alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("f"))
-        # each document's tokens are in one task, so the sums shuffle what will be written
-        lengths = self._read("lengths", _LENGTH, [segment]).select("id", "len")
-        self._write(found.join(lengths.hint("merge"), "id").withColumn("bucket", _bucket(F.col("term"), folders)), segment, words)
+        self._write(_counted(rows.select("id", _tokens("text").alias("tokens")), folders), segment, folders, words)
 
-    def _write(self, postings: DataFrame, segment: int, words: int) -> None:
-        parts = max(1, min(100_000, -(-words // FOLDER_TOKENS)))
-        dealt = postings.repartitionByRange(parts, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-        dealt.select("term", "id", "f", "len", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+    def _write(self, packs: DataFrame, segment: int, folders: int, words: int) -> None:
+        # a folder that holds a very frequent term is several tasks
+        salts = max(1, -(-words // (folders * TASK_TOKENS)))
+        dealt = packs.repartition(folders * salts, "bucket", F.pmod("salt", F.lit(salts)))
+        rows = _unpacked(dealt.select("bucket", "pack")).sortWithinPartitions("bucket", "term", "id")
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
 
     def _drop(self, segment: int) -> None:
         for kind in ("lengths", "postings", "gone"):
@@ -158,8 +163,7 @@ class TextIndex:
         now = self.versions.current()
         rows = self._read("postings", _POSTING, now["segments"])
         if terms is not None:
-            found = self.spark.range(1).select(*(_bucket(F.lit(x), now["folders"]).alias(f"b{i}") for i, x in enumerate(terms))).first() if terms else []
-            rows = rows.filter(F.col("bucket").isin(sorted(set(found)))).filter(F.col("term").isin(list(terms)))
+            rows = rows.filter(F.col("bucket").isin(sorted({_bucket(x, now["folders"]) for x in terms}))).filter(F.col("term").isin(list(terms)))
         return self._live(rows, now)
 
     def drift(self, docs: DataFrame, id_col: str = "doc_id", stamp: str = "") -> Drift:
@@ -202,11 +206,71 @@ def _tokens(text: str) -> Column:
     return F.when(has_cjk(text), tokens(text)).otherwise(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1))
 
 
-def _bucket(term: Column, folders: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+def _bucket(term: str, folders: int) -> int:
+    return crc32(term.encode()) % folders
+
+
+_PACK = "bucket int, salt long, pack binary"
+_OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def _by_bucket(bucket: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket, sorted by term, as one compressed cell."""
+    order = pc.sort_indices(pa.table({"b": bucket, "t": rows["term"], "i": rows["id"]}), [("b", "ascending"), ("t", "ascending"), ("i", "ascending")])
+    rows, bucket = rows.take(order), bucket[order.to_numpy()]
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    cells = []
+    for s, e in zip(start, [*start[1:], len(bucket)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=_OPTIONS) as out:
+            out.write_batch(rows.slice(s, e - s))
+        cells.append((int(bucket[s]), rows["id"][int(s)].as_py(), sink.getvalue().to_pybytes()))
+    if cells:
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cells], pa.int32()), pa.array([x[1] for x in cells], pa.int64()), pa.array([x[2] for x in cells], pa.binary())], names=["bucket", "salt", "pack"])
+
+
+def _counted(rows: DataFrame, folders: int) -> DataFrame:
+    """Postings of (id, tokens) by bucket, packed: a document's terms are counted where it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            found = batch.column(1).flatten().dictionary_encode()
+            terms = found.dictionary
+            many = max(1, len(terms))
+            entry, f = np.unique(np.repeat(np.arange(len(batch)), size) * np.int64(many) + found.indices.to_numpy(), return_counts=True)
+            doc, term = entry // many, entry % many
+            bucket = np.array([_bucket(x, folders) for x in terms.to_pylist()], np.int32)
+            made = pa.RecordBatch.from_arrays([terms.take(pa.array(term)), batch.column(0).take(pa.array(doc)), pa.array(f.astype(np.int32)), pa.array(size[doc].astype(np.int32))], names=["term", "id", "f", "len"])
+            yield from _by_bucket(bucket[term], made)
+
+    return rows.mapInArrow(run, _PACK)
+
+
+def _packed(postings: DataFrame) -> DataFrame:
+    """Postings (term, id, f, len, bucket), packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _by_bucket(batch["bucket"].to_numpy(), batch.select(["term", "id", "f", "len"]))
+
+    return postings.mapInArrow(run, _PACK)
+
+
+def _unpacked(packs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, cell in zip(batch["bucket"].to_pylist(), batch["pack"]):
+                for rows in pa.ipc.open_stream(cell.as_buffer()):
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(rows), bucket, np.int32))], names=["term", "id", "f", "len", "bucket"])
+
+    return packs.mapInArrow(run, "term string, id long, f int, len int, bucket int")
 
 
 def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
+    many, distinct = rows.agg(F.count("*"), F.count_distinct("id")).first()
+    if many == distinct:  # texts are shuffled only where ids repeat
+        return rows
     one = Window.partitionBy("id").orderBy(F.xxhash64("text"), "text")
     return rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")

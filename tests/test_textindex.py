@@ -91,7 +91,7 @@ def test_drift_and_rebuild(spark, path):
     assert index.drift(docs(spark, 1, [*range(19), 40]), stamp="a").reasons == ("largest id",)
 
     class Broken(textindex.TextIndex):
-        def _write(self, postings, segment, words):
+        def _write(self, packs, segment, folders, words):
             raise OSError("disk full")
 
     with pytest.raises(OSError):
