@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import risk
+from ..sources import payloads
 from ..sources.shared import shared_dir
 from ..streaming import feeds
 from . import domains, literature
@@ -53,7 +54,7 @@ def journal_enrichment(spark, d):
     return found.select(F.col("ord").alias("doc_id"), "metric.jif", "metric.quartile", "cas.partition", "cas.top", "xr.newer", "xr.under_review", "warned", "risky")
 
 
-@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'figshare' ELSE 'osf' END AS source, doc_id // 2 AS ord, left(md5(left(text, 30)), 10) AS id, 1990 + doc_id % 30 AS y, doc_id % 3 AS l FROM documents),
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'figshare' ELSE 'osf' END AS source, doc_id // 2 AS ord, left(md5(text), 10) AS id, 1990 + doc_id % 30 AS y, doc_id % 3 AS l FROM documents),
 q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS n FROM p QUALIFY n <= 250),
 u AS (SELECT *, ord * 2 + CASE source WHEN 'figshare' THEN 0 ELSE 1 END AS o FROM q WHERE source = 'figshare' OR TRUE),
 k AS (SELECT *, source || ':' || id AS key FROM u), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o) AS rn FROM k QUALIFY rn = 1)
@@ -61,9 +62,11 @@ SELECT o AS ord, key AS dedup_key, y::VARCHAR AS year FROM f WHERE y BETWEEN 199
 def domain_search(spark, d):
     """3.4, P01, P02, S16: one domain over recorded payloads, with gates, quota, merge and filters."""
     even = F.col("doc_id") % 2 == 0
-    payload = F.to_json(F.struct(F.left(F.md5(F.left("text", F.lit(30))), F.lit(10)).alias("id"), F.left("text", F.lit(30)).alias("title"), (1990 + F.col("doc_id") % 30).cast("string").alias("year"), F.when(F.col("doc_id") % 3 == 1, "CC-BY 4.0").otherwise("CC0").alias("license")))
-    payloads = t(spark, d, "documents").select(F.when(even, "figshare").otherwise("osf").alias("source"), F.floor(F.col("doc_id") / 2).alias("ord"), payload.alias("payload"))
-    rows, _ = domains.search(spark, payloads, "dataset", 500, {"year": "1995-2010", "license": "CC BY"}, chosen=["figshare", "osf"])
+    payload = F.to_json(F.struct(F.left(F.md5("text"), F.lit(10)).alias("id"), F.element_at(F.split("text", "\n", 2), 1).alias("title"), (1990 + F.col("doc_id") % 30).cast("string").alias("year"), F.when(F.col("doc_id") % 3 == 1, "CC-BY 4.0").otherwise("CC0").alias("license")))
+    recorded, root = t(spark, d, "documents").select(F.when(even, "figshare").otherwise("osf").alias("source"), F.floor(F.col("doc_id") / 2).alias("ord"), payload.alias("payload")), _scratch(spark)
+    payloads.write(recorded, root)
+    found = payloads.read(spark, root, ["figshare", "osf"]).filter("error is null").select("source", "ord", "payload")
+    rows, _ = domains.search(spark, found, "dataset", 500, {"year": "1995-2010", "license": "CC BY"}, chosen=["figshare", "osf"])
     return rows.select("ord", "dedup_key", "year")
 
 
