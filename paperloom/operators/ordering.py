@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from ..functions.normalize import phrase
 
 
-def display_order(kind: str, query: str = "", title: str = "title", year: str = "year", citations: str = "citations", order: str = "ord") -> list[Column]:
-    """Sort keys of a result list: relevance, date, citations or title."""
+def display_order(kind: str, query: str = "", title: str = "title", year: str = "year", citations: str = "citations", order: str = "ord", collation: str = "UNICODE") -> list[Column]:
+    """Sort keys of a result list: relevance, date, citations or title.
+
+    Titles compare by a collation: letters before accents before case, ``UNICODE``
+    or a language's own such as ``de`` or ``es``.
+    """
     keys = {
         "relevance": [],
         "date": [F.desc_nulls_last(F.col(year).cast("string"))],
         "citations": [F.desc(F.coalesce(citations, F.lit(0)))],
-        "title": [F.desc(title_tier(F.col(title), query)), F.lower(title)],
+        "title": [F.desc(title_tier(F.col(title), query)), F.collate(title, collation)],
     }
     return [*keys[kind], F.asc(order)]
 

@@ -25,6 +25,8 @@ from . import search
 
 #: Members of a chunk, and visitors that meet one chunk in one task.
 CHUNK_ROWS, VISITORS = 4096, 1 << 16
+#: Rows that a unit gathers before it joins them.
+HELD = 1 << 17
 #: Rows of a matrix product.
 SLICE = 256
 MOST_PIVOTS = 256
@@ -196,7 +198,7 @@ _OPEN, _LEADER, _MEMBER = 0, 1, 2
 
 
 def _told_of(threshold: float):
-    """Per batch of like pairs, one row for each later vector that is open: its earliest leader, and whether it waits."""
+    """Per unit of work, one row for each later vector that is open: its earliest leader, and whether it waits."""
 
     def told(home, part, x, y, cos) -> Iterator[pa.RecordBatch]:
         first, other = home[0][x], part[0][y]
@@ -206,18 +208,40 @@ def _told_of(threshold: float):
         keep = (early != late) & (late_state != _LEADER) & (state != _MEMBER)
         early, late, state, cos = early[keep], late[keep], state[keep], cos[keep]
         led = state == _LEADER
-        order = np.lexsort((early, ~led, late))
-        ids, at = np.unique(late[order], return_index=True)
-        best = order[at]
-        waits = np.bincount(np.searchsorted(ids, late), ~led, len(ids)) > 0
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(early[best], mask=~led[best]), pa.array(cos[best], mask=~led[best]), pa.array(waits)], names=["id", "leader", "similarity", "waits"])
+        yield _joined(late, early, led, cos, ~led)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _meet(batches, threshold, told)
+        held: list[pa.RecordBatch] = []
+        unit: list[np.ndarray] = [np.zeros(0)]
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            led = t["leader"].is_valid().to_numpy()
+            return _joined(t["id"].to_numpy(), t["leader"].fill_null(0).to_numpy(), led, t["similarity"].fill_null(0).to_numpy(), t["waits"].to_numpy())
+
+        def gathered(home, part, x, y, cos) -> Iterator[pa.RecordBatch]:
+            if held and (unit[0] is not home[0] or sum(map(len, held)) > HELD):
+                yield out()
+                held.clear()
+            unit[0] = home[0]
+            held.extend(told(home, part, x, y, cos))
+
+        yield from _meet(batches, threshold, gathered)
+        if held:
+            yield out()
 
     return run
 
 
+def _joined(ids: np.ndarray, leader: np.ndarray, led: np.ndarray, cos: np.ndarray, waits: np.ndarray) -> pa.RecordBatch:
+    """One row for each id: its earliest leader if it has any, and whether it waits for an open vector."""
+    order = np.lexsort((leader, ~led, ids))
+    own, at = np.unique(ids[order], return_index=True)
+    best = order[at]
+    waiting = np.bincount(np.searchsorted(own, ids), waits, len(own)) > 0
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(leader[best], mask=~led[best]), pa.array(cos[best], mask=~led[best]), pa.array(waiting)], names=["id", "leader", "similarity", "waits"])
+
+
 def _heard(rows: DataFrame, threshold: float, centres: np.ndarray) -> DataFrame:
     """(id, x, waits): for vectors that are like an earlier leader or open vector, the earliest leader with its similarity."""
     found = units(rows, threshold, centres).mapInArrow(_told_of(threshold), "id long, leader long, similarity double, waits boolean")

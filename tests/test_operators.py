@@ -119,6 +119,29 @@ def test_pack_is_greedy_within_groups(spark):
     assert got == {("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("b", 1): 0, ("b", 2): 1}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_titles_sort_by_collation(spark):
+    """First words of real texts, some upper-cased, against the same rules by hand: letters, then accents, then case."""
+    import unicodedata
+
+    words = {w for r in registry.t(spark, "/root/testdata/sf0.01", "documents").select(F.regexp_extract("text", r"^([\p{L}]+)", 1).alias("w")).collect() if (w := r.w) and not set(w.lower()) & set("ßæœøłı")}
+    words |= {w.upper() for w in sorted(words)[::3]} | {"apple", "Apple", "äpfel", "apfel", "Apfel", "ñandú", "nandu", "Zebra", "zebra", "éa", "eb"}
+
+    def key(w):
+        split = unicodedata.normalize("NFD", w)
+        letters = [c for c in split if not unicodedata.combining(c)]
+        marks = [[]]
+        for c in split[1:]:
+            marks[-1].append(c) if unicodedata.combining(c) else marks.append([])
+        return "".join(letters).lower(), marks, [c.isupper() for c in letters]
+
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(sorted(words))], "ord int, title string")
+    got = [r.title for r in rows.orderBy(*ordering.display_order("title")).collect()]
+    assert got == sorted(words, key=key) and got != sorted(words) and len(got) > 100
+    spanish = [r.title for r in rows.filter("title in ('nandu', 'ñandú', 'Zebra')").orderBy(*ordering.display_order("title", collation="es")).collect()]
+    assert spanish == ["nandu", "ñandú", "Zebra"]
+
+
 def test_pack_of_one_long_group_equals_a_fold(spark, monkeypatch):
     monkeypatch.setattr(chunking, "PIECE_ROWS", 40)
     rng = random.Random(8)
