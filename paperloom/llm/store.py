@@ -1,8 +1,8 @@
 """Shared-folder materialisation: cuts lineage and gives the optimizer real sizes.
 
-Everything written here lands under ``spark.checkpoint.dir`` (or, where that is
-unset, under the warehouse folder, which executors share as well), so a lost
-executor never takes an intermediate result with it.
+Everything written here lands under ``spark.checkpoint.dir``, so a lost executor
+never takes an intermediate result with it.  Where that is unset, a session on one
+machine uses its warehouse folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can read and write."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     return base.rstrip("/")
 
