@@ -574,6 +574,13 @@ def chunk_documents(spark, d):
     return chunking.chunk(t(spark, d, "documents")).select("doc_id", "chunk_index", "category", "start", "end", "chunk_text")
 
 
+@query()
+def lateral_chunks(spark, d):
+    """The same chunks by a table function that SQL calls for each text."""
+    chunking.register(spark)
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.category, c.start, c.end, c.chunk_text FROM {docs} d, LATERAL text_chunks(d.text) c", docs=t(spark, d, "documents"))
+
+
 @query("""WITH RECURSIVE o AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
 w AS (SELECT source, i, n AS used, 0 AS batch FROM o WHERE i = 1 UNION ALL SELECT o.source, o.i, CASE WHEN used + n > 20000 THEN n ELSE used + n END, batch + CASE WHEN used + n > 20000 THEN 1 ELSE 0 END FROM w JOIN o ON o.source IS NOT DISTINCT FROM w.source AND o.i = w.i + 1)
 SELECT d.source, d.doc_id, d.n_chars, w.batch::INTEGER AS batch FROM documents d JOIN o ON o.doc_id = d.doc_id JOIN w ON w.source IS NOT DISTINCT FROM o.source AND w.i = o.i""")

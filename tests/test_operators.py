@@ -113,6 +113,17 @@ def test_sections_and_chunks_cover_the_text(spark):
     assert plain[0].start == 0 and plain[-1].end == 4200 and {r.category for r in plain} == {"fallback"}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables are not here")
+def test_table_function_gives_the_same_chunks(spark):
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, registry.chunk_documents(spark, d).collect()))
+    assert sorted(map(tuple, registry.lateral_chunks(spark, d).collect())) == want and want
+    chunking.register(spark)
+    some = spark.createDataFrame([(1, None), (2, ""), (3, "Abstract\nWe show.\nReferences\n[1]")], "id int, text string")
+    got = spark.sql("SELECT id, c.category FROM {some}, LATERAL text_chunks(text) c ORDER BY id, chunk_index", some=some).collect()
+    assert [tuple(r) for r in got] == [(3, "abstract"), (3, "references")]
+
+
 def test_pack_is_greedy_within_groups(spark):
     df = spark.createDataFrame([("a", 1, 6), ("a", 2, 5), ("a", 3, 5), ("b", 1, 99), ("b", 2, 1)], "g string, o int, n int")
     got = {(r.g, r.o): r.batch for r in chunking.pack(df, "g", "o", "n", 10).collect()}
