@@ -281,12 +281,13 @@ def highlight_segments(spark, d):
     return t(spark, d, "documents").select("doc_id", library.highlighted(F.left("text", F.lit(500)), ["the", "there"]).alias("marked"))
 
 
-@query("SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'a < b & c' WHEN 1 THEN 'é😀A' WHEN 2 THEN '&lt; &#; &#xD800; it''s' ELSE s_name END AS decoded FROM supplier")
+@query("""WITH x AS (SELECT page_id, replace(replace(replace(replace(replace(html || '&lt;p&gt; &amp;lt; &quot;' || url || '&quot; it&apos;s', '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS t FROM pages)
+SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM x""")
 def xml_entities(spark, d):
-    """Named and numeric entities, each decoded once."""
-    s = F.col("s_suppkey")
-    raw = F.when(s % 4 == 0, "a &lt; b &amp; c").when(s % 4 == 1, "&#233;&#x1F600;&#65;").when(s % 4 == 2, "&amp;lt; &#; &#xD800; it&apos;s").otherwise(F.col("s_name"))
-    return t(spark, d, "supplier").select(s.alias("id"), library.xml_text(raw).alias("decoded"))
+    """Entities of whole pages, each decoded once."""
+    raw = F.concat("html", F.lit("&lt;p&gt; &amp;lt; &quot;"), "url", F.lit("&quot; it&apos;s"))
+    found = t(spark, d, "pages").select("page_id", library.xml_text(raw).alias("t"))
+    return found.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n_chars"))
 
 
 @query("""SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'intro' WHEN 1 THEN 'method' WHEN 2 THEN 'references' WHEN 3 THEN NULL WHEN 4 THEN 'conclusion' ELSE 'abstract' END AS section FROM supplier""")
@@ -297,18 +298,25 @@ def heading_sections(spark, d):
     return t(spark, d, "supplier").select(s.alias("id"), X.section(line).alias("section"))
 
 
-@query("SELECT s_suppkey AS id, CASE s_suppkey % 2 WHEN 0 THEN 'graph neural net' ELSE '10.1234/a-b' END AS folded FROM supplier")
+_FOLD = r"([\p{L}\p{N}])[-_]([\p{L}\p{N}])"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, trim(replace(text, ' ', CASE doc_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE ' - ' END), ' ') AS q FROM documents)
+SELECT doc_id, md5(regexp_replace(regexp_replace(q, '{_FOLD}', '\1 \2', 'g'), '{_FOLD}', '\1 \2', 'g')) AS folded FROM x""")
 def folded_queries(spark, d):
-    """Hyphens and underscores between letters as spaces; identifiers stay."""
-    asked = F.when(F.col("s_suppkey") % 2 == 0, " graph-neural_net ").otherwise("10.1234/a-b")
-    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), X.fold_query(asked).alias("folded"))
+    """Hyphens and underscores between letters of whole texts as spaces."""
+    joint = F.when(F.col("doc_id") % 3 == 0, "-").when(F.col("doc_id") % 3 == 1, "_").otherwise(" - ")
+    asked = t(spark, d, "documents").select("doc_id", F.replace("text", F.lit(" "), joint).alias("q"))
+    return asked.select("doc_id", F.md5(X.fold_query("q")).alias("folded"))
 
 
-@query("SELECT s_suppkey AS id, 'deep nets for ' || s_suppkey AS abstract FROM supplier")
+@query("SELECT doc_id, md5(text) AS abstract, len(string_split(text, ' ')) AS n_words FROM documents WHERE text IS NOT NULL")
 def inverted_abstracts(spark, d):
-    """Texts of inverted abstracts."""
-    index = F.create_map(F.lit("nets"), F.array(F.lit(1)), F.col("s_suppkey").cast("string"), F.array(F.lit(3)), F.lit("deep"), F.array(F.lit(0)), F.lit("for"), F.array(F.lit(2)))
-    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), X.abstract_text(index).alias("abstract"))
+    """Whole texts out of their inverted form, a map of word to positions."""
+    words = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("at", "word"))
+    index = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
+    index = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"), F.sum(F.size("places")).alias("n_words"))
+    return index.select("doc_id", F.md5(X.abstract_text("index")).alias("abstract"), "n_words")
 
 
 @query("""SELECT row_number() OVER (ORDER BY doc_id)::INTEGER AS n, '[' || row_number() OVER (ORDER BY doc_id) || '] ' || left(md5(text), 8) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Authors: ' || lang ELSE '' END || chr(10) || 'Journal: ' || source || chr(10) || 'Year: 2000' AS block FROM documents ORDER BY doc_id LIMIT 50""")
