@@ -1,7 +1,7 @@
 """Ranked lexical search with block-max pruning over a kept forward index.
 
 ``build`` tokenises documents once.  A block is a range of documents as they lie
-in the table, about ``CHUNK_BYTES`` of text.  Its head lists its terms with, for
+in the table, about ``BLOCK_BYTES`` of text.  Its head lists its terms with, for
 each, the number of documents that hold it, its largest frequency and the least
 ratio of a document's length to its frequency; its body is the forward index:
 documents, their lengths, and their terms with frequencies.  Nothing in a block
@@ -47,6 +47,8 @@ from .textkernel import PUNCTUATION, chunks
 
 #: Terms are the maximal matches, A-Z lower-cased.
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Text of a block: its bounds are the looser, the more documents share its maxima.
+BLOCK_BYTES = 1 << 15
 #: Items, and bytes of their texts, that travel to all blocks at once.
 QUERIES = 1024
 QUERY_BYTES = 8 << 20
@@ -101,7 +103,7 @@ def build(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for a, b, chunk in chunks(batch.column(1), breaks=PUNCTUATION):
+            for a, b, chunk in chunks(batch.column(1), limit=BLOCK_BYTES, breaks=PUNCTUATION):
                 if found := _block(ids[a:b], chunk):
                     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], names=["docs", "words", "head", "body"])
 
