@@ -24,6 +24,12 @@ def lookup(facts: DataFrame, key: Column, dim: DataFrame, keys: Sequence[Column]
     return facts.withColumn("_fact", key).join(d, F.col("_fact") == F.col("_dim"), "left").drop("_fact", "_dim")
 
 
+def every_match(facts: DataFrame, key: Column, dim: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
+    """``facts`` with each different dimension row that has the key as any of its keys; once, with a null, without a match."""
+    d = dim.select(F.explode(F.array_distinct(F.array(*keys))).alias("_dim"), F.struct("*").alias(name)).filter("_dim is not null").distinct()
+    return facts.withColumn("_fact", key).join(d, F.col("_fact") == F.col("_dim"), "left").drop("_fact", "_dim")
+
+
 def cascade(facts: DataFrame, ladder: Sequence[tuple[Column, DataFrame, Sequence[Column], str]], name: str) -> DataFrame:
     """The first match down a ladder of look-ups, with the step that made it."""
     out = facts

@@ -92,6 +92,18 @@ def test_as_of_takes_the_last_at_or_before(spark):
     assert {(r.g, r.at): r.v for r in joins.as_of(left, right, "g", "at", "v").collect()} == {(1, 5): 20, (1, 1): None, (2, 9): None}
 
 
+def test_or_key_lookup_gives_every_match(spark, tmp_path):
+    # supplier 10001 has the same key as supplier 1 by its second; rows of one key and name count once
+    spark.createDataFrame([(1, "a"), (10001, "b"), (2, "c"), (2, "c"), (2, "d"), (None, "n")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, 1, 1), (8, 1, 2), (9, 2, 3), (10, 5, 1), (11, None, 1), (12, 10001, 1)], "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.l_orderkey, r.s_name) for r in registry.or_key_lookup(spark, str(tmp_path)).collect())
+    con = pytest.importorskip("duckdb").connect()
+    for name in ("supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted((r[0], r[2]) for r in con.execute(registry.ORACLE_SQL["or_key_lookup"]).fetchall())
+    assert got == want == [(7, "a"), (8, "a"), (8, "b"), (9, "c"), (9, "d"), (10, None), (11, None), (12, "a"), (12, "b")]
+
+
 def test_insert_absent(spark):
     table = spark.createDataFrame([(1, "a")], "k int, v string")
     rows = spark.createDataFrame([(1, "x", 1), (2, "y", 2), (2, "z", 3), (None, "n", 4), (None, "m", 5)], "k int, v string, ord int")
