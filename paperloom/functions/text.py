@@ -236,6 +236,23 @@ def fold_query(c: Column | str) -> Column:
     return F.when(identifier_query(c).isNotNull(), c).otherwise(folded)
 
 
+def inverted_text(c: Column | str) -> Column:
+    """A text's inverted form, a map of each word between blanks to its positions; null without a text.
+
+    Words are sorted once and cut where the next one differs, all in the row of the text.
+    """
+    words = F.array_sort(F.transform(F.split(_col(c), " ", -1), lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+
+    def entries(own: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (own[i]["word"] != own[F.greatest(i - 1, F.lit(0))]["word"]))
+        ends = lambda s: F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(own)))
+        cut = lambda s, e: F.struct(own[s]["word"].alias("word"), F.transform(F.slice(own, s + 1, e - s), lambda x: x["at"]).alias("places"))
+        return F.transform(F.array(starts), lambda s: F.zip_with(s, ends(s), cut))[0]
+
+    # sorted and cut once: they are the one element that the outer functions see
+    return F.map_from_entries(F.transform(F.array(words), entries)[0])
+
+
 def abstract_text(index: Column | str) -> Column:
     """Text of an inverted abstract, a map of word to positions."""
     flat = F.flatten(F.transform(F.map_entries(_col(index)), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))

@@ -313,10 +313,9 @@ def folded_queries(spark, d):
 @query("SELECT doc_id, md5(text) AS abstract, len(string_split(text, ' ')) AS n_words FROM documents WHERE text IS NOT NULL")
 def inverted_abstracts(spark, d):
     """Whole texts out of their inverted form, a map of word to positions."""
-    words = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("at", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
-    index = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"), F.sum(F.size("places")).alias("n_words"))
-    return index.select("doc_id", F.md5(X.abstract_text("index")).alias("abstract"), "n_words")
+    index = t(spark, d, "documents").filter("text is not null").select("doc_id", X.inverted_text("text").alias("index"))
+    n_words = F.aggregate(F.map_values("index"), F.lit(0).cast("long"), lambda n, places: n + F.size(places))
+    return index.select("doc_id", F.md5(X.abstract_text("index")).alias("abstract"), n_words.alias("n_words"))
 
 
 @query("""SELECT row_number() OVER (ORDER BY doc_id)::INTEGER AS n, '[' || row_number() OVER (ORDER BY doc_id) || '] ' || left(md5(text), 8) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Authors: ' || lang ELSE '' END || chr(10) || 'Journal: ' || source || chr(10) || 'Year: 2000' AS block FROM documents ORDER BY doc_id LIMIT 50""")

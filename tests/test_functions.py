@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import normalize as N
 from paperloom.functions import scoring as C
 from paperloom.functions import text as X
+from paperloom.plans import catalog
 
 
 def one(spark, values, f):
@@ -77,6 +78,20 @@ def test_tier_takes_the_lower_ranking(spark):
     assert pick(None, None, None, None) == 0
 
 
+def test_inverted_text_stays_in_its_row(spark, tmp_path):
+    texts = ["b a b  a\nc a", "", " ", "x", None, "a b a", "é a\u00a0a é", " ".join(f"w{i * i % 700}" for i in range(5000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rows.select("text", X.inverted_text("text").alias("m")).collect():
+        want = {}
+        for i, w in enumerate(r.text.split(" ") if r.text is not None else []):
+            want.setdefault(w, []).append(i)
+        assert r.m == (want if r.text is not None else None)
+    # rows of one id are two texts, and no word is shuffled
+    rows.unionByName(rows.filter("doc_id < 2")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.inverted_abstracts(spark, str(tmp_path))
+    assert out.count() == 9 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_half_up_and_fusion(spark):
     assert spark.range(1).select(C.half_up(F.lit(-0.5)), C.fuse(F.lit(0), F.lit(90)), C.fuse(F.lit(50), F.lit(100))).first()[:] == (0, 50, 65)
 
