@@ -33,6 +33,8 @@ LEAST_FOLDERS = 8
 MOST_SEGMENTS = 8
 #: Tokens of a folder that one task writes.
 TASK_TOKENS = 8_000_000
+#: Tokens whose postings a task makes at once; one text may have more.
+BATCH_TOKENS = 1_000_000
 
 _POSTING = "term string, id long, f int, len int, segment int, bucket int"
 _LENGTH = "id long, len int, segment int"
@@ -229,11 +231,21 @@ def _by_bucket(bucket: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cells], pa.int32()), pa.array([x[1] for x in cells], pa.int64()), pa.array([x[2] for x in cells], pa.binary())], names=["bucket", "salt", "pack"])
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (id, tokens) in parts of ``BATCH_TOKENS``, whatever the texts' length."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    s = 0
+    while s < len(batch):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + BATCH_TOKENS, "right")))
+        yield batch.slice(s, e - s)
+        s = e
+
+
 def _counted(rows: DataFrame, folders: int) -> DataFrame:
     """Postings of (id, tokens) by bucket, packed: a document's terms are counted where it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
             found = batch.column(1).flatten().dictionary_encode()
             terms = found.dictionary

@@ -136,3 +136,28 @@ def test_two_writers_of_one_version(spark, path):
     a.folder.create("manifests/00000002.json", '{"x": ')  # a writer died
     assert a.current() == {"x": 1, "version": 1}
     assert a.commit({"x": 3}, a.begin(), 1) == {"x": 3, "version": 3} == b.current()
+
+
+def test_memory_of_postings_is_bounded_by_tokens():
+    """A batch of long texts is counted in parts, whose postings are those of the whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    tokens = [rng.choices(words, k=k) for k in [3000] * 1200 + [0, 1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1203)), pa.array([*tokens, None], pa.list_(pa.string()))], names=["id", "tokens"])
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = textindex._counted(Rows(), 8)
+    tracemalloc.start()
+    packs = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = sorted(r for x in packs for cell in x["pack"] for rows in pa.ipc.open_stream(cell.as_buffer()) for r in zip(*(c.to_pylist() for c in rows.columns)))
+    assert got == sorted((t, i, own.count(t), len(own)) for i, own in enumerate(tokens) for t in set(own))
+    assert len(packs) > 1 and peak < 80e6
