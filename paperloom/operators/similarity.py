@@ -29,6 +29,8 @@ CHUNK_ROWS, VISITORS = 4096, 1 << 16
 HELD = 1 << 17
 #: Rows of a matrix product.
 SLICE = 256
+#: Rows that placing makes at once, and pairs whose exact cosines are taken at once.
+PLACED, PAIRS = 1 << 15, 1 << 14
 MOST_PIVOTS = 256
 #: Slack of the bounds, in radians and in cosine.
 TINY = 1e-6
@@ -54,7 +56,9 @@ def units(rows: DataFrame, threshold: float, centres: np.ndarray) -> DataFrame:
 
     def placed(radius: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            # a row may visit every pivot, so a batch is taken in steps whose visits are bounded
+            step = max(1, PLACED // len(centres))
+            for batch in (b.slice(k, step) for b in batches for k in range(0, len(b), step)):
                 angle = np.arccos(np.clip(_unit(_matrix(batch, "v")) @ centres.T, -1, 1))
                 own = angle.argmin(axis=1)
                 if radius is None:
@@ -110,7 +114,7 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float, told) -> Iterator
             x, y = np.nonzero(home[3] @ part[3].T >= threshold - TINY)
             if same:
                 x, y = x[x < y + s], y[x < y + s]
-            cos = exact(home[1][x], part[1][y])
+            cos = np.concatenate([np.zeros(0), *(exact(home[1][x[k : k + PAIRS]], part[1][y[k : k + PAIRS]]) for k in range(0, len(x), PAIRS))])
             x, y, cos = x[cos >= threshold], y[cos >= threshold], cos[cos >= threshold]
             if len(x):
                 yield from told(home, part, x, y, cos)

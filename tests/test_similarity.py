@@ -88,3 +88,40 @@ def test_edges(spark, kept):
         similarity.pairs(empty, 0.0, kept)
     twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], SCHEMA)
     assert {(r.leader, r.member) for r in similarity.leaders(twice, 0.9, kept).collect()} == {(1, 2)}
+
+
+def test_memory_of_placing_and_of_alike_vectors_is_bounded(spark):
+    """Rows that visit all pivots are made in steps, and pairs that are all alike are summed in steps."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    vectors = np.abs(rng.normal(size=(4096, 32)))
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), 32).cast(pa.list_(pa.float64()))
+    ids, state = pa.array(np.arange(4096)), pa.array(np.zeros(4096, np.int32))
+    rows = spark.createDataFrame([(i, vectors[i].tolist(), 0) for i in range(4096)], "id long, v array<double>, state int")
+
+    class Seen:
+        schema, runs = rows.schema, []
+
+        def mapInArrow(self, run, schema):
+            self.runs.append(run)
+            if len(self.runs) == 2:
+                raise InterruptedError
+            return rows.mapInArrow(run, schema)
+
+    with pytest.raises(InterruptedError):
+        similarity.units(Seen(), 0.1, similarity._unit(vectors[:64]))
+    batch = pa.RecordBatch.from_arrays([ids, lists, state], names=["id", "v", "state"])
+    made = [len(x) for x in Seen.runs[1](iter([batch]))]
+    assert max(made) <= 2 * similarity.PLACED and sum(made) > 3 * similarity.PLACED
+
+    unit = pa.array(np.zeros(4096, np.int32))
+    side = pa.array((np.arange(4096) >= 2048).astype(np.int32))
+    met = pa.RecordBatch.from_arrays([unit, unit, unit, side, ids, lists, state], names=["c", "u", "s", "side", "id", "v", "state"])
+    tracemalloc.start()
+    told = sum(len(x) for x in similarity._told_of(0.1)(iter([met])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told >= 4095 and peak < 150e6
