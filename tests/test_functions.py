@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import normalize as N
 from paperloom.functions import scoring as C
 from paperloom.functions import text as X
-from paperloom.plans import catalog
+from paperloom.plans import catalog, registry
 
 
 def one(spark, values, f):
@@ -78,7 +78,7 @@ def test_tier_takes_the_lower_ranking(spark):
     assert pick(None, None, None, None) == 0
 
 
-def test_inverted_text_stays_in_its_row(spark, tmp_path):
+def test_inverted_text_stays_in_its_row(spark):
     texts = ["b a b  a\nc a", "", " ", "x", None, "a b a", "é a\u00a0a é", " ".join(f"w{i * i % 700}" for i in range(5000))]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in rows.select("text", X.inverted_text("text").alias("m")).collect():
@@ -86,10 +86,13 @@ def test_inverted_text_stays_in_its_row(spark, tmp_path):
         for i, w in enumerate(r.text.split(" ") if r.text is not None else []):
             want.setdefault(w, []).append(i)
         assert r.m == (want if r.text is not None else None)
-    # rows of one id are two texts, and no word is shuffled
+
+
+def test_inverted_abstracts_shuffle_no_word(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "b a b"), (1, ""), (2, None)], "doc_id long, text string")
     rows.unionByName(rows.filter("doc_id < 2")).write.parquet(f"{tmp_path}/documents.parquet")
     out = catalog.inverted_abstracts(spark, str(tmp_path))
-    assert out.count() == 9 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 4 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_half_up_and_fusion(spark):
@@ -102,6 +105,11 @@ def test_fusion_of_whole_numbers_is_exact(spark):
     assert [r.got for r in got] == [r.want for r in got]
 
 
+def test_score_fusion_rounds_halves_up(spark, tmp_path):
+    spark.createDataFrame([(1, 19.0, 144), (2, 67.0, 902), (3, None, 1)], "event_id long, value double, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r[:] for r in registry.score_fusion(spark, str(tmp_path)).collect()) == [(1, 57), (2, 318), (3, None)]
+
+
 def test_cosine_of_nothing_is_zero(spark):
     assert spark.range(1).select(C.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()[0] == 0.0
 
