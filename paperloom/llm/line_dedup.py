@@ -87,12 +87,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     with Scratch(spark) as own:
         posted = own.write(postings(docs, min_words, id_col, text), "postings")
         marks = own.write(posted.groupBy("mark").agg(F.count("*").alias("many")).filter("many > 1"), "marks")
-        found = own.write(extents(join_counted(posted, marks, ["mark"], posted.count()), min_words), "extents")
+        found = own.write(extents(join_counted(posted, marks, ["mark"]), min_words), "extents")
 
         place = F.struct(F.col("d").isNull().alias("late"), "d", "t", "a")
         first = found.groupBy("mark", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("many")).filter("first <> last").drop("last")
         first = own.write(first, "first")
-        later = join_counted(found, first, ["mark", "body"], found.count()).filter(place != F.col("first")).select("d", "t", "a", "b")
+        later = join_counted(found, first, ["mark", "body"]).filter(place != F.col("first")).select("d", "t", "a", "b")
         # overlapping runs become stretches that share no line
         before = Window.partitionBy("d", "t").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
         cut = later.withColumn("a", F.greatest("a", F.max("b").over(before) + 1)).filter("a <= b")

@@ -101,7 +101,7 @@ def prefix_postings(spark: SparkSession, own: Scratch, classes: DataFrame) -> Da
     """
     tokens = classes.select(F.col("id").alias("c"), F.posexplode("sig")).select("c", F.xxhash64("pos", "col").alias("token"))
     shared = own.write(tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"), "tokens")
-    found = join_counted(tokens, shared.withColumn("length", F.col("many")), ["token"], COORDINATES * classes.count())
+    found = join_counted(tokens, shared.withColumn("length", F.col("many")), ["token"])
     mine = Window.partitionBy("c")
     kept = found.withColumn("rank", F.row_number().over(mine.orderBy("length", "token"))).withColumn("own", F.count("*").over(mine))
     # what is posted by one class alone comes first in the order and meets nobody
@@ -189,7 +189,7 @@ def _blocks(own: Scratch, rows: DataFrame, group: str, key: str) -> DataFrame:
     """``rows`` (with n, a row's shingles) with i and j: each pair of a group's blocks is a unit."""
     size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     many = own.write(rows.groupBy(group).agg(size.alias("blocks"), F.count("*").alias("many")), "many")
-    dealt = join_counted(rows, many, [group], rows.count()).withColumn("side", F.expr(f"cast(pmod(xxhash64({key}), blocks) as int)"))
+    dealt = join_counted(rows, many, [group]).withColumn("side", F.expr(f"cast(pmod(xxhash64({key}), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("blocks", "side", "other")
 
@@ -209,7 +209,7 @@ def _open(own: Scratch, label: DataFrame) -> DataFrame:
     """Postings across families, of classes that have enough of them."""
     ends = label.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("many")).filter("p <> q").select("token", "many")
     ends = own.write(ends, "ends")
-    rows = join_counted(label.drop("many"), ends, ["token"], label.count())
+    rows = join_counted(label.drop("many"), ends, ["token"])
     return own.last(rows.withColumn("open", F.count("*").over(Window.partitionBy("c"))).filter(F.col("open") >= SHARED).drop("open"), "open")
 
 
@@ -277,13 +277,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     found = materialize(spark, signatures(docs, words), "signatures")
     usable = found.filter("n > 0 and id is not null")
-    total, keys = usable.count(), ["hi", "lo", "n"]
+    keys = ["hi", "lo", "n"]
     by_set = materialize(spark, usable.groupBy(*keys).agg(F.min("id").alias("c"), F.count("*").alias("many")), "classes")
     with Scratch(spark) as own:
         # rows of one id with different sets: their classes are the same document
-        ids = own.write(join_counted(usable.select("id", *keys), by_set, keys, total).select("id", "c"), "ids")
+        ids = own.write(join_counted(usable.select("id", *keys), by_set, keys).select("id", "c"), "ids")
         twice = own.write(ids.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("top"), F.count("*").alias("many")).filter("a <> top").drop("top"), "twice")
-        links = own.write(join_counted(ids, twice, ["id"], total).filter("a <> c").select("a", F.col("c").alias("b")).distinct(), "links")
+        links = own.write(join_counted(ids, twice, ["id"]).filter("a <> c").select("a", F.col("c").alias("b")).distinct(), "links")
         # of equal ids and sets one row is enough
         # a set so small that one shingle more or less ends the likeness has no other links
         some = usable.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
@@ -296,6 +296,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     label = by_set.join(comp.withColumnRenamed("node", "c").hint("merge"), "c", "left").select(*keys, "many", F.coalesce("component", "c").alias("label"))
     label = materialize(spark, label, "labels")
-    known = join_counted(found.drop("sig").filter("n > 0 and id is not null"), label, keys, total).select("id", "n", F.col("label").alias("component_id"))
+    known = join_counted(found.drop("sig").filter("n > 0 and id is not null"), label, keys).select("id", "n", F.col("label").alias("component_id"))
     rows = known.unionByName(found.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

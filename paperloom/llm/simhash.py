@@ -185,17 +185,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     found = materialize(spark, fingerprints(docs, shingle), "fingerprints")
     usable = found.filter("id is not null")
-    total = usable.count()
     with Scratch(spark) as own:
         classes = own.write(usable.groupBy("fp").agg(F.min("id").alias("c"), F.count("*").alias("many")), "classes")
         # rows of one id with different texts tie their fingerprints together
         twice = own.write(usable.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("top"), F.count("*").alias("many")).filter("a <> top").drop("top"), "twice")
-        tied = join_counted(usable, twice, ["id"], total).filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+        tied = join_counted(usable, twice, ["id"]).filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
         comp = components(spark, links(own, classes.select("fp")).union(tied))
         label = own.write(classes.join(comp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "c", "many", F.coalesce("component", "fp").alias("component")), "component")
         least = own.write(label.groupBy("component").agg(F.min("c").alias("component_id"), F.count("*").alias("size")), "least")
-        named = join_counted(label.select("component", "fp", "many"), least.withColumnRenamed("size", "rows"), ["component"], label.count(), many="rows")
+        named = join_counted(label.select("component", "fp", "many"), least.withColumnRenamed("size", "rows"), ["component"], many="rows")
         named = materialize(spark, named.select("fp", "component_id", "many"), "labels")
-    known = join_counted(usable, named, ["fp"], total).select("id", "fp", "component_id")
+    known = join_counted(usable, named, ["fp"]).select("id", "fp", "component_id")
     rows = known.unionByName(found.filter("id is null").withColumn("component_id", F.lit(None).cast("long")))
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -195,6 +195,19 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, counted):
         assert got == near_reference(data, k, percent)
 
 
+@pytest.mark.parametrize("counts", [[3] + [2] * 7, [40] + [2] * 7, [2] * 8, [3], []])
+def test_even_and_uneven_keys_take_one_way(spark, monkeypatch, tmp_path, counts):
+    monkeypatch.setattr(skew, "LEAST_HOT", 1)
+    monkeypatch.setattr(skew, "HOT_SHARE", 1 / 4)
+    spark.createDataFrame([(k, i) for k, n in enumerate(counts) for i in range(n)] + [(-1, 0)], "k long, i long").write.parquet(f"{tmp_path}/rows")
+    spark.createDataFrame([(k, k + 0.5, n) for k, n in enumerate(counts)], "k long, x double, many long").write.parquet(f"{tmp_path}/table")
+    out = skew.join_counted(spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/table"), ["k"])
+    assert sorted(map(tuple, out.collect())) == [(k, i, k + 0.5) for k, n in enumerate(counts) for i in range(n)]
+    # a most frequent key goes by broadcast even if none has a quarter of the rows, so the anti join is there
+    ran = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ("LeftAnti" in ran) == (len(counts) == 8 and counts[0] > 2)
+
+
 def test_near_duplicates_edges(spark):
     docs = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (2, "a b c"), (1, "a  B c"), (9, None), (9, "z y")], "doc_id long, text string")
     got = sorted(map(str, map(tuple, minhash.near_duplicates(spark, docs, words=2).collect())))
